@@ -3,7 +3,6 @@
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +33,6 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def read_parquet_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table that has not been written yet reads as an empty one."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def broadcast_if_at_most(df: DataFrame, row_count: int, limit: int) -> DataFrame:
     """Hint a broadcast only below a known row count; otherwise Spark shuffles the join."""
     return F.broadcast(df) if row_count <= limit else df

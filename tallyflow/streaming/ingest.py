@@ -84,7 +84,7 @@ class IncrementalIngest:
     ) -> None:
         self.spark = prepare(spark)
         self.source_dir = source_dir.rstrip("/")
-        self.warehouse = Warehouse(spark, warehouse_dir)
+        self.warehouse = Warehouse(spark, warehouse_dir).initialize()
         self.options = options or IngestOptions(chunk_size=chunk_size)
         if self.options.chunk_size <= 0:
             raise ValueError("chunk_size must be greater than zero")

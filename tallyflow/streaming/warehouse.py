@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow import schemas
-from tallyflow.session import read_parquet_or_empty
 
 
 @dataclass(frozen=True)
@@ -34,10 +33,24 @@ class Warehouse:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def initialize(self) -> "Warehouse":
+        """Create the tables that do not exist yet."""
+        tables = {
+            "commits": (schemas.COMMITS, []),
+            "transactions": (schemas.TRANSACTIONS, ["branch", "ingest_key"]),
+            "history": (schemas.STATISTICS_HISTORY, ["ingest_key"]),
+            "source_blocks": (schemas.SOURCE_BLOCKS, ["ingest_key"]),
+            "quarantined_files": (schemas.QUARANTINED_FILES, ["ingest_key"]),
+        }
+        for name, (schema, keys) in tables.items():
+            empty = self.spark.createDataFrame([], schema)
+            empty.write.mode("ignore").partitionBy(*keys).parquet(self.path(name))
+        return self
+
     # Reading
 
     def _stored(self, table: str, schema) -> DataFrame:
-        return read_parquet_or_empty(self.spark, self.path(table), schema)
+        return self.spark.read.schema(schema).parquet(self.path(table))
 
     def commits(self) -> DataFrame:
         return self._stored("commits", schemas.COMMITS)
