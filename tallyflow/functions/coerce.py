@@ -33,33 +33,42 @@ def _parse_one_format(text: Column, fmt: str) -> Column:
     return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
 
 
-def parse_number(text: Column) -> Column:
-    """Double; a finite literal too large for a double is NULL, a written infinity is kept."""
-    number = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-    overflowed = F.abs(number).eqNullSafe(F.lit(float("inf"))) & ~F.lower(text).contains("inf")
-    return F.when(~overflowed, number)
+def number_in(text: Column) -> Column:
+    """Double of a numeric text; a finite literal too large for one comes out infinite."""
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
-def parse_price(text: Column, finite_only: bool = False) -> Column:
-    number = parse_number(text)
+def without_overflow(number: Column, text: Column) -> Column:
+    """NULL where an infinity was not written as one."""
+    infinite = F.abs(number) == F.lit(float("inf"))
+    return F.when(~infinite | F.lower(text).contains("inf"), number)
+
+
+def price_from(number: Column, text: Column, finite_only: bool = False) -> Column:
     if finite_only:
-        number = F.when(F.abs(number) < F.lit(float("inf")), number)
-    return number
+        return F.when(F.abs(number) < F.lit(float("inf")), number)
+    return without_overflow(number, text)
 
 
-def parse_user_id(text: Column, strict: bool = False) -> Column:
+def user_id_from(number: Column, text: Column, strict: bool = False) -> Column:
     """Bigint. Exact for all 64-bit integers; ``7.0`` and ``1e3`` are whole, so accepted.
 
     A fractional id is NULL, or an error with ``strict=True``; it is never truncated.
     """
-    number = parse_number(text)
     whole = (number == F.floor(number)) & (F.abs(number) < F.lit(_BIGINT_SAFE))
     parsed = F.coalesce(
-        F.when(text.rlike(NUMBER_PATTERN), text.try_cast("bigint")),
+        F.when(number.isNotNull(), text.try_cast("bigint")),
         F.when(whole, number.try_cast("bigint")),
     )
     if not strict:
         return parsed
-    fractional = number.isNotNull() & parsed.isNull()
     failure = F.raise_error(F.concat(F.lit("user_id is not an integer: "), text))
-    return F.when(fractional, failure.cast("bigint")).otherwise(parsed)
+    return F.when(number.isNotNull() & parsed.isNull(), failure.cast("bigint")).otherwise(parsed)
+
+
+def parse_price(text: Column, finite_only: bool = False) -> Column:
+    return price_from(number_in(text), text, finite_only)
+
+
+def parse_user_id(text: Column, strict: bool = False) -> Column:
+    return user_id_from(number_in(text), text, strict)

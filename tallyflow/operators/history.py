@@ -25,8 +25,13 @@ def running_history(
     segment before the first, so it needs no join of its own.
     """
     keys = [*file_order, "segment"]
-    batches = metrics.where(F.col("row_count") > 0).withColumn(
-        "segment", F.expr(f"(chunk_index - 1) div {segment_chunks}")
+    # Stating here what the join below implies keeps both uses of ``batches`` the same
+    # plan, so its shuffle is done once and reused.
+    present = F.col("row_count") > 0
+    for name in (*file_order, "chunk_index"):
+        present = present & F.col(name).isNotNull()
+    batches = metrics.where(present).withColumn(
+        "segment", F.expr(f"coalesce((chunk_index - 1) div {segment_chunks}, 0)")
     )
     price_sum = addend(F.col("price_sum"), sum_scale, 38)
 

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.coerce import (
     DEFAULT_TIMESTAMP_FORMATS,
-    parse_price,
+    number_in,
     parse_timestamp,
-    parse_user_id,
+    price_from,
+    user_id_from,
 )
 from tallyflow.schemas import LONG_ROW_REASON, PRICE_REASON
 
@@ -23,23 +24,25 @@ def coerce_rows(
     Only a missing price, or more fields than the header names, rejects a row; a NULL
     timestamp or user id stays.
     """
-    price = parse_price(F.col("price_raw"), finite_only)
-    too_long = F.col("too_long") if "too_long" in rows.columns else F.lit(False)
+    price = price_from(F.col("_price"), F.col("price_raw"), finite_only)
+    reason = F.when(F.col("price").isNull(), PRICE_REASON)
+    if "too_long" in rows.columns:
+        price = F.when(~F.col("too_long"), price)
+        reason = F.when(F.col("too_long"), LONG_ROW_REASON).otherwise(reason)
     return (
+        # The pattern match comes first and once; later steps refer to its result.
         rows.withColumns({
+            "_price": number_in(F.col("price_raw")),
+            "_user": number_in(F.col("user_raw")),
+        })
+        .withColumns({
             "timestamp": parse_timestamp(F.col("ts_raw"), timestamp_formats),
-            "price": F.when(~too_long, price),
-            "user_id": parse_user_id(F.col("user_raw"), strict_ids),
+            "price": price,
+            "user_id": user_id_from(F.col("_user"), F.col("user_raw"), strict_ids),
             "raw_price": F.col("price_raw"),
-            "_too_long": too_long,
         })
-        .withColumn(
-            "reject_reason",
-            F.when(F.col("_too_long"), LONG_ROW_REASON).when(
-                F.col("price").isNull(), PRICE_REASON
-            ),
-        )
-        .drop("ts_raw", "price_raw", "user_raw", "too_long", "_too_long")
+        .withColumn("reject_reason", reason)
+        .drop("ts_raw", "price_raw", "user_raw", "too_long", "_price", "_user")
     )
 
 
