@@ -6,7 +6,6 @@ if it begins a file. The second joins that small table back, which turns the per
 row id into a position in the file and tells which field holds which column.
 """
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ _COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 BROADCAST_BLOCK_LIMIT = 200_000
 
 
-class ColumnContractError(PySparkException):
+class ColumnContractError(ValueError):
     """A source file lacks required columns."""
 
 

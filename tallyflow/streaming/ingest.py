@@ -18,6 +18,7 @@ from tallyflow.operators.quality import coerce_rows
 from tallyflow.operators.reports import full_scan_stats, reconciliation
 from tallyflow.schemas import (
     FILE_LISTING,
+    QUARANTINED_FILES,
     STATISTICS_HISTORY,
     TRANSACTIONS,
     VALIDATION_FILE_NAME,
@@ -249,16 +250,19 @@ class IncrementalIngest:
                 f"{r['file_name']}: {', '.join(csv_files.missing_in_file(self.spark, literal_path(r['path'])))}"
                 for r in first
             )
-            raise ColumnContractError(f"missing required columns in {broken.count()} file(s): {described}")
+            raise ColumnContractError(
+                f"missing required columns in {broken.count()} file(s): {described}"
+            )
         names = {r["file_name"] for r in broken.collect()}
-        aside = [f for f in files if f.file_name in names]
         rows = [
-            (f.file_name, csv_files.missing_in_file(self.spark, literal_path(f.path)), key) for f in aside
+            (csv_files.missing_in_file(self.spark, literal_path(f.path)), key, f.file_name)
+            for f in files
+            if f.file_name in names
         ]
         self.warehouse.replace_partitions(
-            self.spark.createDataFrame(rows, "file_name string, missing array<string>, ingest_key string"),
+            self.spark.createDataFrame(rows, QUARANTINED_FILES),
             "quarantined_files",
-            "ingest_key",
+            "file_name",
         )
         return [f for f in files if f.file_name not in names]
 

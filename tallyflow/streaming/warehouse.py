@@ -40,7 +40,7 @@ class Warehouse:
             "transactions": (schemas.TRANSACTIONS, ["branch", "ingest_key"]),
             "history": (schemas.STATISTICS_HISTORY, ["ingest_key"]),
             "source_blocks": (schemas.SOURCE_BLOCKS, ["ingest_key"]),
-            "quarantined_files": (schemas.QUARANTINED_FILES, ["ingest_key"]),
+            "quarantined_files": (schemas.QUARANTINED_FILES, ["file_name"]),
         }
         for name, (schema, keys) in tables.items():
             empty = self.spark.createDataFrame([], schema)
@@ -87,7 +87,9 @@ class Warehouse:
         return stored.where(F.col("ingest_key") == ingest_key).drop("ingest_key")
 
     def quarantined_files(self) -> DataFrame:
-        return self._stored("quarantined_files", schemas.QUARANTINED_FILES)
+        """Files set aside and not taken since."""
+        stored = self._stored("quarantined_files", schemas.QUARANTINED_FILES)
+        return stored.join(self.processed_files(), "file_name", "left_anti")
 
     def processed_files(self) -> DataFrame:
         """Names of all files done, one per row."""
