@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tallyflow.functions.coerce import DEFAULT_TIMESTAMP_FORMATS
 from tallyflow.functions.text import batch_id
@@ -53,6 +54,8 @@ class IngestOptions:
     # One ingest takes at most this much; the rest follows in further ingests.
     max_files_per_ingest: int = 10_000
     max_bytes_per_ingest: int = 8 << 40
+    # With a limit, files are taken by age across triggers and by path only within one.
+    max_files_per_trigger: int | None = None
 
 
 @dataclass(frozen=True)
@@ -119,8 +122,26 @@ class IncrementalIngest:
         scan = full_scan_stats(self.warehouse.raw_transactions(), self.options.sum_scale)
         return reconciliation(self.warehouse.state(), scan)
 
+    def start(self, processing_time: str = "1 minute") -> StreamingQuery:
+        """Keep taking source files as they arrive, until the query is stopped."""
+        trigger = {"processingTime": processing_time}
+        return self._arrivals("source", "*.csv", self._ingest_pending, trigger)
+
     # Streaming
 
+    def _arrivals(self, phase: str, glob: str, take, trigger: dict) -> StreamingQuery:
+        def on_arrival(files: DataFrame, _batch: int) -> None:
+            take(self._collect(files.where(self._in_phase(phase)).orderBy("path")))
+
+        limit = self.options.max_files_per_trigger
+        return (
+            stream_files(self.spark, self.source_dir, glob, limit)
+            .writeStream.foreachBatch(on_arrival)
+            .option("checkpointLocation", self.warehouse.path(f"_checkpoints/{phase}"))
+            .trigger(**trigger)
+            .start()
+        )
+
     def _drain(self, phase: str, glob: str, unseen) -> list[IngestReport]:
         """One available-now query, then a look for files its log missed.
 
@@ -130,21 +151,14 @@ class IncrementalIngest:
         reports: list[IngestReport] = []
         failures: list[Exception] = []
 
-        def on_arrival(files: DataFrame, _batch: int) -> None:
-            arrived = self._collect(files.where(self._in_phase(phase)).orderBy("path"))
+        def take(arrived: list[_File]) -> None:
             try:
                 reports.extend(self._ingest_pending(arrived))
             except Exception as error:
                 failures.append(error)
                 raise
 
-        query = (
-            stream_files(self.spark, self.source_dir, glob)
-            .writeStream.foreachBatch(on_arrival)
-            .option("checkpointLocation", self.warehouse.path(f"_checkpoints/{phase}"))
-            .trigger(availableNow=True)
-            .start()
-        )
+        query = self._arrivals(phase, glob, take, {"availableNow": True})
         try:
             query.awaitTermination()
         except StreamingQueryException as wrapped:
@@ -157,7 +171,8 @@ class IncrementalIngest:
         return reserved if phase == "validation" else ~reserved
 
     def _source_files(self) -> DataFrame:
-        return list_files(self.spark, self.source_dir).where(self._in_phase("source")).orderBy("path")
+        files = list_files(self.spark, self.source_dir)
+        return files.where(self._in_phase("source")).orderBy("path")
 
     def _validation_files(self) -> DataFrame:
         return list_files(self.spark, self.source_dir, self.options.validation_name)
@@ -171,9 +186,8 @@ class IncrementalIngest:
     def _ingest_pending(self, files: list[_File]) -> list[IngestReport]:
         if not files:
             return []
-        listing = self._listing(files)
-        names = listing.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
-        undone = {r["file_name"] for r in pending(names, self.warehouse.processed_files()).collect()}
+        unseen = pending(self._listing(files), self.warehouse.processed_files())
+        undone = {row["file_name"] for row in unseen.select("file_name").collect()}
         chosen: dict[str, _File] = {}
         for file in files:
             if file.file_name in undone:
@@ -185,7 +199,8 @@ class IncrementalIngest:
         ]
 
     def _listing(self, files: list[_File]) -> DataFrame:
-        return self.spark.createDataFrame([(f.path, f.length) for f in files], FILE_LISTING)
+        rows = [(f.path, f.file_name, f.length) for f in files]
+        return self.spark.createDataFrame(rows, FILE_LISTING)
 
     def _groups(self, files: list[_File]):
         group: list[_File] = []
@@ -203,7 +218,7 @@ class IncrementalIngest:
     def _ingest(self, files: list[_File]) -> IngestReport | None:
         key = _ingest_key(files)
         blocks, width, block_count = self._survey(files, key)
-        broken = csv_files.check_contract(self._named(files), blocks, width)
+        broken = csv_files.check_contract(self._listing(files), blocks, width)
         if not broken.isEmpty():
             files = self._set_aside(files, broken, key)
             return self._ingest(files) if files else None
@@ -219,9 +234,6 @@ class IncrementalIngest:
         self.warehouse.append_commit(commit, key, names)
         return IngestReport(key, commit.version, tuple(names), accepted, rejected, commit)
 
-    def _named(self, files: list[_File]) -> DataFrame:
-        return self._listing(files).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
-
     def _survey(self, files: list[_File], key: str) -> tuple[DataFrame, int, int]:
         """First pass, stored: later steps must all see the same split table."""
         paths = [literal_path(f.path) for f in files]

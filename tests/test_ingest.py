@@ -311,3 +311,20 @@ def test_source_options_and_column_names(spark, source, target):
     assert (reject["reject_reason"], reject["raw_price"]) == ("ROW_LONGER_THAN_HEADER", "2")
     with pytest.raises(ValueError):
         IncrementalIngest(spark, str(source), target, chunk_size=0)
+
+
+def test_long_running_query(spark, source, target):
+    write(source, "a.csv", ["1"])
+    ingest = IncrementalIngest(
+        spark, str(source), target, options=IngestOptions(max_files_per_trigger=1)
+    )
+    query = ingest.start("100 milliseconds")
+    try:
+        query.processAllAvailable()
+        assert state(ingest) == (1, 1.0, 1.0, 1.0)
+        write(source, "b.csv", ["2"])
+        write(source, "validation.csv", ["9"])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert (state(ingest), done(ingest)) == ((2, 3.0, 1.0, 2.0), ["a.csv", "b.csv"])
