@@ -3,11 +3,13 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A plain decimal or scientific number, or a signed infinity. Rejects what a bare
-# cast would let through: type suffixes such as ``12d`` and the text ``nan``.
-NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
+# Characters a plain or scientific number is made of, and the spellings
+# of infinity. Anything else a bare cast would accept (type suffixes as in ``12d``,
+# hexadecimal, ``nan``) needs a letter that is not among them.
+NUMBER_CHARACTERS = "0123456789+-.eE \t\n\r\f\v"
+INFINITIES = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+
 ISO_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
-MONTH_FIRST_PATTERN = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})(?:[ T]+(\S.*?))?\s*$"
 
 DEFAULT_TIMESTAMP_FORMATS = ("M/d/yyyy", "iso")
 
@@ -28,14 +30,30 @@ def _parse_one_format(text: Column, fmt: str) -> Column:
     if fmt == "iso":
         return F.when(text.rlike(ISO_PATTERN), text.try_cast("timestamp_ntz"))
     if fmt == "M/d/yyyy":
-        iso = F.regexp_replace(text, MONTH_FIRST_PATTERN, "$3-$1-$2 $4")
-        return F.when(text.rlike(MONTH_FIRST_PATTERN), F.trim(iso).try_cast("timestamp_ntz"))
+        return _month_first(F.trim(text))
     return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
 
 
+def _month_first(text: Column) -> Column:
+    """Moves the year to the front and leaves the checking to the cast."""
+    month = F.substring_index(text, "/", 1)
+    day = F.substring_index(F.substring_index(text, "/", 2), "/", -1)
+    rest = F.substring_index(text, "/", -1)
+    three_parts = F.length(month) + F.length(day) + F.length(rest) + 2 == F.length(text)
+    year_ends = (F.length(rest) == 4) | F.substring(rest, 5, 1).isin(" ", "T")
+    iso = F.concat(
+        F.substring(rest, 1, 4), F.lit("-"), month, F.lit("-"), day, F.substring(rest, 5, 64)
+    )
+    return F.when(three_parts & year_ends, iso.try_cast("timestamp_ntz"))
+
+
 def number_in(text: Column) -> Column:
     """Double of a numeric text; a finite literal too large for one comes out infinite."""
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    number = text.try_cast("double")
+    only_number_characters = F.translate(text, NUMBER_CHARACTERS, "") == ""
+    return F.when(only_number_characters, number).when(
+        F.lower(F.trim(text)).isin(*INFINITIES), number
+    )
 
 
 def without_overflow(number: Column, text: Column) -> Column:
@@ -50,25 +68,21 @@ def price_from(number: Column, text: Column, finite_only: bool = False) -> Colum
     return without_overflow(number, text)
 
 
-def user_id_from(number: Column, text: Column, strict: bool = False) -> Column:
+def parse_price(text: Column, finite_only: bool = False) -> Column:
+    return price_from(number_in(text), text, finite_only)
+
+
+def parse_user_id(text: Column, strict: bool = False) -> Column:
     """Bigint. Exact for all 64-bit integers; ``7.0`` and ``1e3`` are whole, so accepted.
 
     A fractional id is NULL, or an error with ``strict=True``; it is never truncated.
     """
+    number = number_in(text)
     whole = (number == F.floor(number)) & (F.abs(number) < F.lit(_BIGINT_SAFE))
     parsed = F.coalesce(
-        F.when(number.isNotNull(), text.try_cast("bigint")),
-        F.when(whole, number.try_cast("bigint")),
+        text.try_cast("bigint"), F.when(whole, number.try_cast("bigint"))
     )
     if not strict:
         return parsed
     failure = F.raise_error(F.concat(F.lit("user_id is not an integer: "), text))
     return F.when(number.isNotNull() & parsed.isNull(), failure.cast("bigint")).otherwise(parsed)
-
-
-def parse_price(text: Column, finite_only: bool = False) -> Column:
-    return price_from(number_in(text), text, finite_only)
-
-
-def parse_user_id(text: Column, strict: bool = False) -> Column:
-    return user_id_from(number_in(text), text, strict)

@@ -17,12 +17,23 @@ def file_stem(file_name: Column) -> Column:
     return F.regexp_replace(file_name, r"\.[^.]*$", "")
 
 
+def batch_id_ends(file_name: Column) -> tuple[Column, Column]:
+    """What a batch id says before and after its number; the same for all batches of a file."""
+    digest = F.substring(F.sha2(file_name, 256), 1, 8)
+    return F.concat(file_stem(file_name), F.lit("-lote-")), F.concat(F.lit("-"), digest)
+
+
+def numbered_batch(prefix: Column, chunk_index: Column, suffix: Column) -> Column:
+    """Batch id from its parts; the number has four digits or more."""
+    number = chunk_index.cast("string")
+    padded = F.when(chunk_index < 10_000, F.lpad(number, 4, "0")).otherwise(number)
+    return F.concat(prefix, padded, suffix)
+
+
 def batch_id(file_name: Column, chunk_index: Column) -> Column:
     """Readable and repeatable: a retried or replayed task draws the same id."""
-    digest = F.sha2(F.concat_ws("|", file_name, chunk_index.cast("string")), 256)
-    return F.format_string(
-        "%s-lote-%04d-%s", file_stem(file_name), chunk_index, F.substring(digest, 1, 8)
-    )
+    prefix, suffix = batch_id_ends(file_name)
+    return numbered_batch(prefix, chunk_index, suffix)
 
 
 def two_decimals(value: Column) -> Column:

@@ -7,8 +7,8 @@ from tallyflow.functions.coerce import (
     DEFAULT_TIMESTAMP_FORMATS,
     number_in,
     parse_timestamp,
+    parse_user_id,
     price_from,
-    user_id_from,
 )
 from tallyflow.schemas import LONG_ROW_REASON, PRICE_REASON
 
@@ -30,19 +30,16 @@ def coerce_rows(
         price = F.when(~F.col("too_long"), price)
         reason = F.when(F.col("too_long"), LONG_ROW_REASON).otherwise(reason)
     return (
-        # The pattern match comes first and once; later steps refer to its result.
-        rows.withColumns({
-            "_price": number_in(F.col("price_raw")),
-            "_user": number_in(F.col("user_raw")),
-        })
+        # A column of its own, so that the text is parsed once for all its uses.
+        rows.withColumn("_price", number_in(F.col("price_raw")))
         .withColumns({
             "timestamp": parse_timestamp(F.col("ts_raw"), timestamp_formats),
             "price": price,
-            "user_id": user_id_from(F.col("_user"), F.col("user_raw"), strict_ids),
+            "user_id": parse_user_id(F.col("user_raw"), strict_ids),
             "raw_price": F.col("price_raw"),
         })
         .withColumn("reject_reason", reason)
-        .drop("ts_raw", "price_raw", "user_raw", "too_long", "_price", "_user")
+        .drop("ts_raw", "price_raw", "user_raw", "too_long", "_price")
     )
 
 

@@ -49,7 +49,7 @@ metrics AS (
 
 _BATCH_ID = (
     "regexp_replace(file_name, '\\.[^.]*$', '') || '-lote-' || printf('%04d', chunk_index)"
-    " || '-' || substr(sha256(file_name || '|' || chunk_index), 1, 8)"
+    " || '-' || substr(sha256(file_name), 1, 8)"
 )
 
 _HISTORY = f"""

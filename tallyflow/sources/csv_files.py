@@ -6,16 +6,24 @@ if it begins a file. The second joins that small table back, which turns the per
 row id into a position in the file and tells which field holds which column.
 """
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyflow.functions.text import decoded_path, file_name_of
+from tallyflow.functions.text import batch_id_ends, decoded_path, file_name_of
 from tallyflow.schemas import REQUIRED_COLUMNS
 from tallyflow.session import broadcast_if_at_most
 
 # The doubled quote is the escape, as in RFC 4180.
 _CSV_OPTIONS = {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}
 
+# A separator no line contains and no quoting: one column holds the line. Reading it
+# with the same reader as the fields makes both passes agree on what a row is.
+_LINE_OPTIONS = {"mode": "PERMISSIVE", "sep": "\u0001", "quote": ""}
+
 _COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 BROADCAST_BLOCK_LIMIT = 200_000
@@ -25,33 +33,45 @@ class ColumnContractError(ValueError):
     """A source file lacks required columns."""
 
 
+@dataclass(frozen=True)
+class Layout:
+    """What the headers of a set of files have in common: a few numbers, kept on the driver."""
+
+    block_count: int
+    file_count: int
+    broken_count: int
+    # 1-based field numbers under which each required column occurs.
+    positions: dict[str, list[int]]
+    header_widths: list[int]
+
+    @property
+    def width(self) -> int:
+        return max(self.header_widths, default=1)
+
+
+def _positioned(scan: DataFrame, *columns) -> DataFrame:
+    """Adds the split a row came from and ``mid``, which grows by one per row of a split."""
+    return scan.select(
+        *columns,
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+    ).withColumn("mid", F.monotonically_increasing_id())
+
+
 def line_scan(spark: SparkSession, paths) -> DataFrame:
-    """Non-blank lines; ``mid`` grows by one per line within a split."""
-    return (
-        spark.read.text(list(paths))
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-        )
-        .where(F.col("value").rlike(r"\S"))
-        .withColumn("mid", F.monotonically_increasing_id())
-    )
+    """Non-blank lines as ``value``."""
+    scan = spark.read.options(**_LINE_OPTIONS).schema("value string").csv(list(paths))
+    return _positioned(scan, "value")
 
 
-def _record_scan(spark: SparkSession, paths, width: int) -> DataFrame:
-    """As ``line_scan``, for records that may contain quoted line breaks (one split per file)."""
-    return (
-        spark.read.options(**_CSV_OPTIONS, multiLine=True, header=False)
+def record_scan(spark: SparkSession, paths, width: int, multi_line: bool = False) -> DataFrame:
+    """Records, header included, as ``c0, c1, ...``; a file is one split if they span lines."""
+    scan = (
+        spark.read.options(**_CSV_OPTIONS, multiLine=multi_line)
         .schema(_positional_schema(width))
         .csv(list(paths))
-        .select(
-            F.struct(*_positional_names(width)).alias("parsed"),
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-        )
-        .withColumn("mid", F.monotonically_increasing_id())
     )
+    return _positioned(scan, *_positional_names(width))
 
 
 def survey_blocks(lines: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
@@ -82,20 +102,44 @@ def survey_blocks(lines: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
 
 def survey_records(spark: SparkSession, paths, headers: DataFrame, width: int) -> DataFrame:
     """``survey_blocks`` for multi-line records; header lines come from a line survey."""
-    counted = _record_scan(spark, paths, width).groupBy("file_path", "block_start").agg(
-        F.count("*").alias("block_rows"), F.min("mid").alias("first_mid")
+    counted = (
+        record_scan(spark, paths, width, multi_line=True)
+        .groupBy("file_path", "block_start")
+        .agg(F.count("*").alias("block_rows"), F.min("mid").alias("first_mid"))
     )
     lines = headers.where("block_start = 0").select("file_path", "header_line")
     return counted.join(lines, "file_path", "left")
 
 
-def survey_facts(blocks: DataFrame) -> tuple[int, int]:
-    """Number of blocks and an upper bound of header width: two scalars."""
+def read_layout(blocks: DataFrame) -> Layout:
+    """Two small queries over the stored survey."""
     commas = F.length("header_line") - F.length(F.replace("header_line", F.lit(","), F.lit("")))
-    row = blocks.agg(
-        F.count("*").alias("n"), F.coalesce(F.max(commas), F.lit(0)).alias("commas")
+    bound = blocks.agg(
+        F.count("*").alias("blocks"), F.coalesce(F.max(commas), F.lit(0)).alias("commas")
+    ).first()
+    headers = (
+        blocks.where("block_start = 0")
+        .select("header_line", header_columns(F.col("header_line"), bound["commas"] + 1).alias("h"))
+        .select(
+            header_width(F.col("header_line")).alias("width"),
+            (F.size(missing_columns(F.col("h"))) > 0).alias("broken"),
+            *[F.array_position("h", name).cast("int").alias(name) for name in REQUIRED_COLUMNS],
+        )
+    )
+    # At most as many values per set as the widest header has fields.
+    facts = headers.agg(
+        F.count("*").alias("files"),
+        F.count_if("broken").alias("broken"),
+        F.collect_set(F.when(~F.col("broken"), F.col("width"))).alias("widths"),
+        *[F.collect_set(F.when(F.col(n) > 0, F.col(n))).alias(n) for n in REQUIRED_COLUMNS],
     ).first()
-    return row["n"], row["commas"] + 1
+    return Layout(
+        bound["blocks"],
+        facts["files"],
+        facts["broken"],
+        {name: sorted(facts[name]) for name in REQUIRED_COLUMNS},
+        sorted(facts["widths"]),
+    )
 
 
 def _positional_names(width: int) -> list[str]:
@@ -107,17 +151,9 @@ def _positional_schema(width: int) -> str:
     return ", ".join(f"{name} string" for name in _positional_names(width))
 
 
-def _fields(text: Column, width: int) -> Column:
-    return F.from_csv(text, _positional_schema(width), _CSV_OPTIONS)
-
-
-def _as_array(parsed: str, width: int) -> Column:
-    return F.array(*[F.col(f"{parsed}.{name}") for name in _positional_names(width)])
-
-
 def header_columns(line: Column, width: int) -> Column:
     """Column names of a header line, in order; an empty name is NULL."""
-    parsed = _fields(line, width)
+    parsed = F.from_csv(line, _positional_schema(width), _CSV_OPTIONS)
     return F.array(*[parsed[name] for name in _positional_names(width)])
 
 
@@ -132,7 +168,7 @@ def missing_columns(header: Column, required=REQUIRED_COLUMNS) -> Column:
     return F.array_sort(F.array_except(wanted, header))
 
 
-def check_contract(files: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
+def broken_files(files: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
     """Files that break the column contract: ``path, file_name``.
 
     A file with no line at all has no block and therefore breaks it too.
@@ -160,10 +196,10 @@ def missing_in_file(spark: SparkSession, path: str) -> list[str]:
 
 
 def block_offsets(blocks: DataFrame, width: int) -> DataFrame:
-    """Per block: the position of its first row, and the field numbers of its file."""
+    """Per block: the position of its first row, and where its file keeps which column."""
     in_file = Window.partitionBy("file_path").orderBy("block_start")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    header = header_columns(F.col("_header_line"), width)
+    prefix, suffix = batch_id_ends(F.col("file_name"))
     return (
         blocks.select(
             "file_path",
@@ -172,63 +208,83 @@ def block_offsets(blocks: DataFrame, width: int) -> DataFrame:
             "first_mid",
             # The header is row -1, so the first data row is row 0.
             (F.coalesce(F.sum("block_rows").over(before), F.lit(0)) - 1).alias("block_offset"),
-            F.first("header_line").over(in_file).alias("_header_line"),
+            F.first("header_line").over(in_file).alias("header_line"),
+            file_name_of(decoded_path(F.col("file_path"))).alias("file_name"),
         )
-        .withColumn("_header", header)
+        .withColumn("header", header_columns(F.col("header_line"), width))
         .select(
             "file_path",
             "block_start",
             "block_rows",
             "first_mid",
             "block_offset",
-            file_name_of(decoded_path(F.col("file_path"))).alias("file_name"),
-            header_width(F.col("_header_line")).alias("header_width"),
+            "file_name",
+            prefix.alias("batch_prefix"),
+            suffix.alias("batch_suffix"),
+            header_width(F.col("header_line")).alias("header_width"),
             *[
-                F.array_position("_header", name).cast("int").alias(f"at_{name}")
+                F.array_position("header", name).cast("int").alias(f"at_{name}")
                 for name in REQUIRED_COLUMNS
             ],
         )
     )
 
 
+def _required_field(name: str, positions: list[int]) -> Column:
+    """The field a file keeps a column in; a plain column when all files agree."""
+    if len(positions) == 1:
+        return F.col(f"c{positions[0] - 1}")
+    choices = [F.when(F.col(f"at_{name}") == p, F.col(f"c{p - 1}")) for p in positions]
+    return F.coalesce(*choices)
+
+
+def _too_long(widths: list[int]) -> Column:
+    """Some field beyond the file's own header holds text."""
+    beyond = [
+        (F.col(f"c{i}") != "") & (F.col("header_width") <= i)
+        for i in range(min(widths), max(widths) + 1)
+    ]
+    return F.coalesce(reduce(or_, beyond), F.lit(False))
+
+
 def read_source_rows(
     spark: SparkSession,
     paths,
     blocks: DataFrame,
-    width: int,
-    block_count: int,
+    layout: Layout,
     multi_line: bool = False,
     broadcast_limit: int = BROADCAST_BLOCK_LIMIT,
 ) -> DataFrame:
-    """Raw rows ``file_name, ordinal, ts_raw, price_raw, user_raw, too_long``.
+    """Raw rows ``file_name, ordinal, ts_raw, price_raw, user_raw, too_long`` and the ends
+    of their batch ids.
 
     ``blocks`` must come from a survey of the same paths and be stored, so that both
     passes agree; a split that does not match it fails the job instead of giving wrong
     positions. Fields are taken by the position of their name in the file's own header.
     """
-    if multi_line:
-        scan = _record_scan(spark, paths, width)
-    else:
-        scan = line_scan(spark, paths).withColumn("parsed", _fields(F.col("value"), width))
-    offsets = broadcast_if_at_most(block_offsets(blocks, width), block_count, broadcast_limit)
+    scan = record_scan(spark, paths, layout.width, multi_line)
+    offsets = broadcast_if_at_most(
+        block_offsets(blocks, layout.width), layout.block_count, broadcast_limit
+    )
     inside = F.col("mid") - F.col("first_mid")
     known = inside.between(F.lit(0), F.col("block_rows") - 1)
     mismatch = F.raise_error(
         F.concat(F.lit("file split differs from its survey: "), F.col("file_path"))
     )
-    extra = F.slice("fields", F.col("header_width") + 1, F.lit(width + 1))
+    fields = {name: _required_field(name, layout.positions[name]) for name in REQUIRED_COLUMNS}
     return (
-        scan.withColumn("fields", _as_array("parsed", width))
-        .join(offsets, ["file_path", "block_start"], "left")
+        scan.join(offsets, ["file_path", "block_start"], "left")
         .select(
             "file_name",
             F.when(F.coalesce(known, F.lit(False)), F.col("block_offset") + inside)
             .otherwise(mismatch.cast("bigint"))
             .alias("ordinal"),
-            F.get("fields", F.col("at_timestamp") - 1).alias("ts_raw"),
-            F.get("fields", F.col("at_price") - 1).alias("price_raw"),
-            F.get("fields", F.col("at_user_id") - 1).alias("user_raw"),
-            (F.concat_ws("", extra) != "").alias("too_long"),
+            fields["timestamp"].alias("ts_raw"),
+            fields["price"].alias("price_raw"),
+            fields["user_id"].alias("user_raw"),
+            _too_long(layout.header_widths).alias("too_long"),
+            "batch_prefix",
+            "batch_suffix",
         )
         .where(F.col("ordinal") >= 0)
     )

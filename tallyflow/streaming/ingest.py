@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyflow.functions.coerce import DEFAULT_TIMESTAMP_FORMATS
-from tallyflow.functions.text import batch_id
+from tallyflow.functions.text import numbered_batch
 from tallyflow.operators.history import DEFAULT_SEGMENT_CHUNKS, running_history
 from tallyflow.operators.metrics import batch_metrics
 from tallyflow.operators.ordinals import assign_chunks
@@ -26,7 +26,7 @@ from tallyflow.schemas import (
 )
 from tallyflow.session import prepare
 from tallyflow.sources import csv_files
-from tallyflow.sources.csv_files import ColumnContractError
+from tallyflow.sources.csv_files import ColumnContractError, Layout
 from tallyflow.sources.discovery import (
     discover,
     list_files,
@@ -217,16 +217,16 @@ class IncrementalIngest:
 
     def _ingest(self, files: list[_File]) -> IngestReport | None:
         key = _ingest_key(files)
-        blocks, width, block_count = self._survey(files, key)
-        broken = csv_files.check_contract(self._listing(files), blocks, width)
-        if not broken.isEmpty():
+        blocks, layout = self._survey(files, key)
+        if layout.broken_count or layout.file_count < len(files):
+            broken = csv_files.broken_files(self._listing(files), blocks, layout.width)
             files = self._set_aside(files, broken, key)
             return self._ingest(files) if files else None
 
         previous = self.warehouse.latest_commit()
         clock = F.lit(datetime.now(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
         accepted, rejected = self._write_transactions(
-            files, key, blocks, width, block_count, clock
+            files, key, blocks, layout, clock
         )
         self._write_history(files, key, previous, clock)
         commit = self._next_commit(key, previous)
@@ -234,20 +234,17 @@ class IncrementalIngest:
         self.warehouse.append_commit(commit, key, names)
         return IngestReport(key, commit.version, tuple(names), accepted, rejected, commit)
 
-    def _survey(self, files: list[_File], key: str) -> tuple[DataFrame, int, int]:
+    def _survey(self, files: list[_File], key: str) -> tuple[DataFrame, Layout]:
         """First pass, stored: later steps must all see the same split table."""
         paths = [literal_path(f.path) for f in files]
-        blocks = csv_files.survey_blocks(csv_files.line_scan(self.spark, paths))
-        self._store_blocks(blocks, key)
-        stored = self.warehouse.source_blocks(key)
-        count, width = csv_files.survey_facts(stored)
-        if self.options.multi_line:
-            records_key = f"{key}-records"
-            self._store_blocks(
-                csv_files.survey_records(self.spark, paths, stored, width), records_key
-            )
-            stored = self.warehouse.source_blocks(records_key)
-        return stored, width, count
+        self._store_blocks(csv_files.survey_blocks(csv_files.line_scan(self.spark, paths)), key)
+        blocks = self.warehouse.source_blocks(key)
+        layout = csv_files.read_layout(blocks)
+        if not self.options.multi_line:
+            return blocks, layout
+        records = csv_files.survey_records(self.spark, paths, blocks, layout.width)
+        self._store_blocks(records, f"{key}-records")
+        return self.warehouse.source_blocks(f"{key}-records"), layout
 
     def _store_blocks(self, blocks: DataFrame, key: str) -> None:
         self.warehouse.replace_partitions(
@@ -278,15 +275,14 @@ class IncrementalIngest:
         )
         return [f for f in files if f.file_name not in names]
 
-    def _write_transactions(self, files, key, blocks, width, block_count, clock):
+    def _write_transactions(self, files, key, blocks, layout, clock):
         """Second pass: one job that writes accepted and rejected rows side by side."""
         options = self.options
         raw = csv_files.read_source_rows(
             self.spark,
             [literal_path(f.path) for f in files],
             blocks,
-            width,
-            block_count,
+            layout,
             options.multi_line,
         )
         typed = coerce_rows(
@@ -298,7 +294,9 @@ class IncrementalIngest:
         is_rejected = F.col("reject_reason").isNotNull()
         rows = typed.withColumns({
             "loaded_at": clock,
-            "batch_id": batch_id(F.col("file_name"), F.col("chunk_index")),
+            "batch_id": numbered_batch(
+                F.col("batch_prefix"), F.col("chunk_index"), F.col("batch_suffix")
+            ),
             "raw_price": F.when(is_rejected, F.col("raw_price")),
             "branch": F.when(is_rejected, "rejected").otherwise("raw"),
             "ingest_key": F.lit(key),

@@ -55,7 +55,8 @@ TIMESTAMPS = {
     "12/31/2012 5:06": datetime(2012, 12, 31, 5, 6), "2026-01-03": datetime(2026, 1, 3),
     "2026-1-3 04:05:06": datetime(2026, 1, 3, 4, 5, 6), "2026-01-03T04:05": datetime(2026, 1, 3, 4, 5),
     "13/1/2012": None, "2/30/2012": None, "20120102": None, "2012": None, "not-a-date": None,
-    "": None,
+    "": None, "1//2012": None, "/1/2012": None, "1/2/20123": None, "1/2/2012/5": None,
+    "1/2/3/2012": None, "1/2/12": None, " 1/2/2012 ": datetime(2012, 1, 2), "a/b/cdef": None,
 }
 
 

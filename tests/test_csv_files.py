@@ -16,13 +16,13 @@ def read(spark, tmp_path, multi_line=False, broadcast_limit=1000):
     stored = str(tmp_path / "blocks")
     csv_files.survey_blocks(csv_files.line_scan(spark, paths)).write.parquet(stored)
     blocks = spark.read.parquet(stored)
-    count, width = csv_files.survey_facts(blocks)
+    layout = csv_files.read_layout(blocks)
     if multi_line:
         records = str(tmp_path / "records")
-        csv_files.survey_records(spark, paths, blocks, width).write.parquet(records)
+        csv_files.survey_records(spark, paths, blocks, layout.width).write.parquet(records)
         blocks = spark.read.parquet(records)
     return csv_files.read_source_rows(
-        spark, paths, blocks, width, count, multi_line, broadcast_limit
+        spark, paths, blocks, layout, multi_line, broadcast_limit
     )
 
 
@@ -131,8 +131,8 @@ def test_contract_names_missing_columns(spark, tmp_path):
     listed = list_files(spark, str(tmp_path))
     paths = [r["path"] for r in listed.collect()]
     blocks = csv_files.survey_blocks(csv_files.line_scan(spark, paths))
-    _, width = csv_files.survey_facts(blocks)
-    broken = csv_files.check_contract(listed, blocks, width).collect()
+    layout = csv_files.read_layout(blocks)
+    broken = csv_files.broken_files(listed, blocks, layout.width).collect()
     got = {r["file_name"]: csv_files.missing_in_file(spark, r["path"]) for r in broken}
     assert got == {name: missing for name, (_, missing) in files.items() if missing}
 

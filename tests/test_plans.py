@@ -74,10 +74,10 @@ def test_lines_are_read_without_a_shuffle(spark, tmp_path):
     assert "SortAggregate" not in plan(survey)
     survey.write.parquet(str(tmp_path / "blocks"))
     blocks = spark.read.parquet(str(tmp_path / "blocks"))
-    rows = csv_files.read_source_rows(spark, [str(path)], blocks, 3, 1)
+    rows = csv_files.read_source_rows(spark, [str(path)], blocks, csv_files.read_layout(blocks))
     text = plan(ops.coerce_rows(ops.assign_chunks(rows, 10)))
     lines_side, offsets_side = text.split("BroadcastExchange")
-    assert "FileScan text" in lines_side and "Exchange" not in lines_side
+    assert "FileScan csv" in lines_side and "Exchange" not in lines_side
     assert "FileScan parquet" in offsets_side
 
 
