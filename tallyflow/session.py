@@ -25,11 +25,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the folder all executors share (``spark.checkpoint.dir``)."""
+    """A fresh path below the folder all executors share (``spark.checkpoint.dir``).
+
+    Only where a cluster names none, as in tests, is a local folder used.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tallyflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = f"{tempfile.gettempdir()}/tallyflow-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 

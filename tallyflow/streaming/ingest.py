@@ -301,14 +301,14 @@ class IncrementalIngest:
             "branch": F.when(is_rejected, "rejected").otherwise("raw"),
             "ingest_key": F.lit(key),
         }).select(*TRANSACTIONS.names)
+        # Only a rejected row has no price.
         counts = Observation()
         observed = rows.observe(
-            counts,
-            F.count_if(F.col("branch") == "raw").alias("accepted"),
-            F.count_if(F.col("branch") == "rejected").alias("rejected"),
+            counts, F.count(F.lit(1)).alias("rows"), F.count("price").alias("accepted")
         )
         self.warehouse.replace_partitions(observed, "transactions", "branch", "ingest_key")
-        return counts.get["accepted"], counts.get["rejected"]
+        accepted = counts.get["accepted"]
+        return accepted, counts.get["rows"] - accepted
 
     def _write_history(self, files, key, previous: Commit, clock) -> None:
         """Batch metrics from the columns just written, then totals on top of the saved state."""
