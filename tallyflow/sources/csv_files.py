@@ -112,33 +112,34 @@ def survey_records(spark: SparkSession, paths, headers: DataFrame, width: int) -
 
 
 def read_layout(blocks: DataFrame) -> Layout:
-    """Two small queries over the stored survey."""
-    commas = F.length("header_line") - F.length(F.replace("header_line", F.lit(","), F.lit("")))
-    bound = blocks.agg(
-        F.count("*").alias("blocks"), F.coalesce(F.max(commas), F.lit(0)).alias("commas")
-    ).first()
-    headers = (
-        blocks.where("block_start = 0")
-        .select("header_line", header_columns(F.col("header_line"), bound["commas"] + 1).alias("h"))
-        .select(
-            header_width(F.col("header_line")).alias("width"),
-            (F.size(missing_columns(F.col("h"))) > 0).alias("broken"),
-            *[F.array_position("h", name).cast("int").alias(name) for name in REQUIRED_COLUMNS],
-        )
+    """One small query over the stored survey."""
+    begins_file = F.col("block_start") == 0
+    headers = blocks.select(
+        begins_file.alias("begins_file"),
+        header_columns(F.col("header_line")).alias("header"),
+    ).select(
+        "begins_file",
+        F.size("header").alias("width"),
+        (F.col("header").isNull() | (F.size(missing_columns(F.col("header"))) > 0)).alias("broken"),
+        *[F.array_position("header", name).cast("int").alias(name) for name in REQUIRED_COLUMNS],
     )
+    intact = F.col("begins_file") & ~F.col("broken")
     # At most as many values per set as the widest header has fields.
     facts = headers.agg(
-        F.count("*").alias("files"),
-        F.count_if("broken").alias("broken"),
-        F.collect_set(F.when(~F.col("broken"), F.col("width"))).alias("widths"),
-        *[F.collect_set(F.when(F.col(n) > 0, F.col(n))).alias(n) for n in REQUIRED_COLUMNS],
+        F.count(F.lit(1)).alias("blocks"),
+        F.count_if("begins_file").alias("files"),
+        F.count_if(F.col("begins_file") & F.col("broken")).alias("broken"),
+        *[
+            F.collect_set(F.when(intact, F.col(name))).alias(name)
+            for name in ("width", *REQUIRED_COLUMNS)
+        ],
     ).first()
     return Layout(
-        bound["blocks"],
+        facts["blocks"],
         facts["files"],
         facts["broken"],
         {name: sorted(facts[name]) for name in REQUIRED_COLUMNS},
-        sorted(facts["widths"]),
+        sorted(facts["width"]),
     )
 
 
@@ -151,15 +152,14 @@ def _positional_schema(width: int) -> str:
     return ", ".join(f"{name} string" for name in _positional_names(width))
 
 
-def header_columns(line: Column, width: int) -> Column:
-    """Column names of a header line, in order; an empty name is NULL."""
-    parsed = F.from_csv(line, _positional_schema(width), _CSV_OPTIONS)
-    return F.array(*[parsed[name] for name in _positional_names(width)])
+def header_columns(line: Column) -> Column:
+    """Column names of a header line, in order; commas and doubled quotes inside quotes are text."""
 
+    def unquoted(name: Column) -> Column:
+        inner = F.replace(F.substring(name, 2, F.length(name) - 2), F.lit('""'), F.lit('"'))
+        return F.when(name.rlike('^".*"$'), inner).otherwise(name)
 
-def header_width(line: Column) -> Column:
-    """Number of fields of a header line, empty names included."""
-    return F.size(F.split(line, _COMMA_OUTSIDE_QUOTES))
+    return F.transform(F.split(line, _COMMA_OUTSIDE_QUOTES, -1), unquoted)
 
 
 def missing_columns(header: Column, required=REQUIRED_COLUMNS) -> Column:
@@ -168,34 +168,40 @@ def missing_columns(header: Column, required=REQUIRED_COLUMNS) -> Column:
     return F.array_sort(F.array_except(wanted, header))
 
 
-def broken_files(files: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
-    """Files that break the column contract: ``path, file_name``.
+def broken_files(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Files that break the column contract, from the survey alone.
 
     A file with no line at all has no block and therefore breaks it too.
     """
     headers = blocks.where("block_start = 0").select(
         decoded_path(F.col("file_path")).alias("path"),
-        missing_columns(header_columns(F.col("header_line"), width)).alias("missing"),
+        missing_columns(header_columns(F.col("header_line"))).alias("missing"),
     )
     return (
         files.join(headers, "path", "left")
         .where(F.col("missing").isNull() | (F.size("missing") > 0))
-        .select("path", "file_name")
+        .drop("missing")
     )
 
 
-def missing_in_file(spark: SparkSession, path: str) -> list[str]:
-    """Sorted missing names of one file, from its first line (stops after that line)."""
-    first = spark.read.text(path).where(F.col("value").rlike(r"\S")).limit(1)
-    width = F.lit(1) + F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
-    row = first.select("value", width.alias("width")).first()
-    if row is None:
-        return sorted(REQUIRED_COLUMNS)
-    header = header_columns(F.lit(row["value"]), row["width"])
-    return spark.range(1).select(missing_columns(header).alias("m")).first()["m"]
+def with_missing(spark: SparkSession, broken: DataFrame, paths) -> DataFrame:
+    """Adds the sorted ``missing`` names to broken files by reading their first lines.
 
+    The survey keeps no header that lacks a name, so these files are read once more.
+    """
+    lines = line_scan(spark, paths).where("block_start = 0")
+    first = lines.groupBy("file_path").agg(F.min("mid").alias("mid"))
+    headers = lines.join(first, ["file_path", "mid"]).select(
+        decoded_path(F.col("file_path")).alias("path"),
+        missing_columns(header_columns(F.col("value"))).alias("missing"),
+    )
+    everything = F.array_sort(F.array(*[F.lit(name) for name in REQUIRED_COLUMNS]))
+    return broken.join(headers, "path", "left").withColumn(
+        "missing", F.coalesce("missing", everything)
+    )
 
-def block_offsets(blocks: DataFrame, width: int) -> DataFrame:
+
+def block_offsets(blocks: DataFrame) -> DataFrame:
     """Per block: the position of its first row, and where its file keeps which column."""
     in_file = Window.partitionBy("file_path").orderBy("block_start")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
@@ -211,7 +217,7 @@ def block_offsets(blocks: DataFrame, width: int) -> DataFrame:
             F.first("header_line").over(in_file).alias("header_line"),
             file_name_of(decoded_path(F.col("file_path"))).alias("file_name"),
         )
-        .withColumn("header", header_columns(F.col("header_line"), width))
+        .withColumn("header", header_columns(F.col("header_line")))
         .select(
             "file_path",
             "block_start",
@@ -221,7 +227,7 @@ def block_offsets(blocks: DataFrame, width: int) -> DataFrame:
             "file_name",
             prefix.alias("batch_prefix"),
             suffix.alias("batch_suffix"),
-            header_width(F.col("header_line")).alias("header_width"),
+            F.size("header").alias("header_width"),
             *[
                 F.array_position("header", name).cast("int").alias(f"at_{name}")
                 for name in REQUIRED_COLUMNS
@@ -263,9 +269,7 @@ def read_source_rows(
     positions. Fields are taken by the position of their name in the file's own header.
     """
     scan = record_scan(spark, paths, layout.width, multi_line)
-    offsets = broadcast_if_at_most(
-        block_offsets(blocks, layout.width), layout.block_count, broadcast_limit
-    )
+    offsets = broadcast_if_at_most(block_offsets(blocks), layout.block_count, broadcast_limit)
     inside = F.col("mid") - F.col("first_mid")
     known = inside.between(F.lit(0), F.col("block_rows") - 1)
     mismatch = F.raise_error(

@@ -216,18 +216,16 @@ class IncrementalIngest:
             yield group
 
     def _ingest(self, files: list[_File]) -> IngestReport | None:
-        key = _ingest_key(files)
+        key = _ingest_key(files, self.options)
         blocks, layout = self._survey(files, key)
         if layout.broken_count or layout.file_count < len(files):
-            broken = csv_files.broken_files(self._listing(files), blocks, layout.width)
+            broken = csv_files.broken_files(self._listing(files), blocks)
             files = self._set_aside(files, broken, key)
             return self._ingest(files) if files else None
 
         previous = self.warehouse.latest_commit()
         clock = F.lit(datetime.now(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
-        accepted, rejected = self._write_transactions(
-            files, key, blocks, layout, clock
-        )
+        accepted, rejected = self._write_transactions(files, key, blocks, layout, clock)
         self._write_history(files, key, previous, clock)
         commit = self._next_commit(key, previous)
         names = [f.file_name for f in files]
@@ -253,28 +251,24 @@ class IncrementalIngest:
 
     def _set_aside(self, files: list[_File], broken: DataFrame, key: str) -> list[_File]:
         """Abort on broken files, or record them and go on with the others."""
+        names = {row["file_name"] for row in broken.select("file_name").collect()}
+        bad = [f for f in files if f.file_name in names]
         if not self.options.quarantine_bad_files:
-            first = broken.orderBy("path").limit(_NAMED_IN_ERROR).collect()
-            described = "; ".join(
-                f"{r['file_name']}: {', '.join(csv_files.missing_in_file(self.spark, literal_path(r['path'])))}"
-                for r in first
-            )
+            shown = self._with_missing(bad[:_NAMED_IN_ERROR]).orderBy("path").collect()
+            described = "; ".join(f"{r['file_name']}: {', '.join(r['missing'])}" for r in shown)
             raise ColumnContractError(
-                f"missing required columns in {broken.count()} file(s): {described}"
+                f"missing required columns in {len(bad)} file(s): {described}"
             )
-        names = {r["file_name"] for r in broken.collect()}
-        rows = [
-            (csv_files.missing_in_file(self.spark, literal_path(f.path)), key, f.file_name)
-            for f in files
-            if f.file_name in names
-        ]
+        aside = self._with_missing(bad).withColumn("ingest_key", F.lit(key))
         self.warehouse.replace_partitions(
-            self.spark.createDataFrame(rows, QUARANTINED_FILES),
-            "quarantined_files",
-            "file_name",
+            aside.select(*QUARANTINED_FILES.names), "quarantined_files", "file_name"
         )
         return [f for f in files if f.file_name not in names]
 
+    def _with_missing(self, files: list[_File]) -> DataFrame:
+        paths = [literal_path(f.path) for f in files]
+        return csv_files.with_missing(self.spark, self._listing(files), paths)
+
     def _write_transactions(self, files, key, blocks, layout, clock):
         """Second pass: one job that writes accepted and rejected rows side by side."""
         options = self.options
@@ -353,10 +347,14 @@ class IncrementalIngest:
         )
 
 
-def _ingest_key(files: list[_File]) -> str:
-    """Names the work, not the attempt, so a replay finds its own partitions."""
-    names = "|".join(sorted(f.file_name for f in files))
-    return hashlib.sha256(names.encode()).hexdigest()[:16]
+def _ingest_key(files: list[_File], options: IngestOptions) -> str:
+    """Names the work, not the attempt, so a replay finds its own partitions.
+
+    Options and file sizes are part of it: partitions of an abandoned attempt that
+    would have come out differently are never taken for those of this one.
+    """
+    work = [(f.file_name, f.length) for f in sorted(files, key=lambda f: f.file_name)]
+    return hashlib.sha256(repr((work, options)).encode()).hexdigest()[:16]
 
 
 def _in_given_order(files: list[_File], paths: list[str]) -> list[_File]:
