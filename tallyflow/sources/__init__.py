@@ -1,4 +1,4 @@
-from tallyflow.sources.csv_files import ColumnContractError, missing_columns
+from tallyflow.sources.csv_files import ColumnContractError, missing_columns, open_source
 from tallyflow.sources.discovery import discover, list_files, pending, stream_files, with_phase
 
 __all__ = [
@@ -6,6 +6,7 @@ __all__ = [
     "discover",
     "list_files",
     "missing_columns",
+    "open_source",
     "pending",
     "stream_files",
     "with_phase",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.text import batch_id_ends, decoded_path, file_name_of
 from tallyflow.schemas import REQUIRED_COLUMNS
-from tallyflow.session import broadcast_if_at_most
+from tallyflow.session import broadcast_if_at_most, prepare, shared_dir
 
 # The doubled quote is the escape, as in RFC 4180.
 _CSV_OPTIONS = {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}
@@ -292,3 +292,22 @@ def read_source_rows(
         )
         .where(F.col("ordinal") >= 0)
     )
+
+
+def open_source(spark: SparkSession, paths, multi_line: bool = False) -> DataFrame:
+    """Positioned raw rows of CSV files outside any ingest.
+
+    The survey is stored in the shared folder, so the result can be used repeatedly.
+    """
+    prepare(spark)
+    paths = list(paths)
+    stored = shared_dir(spark, "survey")
+    survey_blocks(line_scan(spark, paths)).write.parquet(f"{stored}/lines")
+    blocks = spark.read.parquet(f"{stored}/lines")
+    layout = read_layout(blocks)
+    if layout.broken_count or not layout.file_count:
+        raise ColumnContractError("some source files lack required columns")
+    if multi_line:
+        survey_records(spark, paths, blocks, layout.width).write.parquet(f"{stored}/records")
+        blocks = spark.read.parquet(f"{stored}/records")
+    return read_source_rows(spark, paths, blocks, layout, multi_line)

@@ -20,6 +20,7 @@ from tallyflow.operators.reports import full_scan_stats, reconciliation
 from tallyflow.schemas import (
     FILE_LISTING,
     QUARANTINED_FILES,
+    STATE,
     STATISTICS_HISTORY,
     TRANSACTIONS,
     VALIDATION_FILE_NAME,
@@ -104,13 +105,21 @@ class IncrementalIngest:
         )
         return reports
 
-    def ingest_files(self, paths) -> list[IngestReport]:
-        """Batch twin of the stream: the given files, in the given order, unless done already."""
+    def ingest_files(
+        self, paths, initial_state: DataFrame | None = None
+    ) -> list[IngestReport]:
+        """Batch twin of the stream: the given files, in the given order, unless done already.
+
+        Totals go on from ``initial_state`` (one row) if given, else from the saved state.
+        """
         paths = list(paths)
         if not paths:
             return []
+        start = None
+        if initial_state is not None:
+            start = initial_state.select(*STATE.names).first().asDict()
         listed = self._collect(list_files(self.spark, map(literal_path, paths), glob="*"))
-        return self._ingest_pending(_in_given_order(listed, paths))
+        return self._ingest_pending(_in_given_order(listed, paths), start)
 
     def discover(self, include_validation: bool = False) -> DataFrame:
         return discover(
@@ -183,7 +192,9 @@ class IncrementalIngest:
         """File names reach the driver anyway, to be handed to a reader; rows never do."""
         return [_File(r["path"], r["file_name"], r["length"]) for r in files.collect()]
 
-    def _ingest_pending(self, files: list[_File]) -> list[IngestReport]:
+    def _ingest_pending(
+        self, files: list[_File], start: dict | None = None
+    ) -> list[IngestReport]:
         if not files:
             return []
         unseen = pending(self._listing(files), self.warehouse.processed_files())
@@ -192,11 +203,13 @@ class IncrementalIngest:
         for file in files:
             if file.file_name in undone:
                 chosen.setdefault(file.file_name, file)
-        return [
-            report
-            for group in self._groups(list(chosen.values()))
-            if (report := self._ingest(group)) is not None
-        ]
+        reports = []
+        for group in self._groups(list(chosen.values())):
+            report = self._ingest(group, start)
+            if report is not None:
+                reports.append(report)
+                start = None
+        return reports
 
     def _listing(self, files: list[_File]) -> DataFrame:
         rows = [(f.path, f.file_name, f.length) for f in files]
@@ -215,15 +228,15 @@ class IncrementalIngest:
         if group:
             yield group
 
-    def _ingest(self, files: list[_File]) -> IngestReport | None:
+    def _ingest(self, files: list[_File], start: dict | None) -> IngestReport | None:
         key = _ingest_key(files, self.options)
         blocks, layout = self._survey(files, key)
         if layout.broken_count or layout.file_count < len(files):
             broken = csv_files.broken_files(self._listing(files), blocks)
             files = self._set_aside(files, broken, key)
-            return self._ingest(files) if files else None
+            return self._ingest(files, start) if files else None
 
-        previous = self.warehouse.latest_commit()
+        previous = replace(self.warehouse.latest_commit(), **(start or {}))
         clock = F.lit(datetime.now(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
         accepted, rejected = self._write_transactions(files, key, blocks, layout, clock)
         self._write_history(files, key, previous, clock)

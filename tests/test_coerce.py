@@ -95,4 +95,6 @@ def test_names(spark):
 def test_batch_id_is_repeatable_and_padded(spark):
     ids = evaluate(spark, ["a.csv", "a.csv", "b.csv"], batch_id(F.col("t"), F.lit(7).cast("bigint")))
     assert ids[0] == ids[1] != ids[2]
+    (long,) = evaluate(spark, ["a.csv"], batch_id(F.col("t"), F.lit(123456).cast("bigint")))
+    assert long.startswith("a-lote-123456-")
     assert ids[0].startswith("a-lote-0007-") and len(ids[0].rsplit("-", 1)[1]) == 8

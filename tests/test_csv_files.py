@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyflow import operators as ops
 from tallyflow.session import prepare
 from tallyflow.sources import csv_files
 from tallyflow.sources.discovery import discover, list_files, literal_path, pending
@@ -108,10 +109,26 @@ def test_a_survey_of_other_splits_is_refused(spark, tmp_path):
 def test_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text(f'note,{HEADER}\n"two\nlines",d,1,2\nx,d,3,4\n')
     (tmp_path / "b.csv").write_text(f"{HEADER}\nd,5,6\n")
-    assert contents(read(spark, tmp_path, multi_line=True)) == {
+    expected = {
         "a.csv": [(0, "d", "1", "2", False), (1, "d", "3", "4", False)],
         "b.csv": [(0, "d", "5", "6", False)],
     }
+    assert contents(read(spark, tmp_path, multi_line=True)) == expected
+    paths = [str(tmp_path / name) for name in expected]
+    assert contents(csv_files.open_source(spark, paths, multi_line=True)) == expected
+
+
+def test_chunked_reading_without_an_ingest(spark, tmp_path):
+    path = tmp_path / "transactions.csv"
+    path.write_text(HEADER + "\n1/1/2026,10,1\n1/2/2026,,2\n1/3/2026,30,3\n")
+    chunks = ops.assign_chunks(csv_files.open_source(spark, [str(path)]), 2)
+    good, bad = ops.split_valid_rejected(ops.coerce_rows(chunks))
+    seen = [(r["chunk_index"], r["price"]) for r in good.orderBy("ordinal").collect()]
+    assert seen == [(1, 10.0), (2, 30.0)]
+    assert [(r["chunk_index"], r["user_id"]) for r in bad.collect()] == [(1, 2)]
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(csv_files.ColumnContractError):
+        csv_files.open_source(spark, [str(tmp_path / "bad.csv")])
 
 
 def test_contract_names_missing_columns(spark, tmp_path):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyflow import IncrementalIngest, IngestOptions, Warehouse
+from tallyflow.schemas import STATE
 from tallyflow.sources.csv_files import ColumnContractError
 
 HEADER = "timestamp,price,user_id\n"
@@ -137,6 +138,9 @@ def test_given_order_and_repeated_names(spark, source, target, tmp_path):
     ingest.ingest_files(paths)
     assert [t[0] for t in totals(ingest)] == ["b.csv", "a.csv"]
     assert state(ingest) == (2, 3.0, 1.0, 2.0)
+    start = spark.createDataFrame([(4, 100.0, -5.0, 7.0)], STATE)
+    ingest.ingest_files([write(source, "c.csv", ["50"])], start)
+    assert state(ingest) == (5, 150.0, -5.0, 50.0)
     (source / "empty.csv").write_text("")
     with pytest.raises(ColumnContractError, match="empty.csv"):
         ingest.ingest_files([str(source / "empty.csv")])
