@@ -37,7 +37,7 @@ def batch_id(file_name: Column, chunk_index: Column) -> Column:
 
 
 def two_decimals(value: Column) -> Column:
-    """Fixed two decimals without grouping, ties judged on the binary value; NULL prints ``None``."""
+    """Two decimals without grouping, ties judged on the binary value; NULL prints ``None``."""
     shown = F.call_function("format_number", value, F.lit("0.00"))
     signed_infinity = F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))
     return F.coalesce(

@@ -326,10 +326,8 @@ class IncrementalIngest:
         )
         written = self.warehouse.uncommitted_transactions(key).where("branch = 'raw'")
         metrics = batch_metrics(written, ("file_name", "chunk_index"), options.sum_scale)
-        state = self.spark.createDataFrame(
-            [(previous.global_count, previous.global_sum, previous.global_min, previous.global_max)],
-            "global_count long, global_sum double, global_min double, global_max double",
-        )
+        saved = tuple(getattr(previous, name) for name in STATE.names)
+        state = self.spark.createDataFrame([saved], STATE)
         history = running_history(
             metrics.join(F.broadcast(ranks), "file_name"),
             state,
