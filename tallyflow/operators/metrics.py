@@ -1,7 +1,7 @@
 """Batch metrics and mergeable running state.
 
-``sum_scale`` makes a sum exact and independent of order: prices are added as
-decimals with that many places and shown as double. Without it sums are plain doubles.
+``sum_scale`` makes a sum independent of order: prices are added as decimals with that
+many places (more are rounded away) and shown as double. Without it sums are doubles.
 """
 
 from functools import reduce
