@@ -1,12 +1,15 @@
+import os
 from types import SimpleNamespace
 
-from tallyflow.session import prepare, shared_dir
+import pytest
 
+from tallyflow.session import prepare, remove, shared_dir, written
 
-def fake(checkpoint_dir):
+
+def fake(checkpoint_dir, master="local[2]"):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default: checkpoint_dir),
-        sparkContext=SimpleNamespace(applicationId="app-1"),
+        sparkContext=SimpleNamespace(applicationId="app-1", master=master, getCheckpointDir=lambda: None, _jsc=None),
     )
 
 
@@ -16,6 +19,21 @@ def test_shared_dir_follows_the_cluster_setting():
     assert shared_dir(fake("s3a://b"), "x") != shared_dir(fake("s3a://b"), "x")
 
 
+def test_shared_dir_needs_a_shared_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(fake(None, "spark://host:7077"), "x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(fake(None, "local-cluster[2,1,1024]"), "x")
+
+
+def test_written_tables_are_removed(spark):
+    table = written(spark.range(5), "some-rows")
+    (path,) = {file.rpartition("/")[0] for file in table.inputFiles()}
+    assert table.count() == 5
+    remove(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_prepare_keeps_what_the_user_set(spark):
     key = "spark.sql.files.minPartitionNum"
     before = spark.conf.get(key, None)
