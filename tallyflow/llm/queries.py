@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import bpe_arrays, bpe_monoid, host_rules, mixing, sharding, stream_dedup
+from tallyflow.llm import bpe_arrays, bpe_monoid, host_rules, mixing, sharding, stream_dedup, substrings
 from tallyflow.llm.common import documents
 
 
@@ -19,6 +19,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.without_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", stream_dedup.sha256(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     counted = bpe_arrays.token_counts(spark, documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
@@ -41,6 +46,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_sharding, op6_token_counts, op7_quality_rules, op8_bpe, op9_exact_dedup)
+    f.__name__: f for f in (op1_mixing, op2_sharding, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_bpe, op9_exact_dedup)
 }
 ORACLES: dict[str, str] = {}
