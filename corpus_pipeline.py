@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.llm import bpe_monoid, host_rules, mixing, stream_dedup
+from tallyflow.llm import bpe_monoid, host_rules, jaccard_join, mixing, stream_dedup
 from tallyflow.llm.common import documents
 from tallyflow.session import written
 
