@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import bpe_arrays, bpe_monoid, host_rules, jaccard_join, mixing, sharding, stream_dedup, substrings
+from tallyflow.llm import bpe_arrays, bpe_monoid, context_tree, host_rules, jaccard_join, mixing, sharding, stream_dedup, substrings
 from tallyflow.llm.common import documents
 
 
@@ -19,6 +19,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return context_tree.score(spark, docs, context_tree.train(docs))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -50,6 +55,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_sharding, op4_jaccard_join, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_bpe, op9_exact_dedup)
+    f.__name__: f for f in (op1_mixing, op2_sharding, op3_context_tree, op4_jaccard_join, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_bpe, op9_exact_dedup)
 }
 ORACLES: dict[str, str] = {}
