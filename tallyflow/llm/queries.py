@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import bpe_arrays, bpe_monoid, context_tree, host_rules, jaccard_join, mixing, sharding, stream_dedup, substrings
+from tallyflow.llm import bpe_arrays, bpe_monoid, context_tree, host_rules, jaccard_join, mixing, sharding, stream_dedup, substrings, toxicity
 from tallyflow.llm.common import documents
 
 
@@ -54,7 +54,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.score(spark, docs, toxicity.train(docs, labels)).drop("n_windows")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_sharding, op3_context_tree, op4_jaccard_join, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_bpe, op9_exact_dedup)
+    f.__name__: f for f in (op1_mixing, op2_sharding, op3_context_tree, op4_jaccard_join, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_bpe, op9_exact_dedup, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
