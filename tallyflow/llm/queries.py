@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm import bpe_arrays, bpe_monoid, context_tree, host_rules, jaccard_join, mixing, sharding, stream_dedup, substrings, toxicity
 from tallyflow.llm.common import documents
+from tallyflow.llm.oracles import ORACLES
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, toxicity.train(docs, labels)).drop("n_windows")
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_sharding, op3_context_tree, op4_jaccard_join, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_bpe, op9_exact_dedup, op10_toxicity)
 }
-ORACLES: dict[str, str] = {}
