@@ -7,13 +7,14 @@ the first shingles of its set in a common order, as many as it could lose and st
 similar to anything. Two similar documents share such a region. The order is by a sketch
 of shingle frequencies, rare ones first; any order gives the same links.
 
-Inside a region documents are pivots. Every member is compared with the pivot, and who
-is within the threshold is linked. If links do not hold a whole region together yet, it
-is divided: each member goes to the region of its nearest pivot, and into every other
-region that the triangle inequality leaves open to its partners; those far from all
-pivots form a region of their own. Regions are joined so again, with more pivots, until
-they are small enough to compare what is left in them. Members that are already held
-together by links need no further comparison, so no region's pairs are ever listed all.
+Inside a region the document whose shingles are most frequent is the pivot, as an
+original is among its copies. Every member is compared with it, and who is within the
+threshold is linked. If links do not hold a whole region together yet, it is joined
+further, by member if it is small. Else it is divided by the distance from the pivot:
+those near it, with those that the triangle inequality leaves open to partners of theirs,
+are joined by their differences from the pivot; those far from it form a region with a
+pivot of its own in the next turn. Members that links already hold together need no
+further comparison, so the pairs of a group of copies are never all listed.
 
 Documents with equal sets are one node. Nodes are known by a 64-bit digest of their set
 beside the full one; every link is computed from the whole texts.
@@ -43,12 +44,14 @@ from tallyflow.session import written
 SHINGLE, SIMILAR, OF = 5, 4, 5
 #: Counters of the frequency sketch, and the chunks in which they travel.
 COUNTERS, CHUNKS = 1 << 21, 16
-#: A shingle this much more frequent than the average counter has its region joined, not windowed.
-HEAVY = 2_000
+#: A shingle this much more frequent than the average counter has its region dealt over shares.
+HEAVY, SALTS = 2_000, 64
 #: Regions up to this size are compared member by member.
 LEAF = 32
-#: Distances in the division of regions, and the threshold as a distance.
+#: Distance up to which a node belongs to its pivot, and the threshold as a distance.
 NEAR, REACH = 0.5, (OF - SIMILAR) / OF
+#: Sets are similar if TWICE times the size of their difference is at most the sum of their sizes.
+TWICE = (OF + SIMILAR) // (OF - SIMILAR)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +125,7 @@ def frequencies(chunks: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-def _regions(batches: Iterator[pa.RecordBatch], shared: Broadcast, heavy: bool) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     counts, limit = shared.value
     for batch in steps(batches):
         offsets, hashes = shingles(batch.column("text"))
@@ -135,8 +138,10 @@ def _regions(batches: Iterator[pa.RecordBatch], shared: Broadcast, heavy: bool)
         lead = size - (SIMILAR * size + OF - 1) // OF + 1
         first = ~pd.Series(node).duplicated().to_numpy()
         chosen = order[(place < lead[row]) & first[row]]
-        chosen = chosen[(count[chosen] >= limit) == heavy]
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[chosen].view(np.int64)), pa.array(node[row[chosen]]), pa.array(size[row[chosen]])], names=["region", "node", "size"])
+        # An original's shingles are all in its copies too; each edit of a copy makes new, rare ones.
+        rarity = -np.floor(1024 * sums(np.log2(count + 1.0), offsets) / np.maximum(size, 1)).astype(np.int64)
+        columns = (hashes[chosen].view(np.int64), node[row[chosen]], size[row[chosen]], rarity[row[chosen]], count[chosen] >= limit)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", "node", "size", "rarity", "heavy"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,38 +203,69 @@ def connected(edges: DataFrame) -> DataFrame:
     return table.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(table.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def divided(rows: DataFrame, pivots: DataFrame, distances: DataFrame) -> DataFrame:
-    """The next regions of large regions: nearest pivots, open neighbours, and those far from all."""
-    known = distances.withColumn("distance", 1 - F.col("common") / F.col("united"))
-    met = rows.join(pivots, "region").where("node <> pivot").join(known, (F.col("node") == F.col("a")) & (F.col("pivot") == F.col("b")), "left")
-    # Never compared: one set is less than half the other, so the distance is over NEAR.
-    met = met.select("region", "node", "size", "pivot", F.coalesce("distance", F.lit(1.0)).alias("distance"))
-    met = met.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-    nearest = met.groupBy("region", "node").agg(F.min(F.struct("distance", "pivot")).alias("home"))
-    met = met.join(nearest, ["region", "node"])
-    near, far = F.col("home.distance") <= NEAR, F.col("home.distance") > NEAR
-    own = near & (F.col("pivot") == F.col("home.pivot"))
-    slack = 1e-9
-    open_ = (F.col("distance") <= NEAR + REACH + slack) & (F.col("distance") <= F.col("home.distance") + 2 * REACH + slack)
-    inner = met.where(own | open_).select(F.xxhash64("region", "pivot").alias("region"), "node", "size")
-    outer = met.where(far).select(F.xxhash64("region", F.lit("far")).alias("region"), "node", "size").distinct()
-    return inner.unionByName(outer)
+def _differences(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    counts, _ = shared.value
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            both = pa.chunked_array([batch.column("text_a"), batch.column("text_b")]).combine_chunks().dictionary_encode()
+            index = both.indices.to_numpy()
+            offsets, hashes = shingles(both.dictionary)
+            a, b = index[: batch.num_rows], index[batch.num_rows :]
+            size = np.diff(offsets)
+            pair = np.concatenate((np.repeat(np.arange(len(a)), size[a]), np.repeat(np.arange(len(b)), size[b])))
+            taken = np.concatenate([hashes[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(offsets[i], k)] for i, k in ((a, size[a]), (b, size[b]))])
+            alone = ~pd.Series(mixed(taken + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).duplicated(keep=False).to_numpy()
+            pair, taken = pair[alone], taken[alone]
+            order = np.lexsort((taken, counts[(taken & np.uint64(COUNTERS - 1)).astype(np.int64)], pair))
+            pair, taken = pair[order], taken[order]
+            delta = np.bincount(pair, minlength=len(a))
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(delta) - delta, delta)
+            excess = TWICE * delta - size[a]
+            linked = excess <= size[b]
+            # Fewest common differences with a partner that isn't linked to the pivot, and with any partner.
+            fewest = np.maximum((excess + size[b]) // (2 * TWICE) + 1, 1)
+            any_ = np.maximum(-((-(excess + TWICE - OF * size[a] // SIMILAR - 1)) // (2 * TWICE)), 1)
+            short = place < (delta - fewest + 1)[pair]
+            chosen = short | (~linked[pair] & (place < (delta - any_ + 1)[pair]))
+            rows = pair[chosen]
+            yield pa.RecordBatch.from_arrays([batch.column("b").take(pa.array(rows)), batch.column("a").take(pa.array(rows)), pa.array(taken[chosen].view(np.int64)), pa.array(linked[rows]), pa.array(short[chosen])], names=["pivot", "node", "element", "linked", "short"])
+
+
+def around_pivots(near: DataFrame, texts: DataFrame, counts: Broadcast, facts: DataFrame) -> DataFrame:
+    """Pairs that may be similar although links don't hold them together yet, of nodes near one pivot.
+
+    Two sets differ by the difference of their differences from the pivot. If both were
+    closer to it than the threshold they would be linked through it; so the differences of
+    any other similar pair have a least number of elements in common, and share one of the
+    first few in a common order. ``facts`` has node, root and size.
+    """
+    side = [texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
+    joined = near.select("a", "b").join(side[0], "a").join(side[1], "b")
+    rows = map_batches(joined, partial(_differences, shared=counts), "pivot long, node long, element long, linked boolean, short boolean")
+    rows = written(rows.join(facts, "node"), "differences")
+    other = rows.where("not linked").select("pivot", "element", F.col("node").alias("b"), F.col("short").alias("b_short"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+    met = rows.where("short").withColumnRenamed("node", "a").join(other, ["pivot", "element"]).where("root <> b_root and (linked or (b_short and a < b))")
+    return met.where(similar("size", "b_size")).select("a", "b").distinct()
 
 
 def first_regions(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """region, node, size and pivot of all regions with two nodes or more."""
-    spark = docs.sparkSession
+    """region, node, size, rarity and pivot (the least rare node) of all regions with two nodes or more.
+
+    Regions of frequent shingles are first taken in SALTS shares, so that one that holds a
+    third of all documents is no single group.
+    """
     limit = int(counts.sum()) // COUNTERS + HEAVY
-    shared = spark.sparkContext.broadcast((counts, limit))
-    schema = "region long, node long, size long"
-    rows = map_batches(docs.select("text"), partial(_regions, shared=shared, heavy=False), schema)
-    region = Window.partitionBy("region")
-    light = rows.select("*", F.min("node").over(region).alias("pivot"), F.max("node").over(region).alias("last")).where("pivot <> last").drop("last")
-    if int(counts.max()) < limit:
-        return light
-    rows = written(map_batches(docs.select("text"), partial(_regions, shared=shared, heavy=True), schema), "heavy-regions")
-    pivots = rows.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").drop("last")
-    return light.unionByName(rows.join(pivots, "region").select("region", "node", "size", "pivot"))
+    shared = docs.sparkSession.sparkContext.broadcast((counts, limit))
+    rows = map_batches(docs.select("text"), partial(_regions, shared=shared), "region long, node long, size long, rarity long, heavy boolean")
+    region = Window.partitionBy("region", "share")
+    rows = rows.withColumn("share", F.when(F.col("heavy"), F.pmod("node", F.lit(SALTS))).otherwise(0))
+    rows = rows.select("*", F.min(F.struct("rarity", "node")).over(region).alias("pivot"), F.max(F.struct("rarity", "node")).over(region).alias("last"))
+    rows = written(rows.where("heavy or pivot <> last"), "regions")
+    light, heavy = rows.where("not heavy"), rows.where("heavy")
+    pivots = heavy.groupBy("region").agg(F.min("pivot").alias("pivot"), F.max("last").alias("last")).where("pivot <> last").drop("last")
+    columns = ["region", "node", "size", "rarity", F.col("pivot.node").alias("pivot")]
+    return light.select(*columns).unionByName(heavy.drop("pivot").join(pivots, "region").select(*columns))
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -240,7 +276,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     sets = written(map_batches(placed, partial(_sets, names=schema.names), schema), "sets")
     facts = sets.where("chunk is null").drop("chunk", "counts")
     counts = frequencies(sets.where("chunk is not null").select("chunk", "counts"))
-    rows = written(first_regions(placed, counts), "regions")
+    rows = first_regions(placed, counts)
     if rows.isEmpty():
         return facts, None
 
@@ -248,40 +284,46 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     chosen = facts.where("n_shingles > 0").groupBy("node", "second").agg(F.min(F.struct("_file", "_row")).alias("at"))
     chosen = chosen.join(rows.select("node").distinct(), "node").select("node", "at.*")
     texts = written(placed.join(chosen, ["_file", "_row"]).select("node", "text"), "texts")
-    node_sizes = rows.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size")).distinct()
-    meets = rows.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "size").distinct()
-    meets = meets.join(node_sizes.withColumnRenamed("pivot", "b"), "b").where(similar("size", "pivot_size"))
-    edges = written(compared(meets, texts).where(LINKED), "links")
-    roots = connected(edges)
-    rows = rows.where("node <> pivot").select("region", "node", "size")
-
-    turn = 1
+    shared = placed.sparkSession.sparkContext.broadcast((counts, 0))
+    edges, roots, turn = None, None, 0
     while True:
         turn += 1
-        labelled = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        state = labelled.groupBy("region").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-        left = written(labelled.join(state.where("low <> high").select("region", "members"), "region").distinct(), "left")
+        sizes = rows.select(F.col("node").alias("b"), F.col("size").alias("b_size")).distinct()
+        meets = rows.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "size").distinct().join(sizes, "b")
+        # Beyond twice the size the distance is over NEAR, which is all that is asked of it.
+        meets = meets.where(similar("size", "b_size") if turn == 1 else 2 * F.least("size", "b_size") >= F.greatest("size", "b_size"))
+        found = written(compared(meets, texts), "distances")
+        linked = found.where(LINKED)
+        edges = written(linked if edges is None else edges.unionByName(linked), "links")
+        roots = connected(edges)
+        labelled = rows.where("node <> pivot").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shares = labelled.groupBy("region", "root").agg(F.count("*").alias("n"))
+        state = shares.groupBy("region").agg(F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        left = written(labelled.join(state, "region"), "left")
         if left.isEmpty():
             return facts, roots
-        small = left.where(F.col("members") <= LEAF)
+        # Small regions, and larger ones in every further turn, are compared member by member.
+        leaf = LEAF * 4 ** (turn - 1)
+        small = left.where(F.col("members") <= leaf)
         other = small.select("region", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-        pairs = small.withColumnRenamed("node", "a").join(other, "region").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("b_root")))
-        pairs = pairs.where(similar("size", "b_size")).select("a", "b")
-        large = left.where(F.col("members") > LEAF).select("region", "node", "size")
-        # Four times as many pivots in every turn: one of each share of the region.
-        share = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4 ** (turn - 1)))
-        pivots = large.groupBy("region", share.alias("share")).agg(F.min_by(F.struct("node", "size"), "node").alias("p")).select("region", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"))
-        pivots = written(pivots, "pivots")
-        again = not pivots.isEmpty()
+        pairs = small.withColumnRenamed("node", "a").join(other, "region").where("root <> b_root and a < b").where(similar("size", "b_size")).select("a", "b")
+        large = written(left.where(F.col("members") > leaf).select("region", "node", "size", "rarity", "pivot", "root"), "large")
+        again = not large.isEmpty()
         if again:
-            met = large.join(pivots, "region").where((F.col("node") != F.col("pivot")) & (2 * F.least("size", "pivot_size") >= F.greatest("size", "pivot_size")))
-            pairs = pairs.unionByName(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        distances = written(compared(pairs, texts), "distances")
-        edges = written(edges.unionByName(distances.where(LINKED)), "links")
-        roots = connected(edges)
+            meets = large.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "size").distinct().join(sizes, "b").where(2 * F.least("size", "b_size") >= F.greatest("size", "b_size"))
+            found = written(found.unionByName(compared(meets.join(found.select("a", "b"), ["a", "b"], "left_anti"), texts)), "distances")
+            distance = 1 - F.col("common") / F.col("united")
+            near = meets.join(found, ["a", "b"]).where(distance <= NEAR + REACH + 1e-9)
+            pairs = pairs.unionByName(around_pivots(near, texts, shared, large.select("node", "root", "size").distinct()))
+            known = found.select(F.col("a").alias("node"), F.col("b").alias("pivot"), distance.alias("distance"))
+            far = large.join(known, ["node", "pivot"], "left").where(F.coalesce("distance", F.lit(1.0)) > NEAR)
+        edges = written(edges.unionByName(compared(pairs, texts).where(LINKED)), "links")
         if not again:
-            return facts, roots
-        rows = written(divided(large, pivots.drop("pivot_size"), distances).distinct(), "divided")
+            return facts, connected(edges)
+        pivots = far.groupBy("region").agg(F.min(F.struct("rarity", "node")).alias("p"), F.count("*").alias("n")).where("n > 1").select("region", F.col("p.node").alias("pivot"))
+        rows = written(far.select("region", "node", "size", "rarity").join(pivots, "region"), "far")
+        if rows.isEmpty():
+            return facts, connected(edges)
 
 
 def components(docs: DataFrame) -> DataFrame:
