@@ -12,8 +12,7 @@ each at most BAG windows, chosen by a hash of their position. Only a document's
 toxic window learns. The output is then shifted from the sample's share of toxic
 documents to their share among all labelled training documents.
 
-Defined cases: a null, empty or blank text is one window without words and gets the score
-of empty attention. Training labels that are null are left out; of several labels of a
+Defined cases: a null, empty or blank text has nothing toxic in it and scores 0. Training labels that are null are left out; of several labels of a
 doc_id the highest counts. Without labels of both kinds everything scores the known share
 of toxic documents, or 0. Repeated rows are scored one by one. An empty table gives an
 empty result. Other columns are ignored.
@@ -310,6 +309,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
             row, start, length = windows(offsets)
             found = logits(Vocabulary(words, known), start, length, p)
             score = sigmoid(np.maximum.reduceat(found, np.flatnonzero(np.append(True, np.diff(row) > 0))).astype(np.float64) + shift)
+            score[np.diff(offsets) == 0] = 0
         count = np.bincount(row, minlength=batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array(count)], names=["doc_id", "held_out", "score", "n_windows"])
 
