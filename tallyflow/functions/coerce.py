@@ -13,8 +13,8 @@ ISO_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 
 DEFAULT_TIMESTAMP_FORMATS = ("M/d/yyyy", "iso")
 
-# Exclusive bound under which a whole double still fits a bigint.
-_BIGINT_SAFE = 9.2e18
+# Wide enough for every 64-bit integer, with places to see that nothing follows the point.
+_WHOLE_NUMBER = "decimal(38,18)"
 
 
 def parse_timestamp(text: Column, formats=DEFAULT_TIMESTAMP_FORMATS) -> Column:
@@ -42,7 +42,7 @@ def _month_first(text: Column) -> Column:
     three_parts = F.length(month) + F.length(day) + F.length(rest) + 2 == F.length(text)
     year_ends = (F.length(rest) == 4) | F.substring(rest, 5, 1).isin(" ", "T")
     iso = F.concat(
-        F.substring(rest, 1, 4), F.lit("-"), month, F.lit("-"), day, F.substring(rest, 5, 64)
+        F.substring(rest, 1, 4), F.lit("-"), month, F.lit("-"), day, rest.substr(F.lit(5), F.length(rest))
     )
     return F.when(three_parts & year_ends, iso.try_cast("timestamp_ntz"))
 
@@ -78,10 +78,10 @@ def parse_user_id(text: Column, strict: bool = False) -> Column:
     A fractional id is NULL, or an error with ``strict=True``; it is never truncated.
     """
     number = number_in(text)
-    whole = (number == F.floor(number)) & (F.abs(number) < F.lit(_BIGINT_SAFE))
-    parsed = F.coalesce(
-        text.try_cast("bigint"), F.when(whole, number.try_cast("bigint"))
-    )
+    # The decimal keeps the digits that a double rounds away near the ends of the range.
+    exact = F.when(number.isNotNull(), text.try_cast(_WHOLE_NUMBER))
+    whole = (number == F.floor(number)) & (exact == F.floor(exact))
+    parsed = F.coalesce(text.try_cast("bigint"), F.when(whole, exact.try_cast("bigint")))
     if not strict:
         return parsed
     failure = F.raise_error(F.concat(F.lit("user_id is not an integer: "), text))

@@ -12,11 +12,20 @@ from pyspark.sql import functions as F
 CHUNK_KEYS = ("phase", "file_name", "chunk_index")
 
 
-def addend(value: Column, sum_scale: int | None, precision: int = 18) -> Column:
-    return value if sum_scale is None else value.cast(f"decimal({precision},{sum_scale})")
+def addend(value: Column, sum_scale: int | None, precision: int = 28) -> Column:
+    """The value as it is added; one that no decimal of this size holds is an error.
+
+    The error does not depend on the ANSI setting, which would else turn such a price
+    into NULL and leave it out of the sum.
+    """
+    if sum_scale is None:
+        return value
+    exact = value.try_cast(f"decimal({precision},{sum_scale})")
+    failure = F.raise_error(F.concat(F.lit("not exact as a decimal: "), value.cast("string")))
+    return F.when(value.isNotNull() & exact.isNull(), failure.cast(f"decimal({precision},{sum_scale})")).otherwise(exact)
 
 
-def total(value: Column, sum_scale: int | None, precision: int = 18) -> Column:
+def total(value: Column, sum_scale: int | None, precision: int = 28) -> Column:
     """Sum as double; 0 where nothing was added."""
     return F.coalesce(F.sum(addend(value, sum_scale, precision)).cast("double"), F.lit(0.0))
 

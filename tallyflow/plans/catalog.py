@@ -75,9 +75,8 @@ def running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of the later files only, on top of the state the earlier ones left."""
-    metrics = feeds.event_metrics(spark, sf_dir)
-    saved = ops.state_of(metrics.where(feeds.is_early()), SCALE)
-    later = metrics.where(~feeds.is_early())
+    saved = ops.state_of(feeds.event_metrics(spark, sf_dir, feeds.is_early()), SCALE)
+    later = feeds.event_metrics(spark, sf_dir, ~feeds.is_early())
     return ops.running_history(later, saved, sum_scale=SCALE).select(*HISTORY_COLUMNS)
 
 

@@ -47,16 +47,21 @@ def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_phase(texts)
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_chunks(ordinals_by_id(event_texts(spark, sf_dir), "event_id"), EVENT_CHUNK)
+def event_rows(spark: SparkSession, sf_dir: str, files: Column | None = None) -> DataFrame:
+    """Numbered rows, of some files only where ``files`` says which; they are chosen before
+    rows are numbered, which is done file by file."""
+    texts = event_texts(spark, sf_dir)
+    if files is not None:
+        texts = texts.where(files)
+    return assign_chunks(ordinals_by_id(texts, "event_id"), EVENT_CHUNK)
 
 
-def event_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coerce_rows(event_rows(spark, sf_dir))
+def event_coerced(spark: SparkSession, sf_dir: str, files: Column | None = None) -> DataFrame:
+    return coerce_rows(event_rows(spark, sf_dir, files))
 
 
-def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_metrics(event_coerced(spark, sf_dir), sum_scale=SCALE)
+def event_metrics(spark: SparkSession, sf_dir: str, files: Column | None = None) -> DataFrame:
+    return batch_metrics(event_coerced(spark, sf_dir, files), sum_scale=SCALE)
 
 
 def is_early() -> Column:

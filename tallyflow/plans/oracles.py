@@ -1,6 +1,6 @@
 """The same queries as plain SQL for an independent engine."""
 
-from tallyflow.plans.roundtrip import MIN_ROWS_PER_FILE
+from tallyflow.plans.roundtrip import ROWS_PER_FILE
 
 _TEXTS = """
 texts AS (
@@ -104,15 +104,11 @@ days AS (
 
 # Files of the CSV round trip: ranges of event ids, written and read in order.
 _WRITTEN = _TEXTS + f""",
-sized AS (
-    SELECT greatest({MIN_ROWS_PER_FILE}, CAST(floor(sqrt(max(event_id) + 1)) AS BIGINT)) AS per_file
-    FROM events
-),
 placed AS (
-    SELECT t.*, t.event_id // s.per_file AS file_no,
-           row_number() OVER (PARTITION BY t.event_id // s.per_file ORDER BY t.event_id) - 1
+    SELECT t.*, t.event_id // {ROWS_PER_FILE} AS file_no,
+           row_number() OVER (PARTITION BY t.event_id // {ROWS_PER_FILE} ORDER BY t.event_id) - 1
                AS ordinal
-    FROM typed t, sized s
+    FROM typed t
 ),
 coerced AS (SELECT *, ordinal // 10 + 1 AS chunk_index FROM placed)"""
 

@@ -11,9 +11,8 @@ from tallyflow.session import shared_dir
 from tallyflow.sources.discovery import list_files
 from tallyflow.streaming import IncrementalIngest, IngestOptions
 
-# Rows per file grow with the square root of the table, so neither the number of
-# files nor the size of one gets out of hand.
-MIN_ROWS_PER_FILE = 1000
+# The same at every size, so that a row's file does not depend on the rest of the table.
+ROWS_PER_FILE = 1000
 
 _OPTIONS = IngestOptions(chunk_size=EVENT_CHUNK, sum_scale=SCALE)
 
@@ -22,9 +21,8 @@ def numbered_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Event texts with the number of the file each row goes to, and the number of files."""
     texts = event_texts(spark, sf_dir)
     top = texts.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("top")).first()["top"]
-    per_file = max(MIN_ROWS_PER_FILE, int((top + 1) ** 0.5))
-    numbered = texts.withColumn("file_no", F.expr(f"cast(event_id div {per_file} as int)"))
-    return numbered, top // per_file + 1
+    numbered = texts.withColumn("file_no", F.expr(f"cast(event_id div {ROWS_PER_FILE} as int)"))
+    return numbered, top // ROWS_PER_FILE + 1
 
 
 def write_csv(numbered: DataFrame, first: int, end: int, target: str) -> None:

@@ -116,4 +116,6 @@ FILE_LISTING = _struct(
     ("path", StringType()),
     ("file_name", StringType()),
     ("length", LongType()),
+    # Time of the last change, as text: it only tells versions of a file apart.
+    ("changed", StringType()),
 )

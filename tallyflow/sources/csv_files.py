@@ -7,8 +7,6 @@ row id into a position in the file and tells which field holds which column.
 """
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +22,11 @@ _CSV_OPTIONS = {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}
 # with the same reader as the fields makes both passes agree on what a row is.
 _LINE_OPTIONS = {"mode": "PERMISSIVE", "sep": "\u0001", "quote": ""}
 
+# Rows with more or fewer fields than the widest header are kept whole in a column of
+# their own. That needs all fields of a row to be split, also those not asked for.
+_ODD_ROW, _MARK = "_odd_row", "\u0001end"
+_ODD_ROWS = {"columnNameOfCorruptRecord": _ODD_ROW, "columnPruning": "false"}
+
 _COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 BROADCAST_BLOCK_LIMIT = 200_000
@@ -66,12 +69,13 @@ def line_scan(spark: SparkSession, paths) -> DataFrame:
 
 def record_scan(spark: SparkSession, paths, width: int, multi_line: bool = False) -> DataFrame:
     """Records, header included, as ``c0, c1, ...``; a file is one split if they span lines."""
+    names = _positional_names(width)
     scan = (
-        spark.read.options(**_CSV_OPTIONS, multiLine=multi_line)
-        .schema(_positional_schema(width))
+        spark.read.options(**_CSV_OPTIONS, **_ODD_ROWS, multiLine=multi_line)
+        .schema(", ".join(f"{name} string" for name in [*names, _ODD_ROW]))
         .csv(list(paths))
     )
-    return _positioned(scan, *_positional_names(width))
+    return _positioned(scan, *names, _ODD_ROW)
 
 
 def survey_blocks(lines: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
@@ -144,12 +148,7 @@ def read_layout(blocks: DataFrame) -> Layout:
 
 
 def _positional_names(width: int) -> list[str]:
-    # One field more than the widest header, to notice rows that are too long.
-    return [f"c{i}" for i in range(width + 1)]
-
-
-def _positional_schema(width: int) -> str:
-    return ", ".join(f"{name} string" for name in _positional_names(width))
+    return [f"c{i}" for i in range(width)]
 
 
 def header_columns(line: Column) -> Column:
@@ -244,13 +243,18 @@ def _required_field(name: str, positions: list[int]) -> Column:
     return F.coalesce(*choices)
 
 
-def _too_long(widths: list[int]) -> Column:
-    """Some field beyond the file's own header holds text."""
-    beyond = [
-        (F.col(f"c{i}") != "") & (F.col("header_width") <= i)
-        for i in range(min(widths), max(widths) + 1)
-    ]
-    return F.coalesce(reduce(or_, beyond), F.lit(False))
+def _too_long(width: int) -> Column:
+    """The row has more fields than its file's header, empty ones counted.
+
+    The reader hands over whole rows that haven't ``width`` fields. A mark is put behind
+    such a row; the field in which it is read back tells how many come before it.
+    """
+    schema = ", ".join(f"m{i} string" for i in range(width + 1))
+    marked = F.from_csv(F.concat(F.col(_ODD_ROW), F.lit(f",{_MARK}")), schema, _CSV_OPTIONS)
+    fields = F.coalesce(
+        *[F.when(marked[f"m{i}"].contains(_MARK), i) for i in range(width + 1)], F.lit(width + 1)
+    )
+    return F.when(F.col(_ODD_ROW).isNull(), width).otherwise(fields) > F.col("header_width")
 
 
 def read_source_rows(
@@ -286,7 +290,7 @@ def read_source_rows(
             fields["timestamp"].alias("ts_raw"),
             fields["price"].alias("price_raw"),
             fields["user_id"].alias("user_raw"),
-            _too_long(layout.header_widths).alias("too_long"),
+            _too_long(layout.width).alias("too_long"),
             "batch_prefix",
             "batch_suffix",
         )

@@ -31,7 +31,7 @@ def literal_path(path: str) -> str:
 
 
 def list_files(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
-    """``path, file_name, length`` of the files directly in a directory, or of the given
+    """``path, file_name, length, changed`` of the files directly in a directory, or of the given
     files. The content column is pruned, so no file is opened."""
     try:
         found = (
@@ -44,13 +44,18 @@ def list_files(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         raise FileNotFoundError(error.getMessageParameters().get("path")) from error
-    return found.select("path", file_name_of(F.col("path")).alias("file_name"), "length")
+    return _listed(found)
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    changed = F.unix_micros("modificationTime").cast("string").alias("changed")
+    return found.select("path", file_name_of(F.col("path")).alias("file_name"), "length", changed)
 
 
 def stream_files(
     spark: SparkSession, source_dir: str, glob: str = "*.csv", max_files: int | None = None
 ) -> DataFrame:
-    """File arrivals as a stream of ``path, file_name, length``.
+    """File arrivals as a stream of ``path, file_name, length, changed``.
 
     A name counts once. Files are taken however old they are: the default age limit
     would silently skip an unseen file with an old modification time.
@@ -64,9 +69,7 @@ def stream_files(
     )
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(source_dir).select(
-        "path", file_name_of(F.col("path")).alias("file_name"), "length"
-    )
+    return _listed(reader.load(literal_path(source_dir)))
 
 
 def with_phase(files: DataFrame, validation_name: str = VALIDATION_FILE_NAME) -> DataFrame:
@@ -84,7 +87,8 @@ def discover(
     validation_name: str = VALIDATION_FILE_NAME,
 ) -> DataFrame:
     """Source files in processing order; an error when there is none."""
-    files = list_files(spark, source_dir)
+    refuse_hidden(spark, source_dir)
+    files = list_files(spark, literal_path(source_dir))
     if not include_validation:
         files = files.where(F.col("file_name") != validation_name)
     if files.isEmpty():
@@ -92,6 +96,18 @@ def discover(
     return files.orderBy("path")
 
 
+def refuse_hidden(spark: SparkSession, source_dir: str) -> None:
+    """An error where CSV files have names that Spark's listing passes over."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source_dir)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(literal_path(source_dir), "{_,.}*.csv")
+    hidden = sorted(status.getPath().getName() for status in system.globStatus(named) or [])
+    if hidden:
+        raise ValueError(f"files whose names Spark hides must be renamed: {', '.join(hidden)}")
+
+
 def pending(files: DataFrame, processed: DataFrame) -> DataFrame:
     """Files whose name is not in ``processed(file_name)``. Only the name identifies a file."""
     return files.join(processed.select("file_name"), "file_name", "left_anti")

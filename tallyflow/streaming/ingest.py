@@ -74,6 +74,7 @@ class _File:
     path: str
     file_name: str
     length: int
+    changed: str = ""
 
 
 class IncrementalIngest:
@@ -84,13 +85,17 @@ class IncrementalIngest:
         spark: SparkSession,
         source_dir: str,
         warehouse_dir: str,
-        chunk_size: int = 10,
+        chunk_size: int | None = None,
         options: IngestOptions | None = None,
     ) -> None:
         self.spark = prepare(spark)
         self.source_dir = source_dir.rstrip("/")
         self.warehouse = Warehouse(spark, warehouse_dir).initialize()
-        self.options = options or IngestOptions(chunk_size=chunk_size)
+        if options is not None and chunk_size not in (None, options.chunk_size):
+            options = replace(options, chunk_size=chunk_size)
+        self.options = options or IngestOptions(**({} if chunk_size is None else {"chunk_size": chunk_size}))
+        # Surveys made ahead of their ingest, by key; only their numbers are held here.
+        self._surveys: dict[str, tuple[DataFrame, Layout]] = {}
         if self.options.chunk_size <= 0:
             raise ValueError("chunk_size must be greater than zero")
 
@@ -101,7 +106,7 @@ class IncrementalIngest:
         discover(self.spark, self.source_dir, validation_name=self.options.validation_name)
         reports = self._drain("source", "*.csv", self._source_files)
         reports += self._drain(
-            "validation", self.options.validation_name, self._validation_files
+            "validation", literal_path(self.options.validation_name), self._validation_files
         )
         return reports
 
@@ -180,17 +185,17 @@ class IncrementalIngest:
         return reserved if phase == "validation" else ~reserved
 
     def _source_files(self) -> DataFrame:
-        files = list_files(self.spark, self.source_dir)
+        files = list_files(self.spark, literal_path(self.source_dir))
         return files.where(self._in_phase("source")).orderBy("path")
 
     def _validation_files(self) -> DataFrame:
-        return list_files(self.spark, self.source_dir, self.options.validation_name)
+        return list_files(self.spark, literal_path(self.source_dir), literal_path(self.options.validation_name))
 
     # One ingest
 
     def _collect(self, files: DataFrame) -> list[_File]:
         """File names reach the driver anyway, to be handed to a reader; rows never do."""
-        return [_File(r["path"], r["file_name"], r["length"]) for r in files.collect()]
+        return [_File(r["path"], r["file_name"], r["length"], str(r["changed"])) for r in files.collect()]
 
     def _ingest_pending(
         self, files: list[_File], start: dict | None = None
@@ -204,7 +209,12 @@ class IncrementalIngest:
             if file.file_name in undone:
                 chosen.setdefault(file.file_name, file)
         reports = []
-        for group in self._groups(list(chosen.values())):
+        groups = list(self._groups(list(chosen.values())))
+        if len(groups) > 1 and not self.options.quarantine_bad_files:
+            # What aborts must do so before anything is committed, however the work is split.
+            for group in groups:
+                self._surveyed(group)
+        for group in groups:
             report = self._ingest(group, start)
             if report is not None:
                 reports.append(report)
@@ -212,7 +222,7 @@ class IncrementalIngest:
         return reports
 
     def _listing(self, files: list[_File]) -> DataFrame:
-        rows = [(f.path, f.file_name, f.length) for f in files]
+        rows = [(f.path, f.file_name, f.length, f.changed) for f in files]
         return self.spark.createDataFrame(rows, FILE_LISTING)
 
     def _groups(self, files: list[_File]):
@@ -229,22 +239,33 @@ class IncrementalIngest:
             yield group
 
     def _ingest(self, files: list[_File], start: dict | None) -> IngestReport | None:
-        key = _ingest_key(files, self.options)
-        blocks, layout = self._survey(files, key)
-        if layout.broken_count or layout.file_count < len(files):
-            broken = csv_files.broken_files(self._listing(files), blocks)
-            files = self._set_aside(files, broken, key)
-            return self._ingest(files, start) if files else None
+        key, blocks, layout, intact = self._surveyed(files)
+        if len(intact) < len(files):
+            return self._ingest(intact, start) if intact else None
 
         previous = replace(self.warehouse.latest_commit(), **(start or {}))
         clock = F.lit(datetime.now(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
         accepted, rejected = self._write_transactions(files, key, blocks, layout, clock)
         self._write_history(files, key, previous, clock)
+        del self._surveys[key]
         commit = self._next_commit(key, previous)
         names = [f.file_name for f in files]
         self.warehouse.append_commit(commit, key, names)
         return IngestReport(key, commit.version, tuple(names), accepted, rejected, commit)
 
+    def _surveyed(self, files: list[_File]) -> tuple[str, DataFrame, Layout, list[_File]]:
+        """Key and survey of some files, and those that keep the column contract."""
+        key = _ingest_key(files, self.options)
+        if key not in self._surveys:
+            self._surveys = {k: self._surveys[k] for k in list(self._surveys)[-1000:]}
+            self._surveys[key] = self._survey(files, key)
+        blocks, layout = self._surveys[key]
+        if layout.broken_count or layout.file_count < len(files):
+            broken = csv_files.broken_files(self._listing(files), blocks)
+            del self._surveys[key]
+            return key, blocks, layout, self._set_aside(files, broken, key)
+        return key, blocks, layout, files
+
     def _survey(self, files: list[_File], key: str) -> tuple[DataFrame, Layout]:
         """First pass, stored: later steps must all see the same split table."""
         paths = [literal_path(f.path) for f in files]
@@ -324,7 +345,7 @@ class IncrementalIngest:
         ranks = self.spark.createDataFrame(
             [(f.file_name, i) for i, f in enumerate(files)], "file_name string, file_rank long"
         )
-        written = self.warehouse.uncommitted_transactions(key).where("branch = 'raw'")
+        written = self.warehouse.uncommitted_raw(key)
         metrics = batch_metrics(written, ("file_name", "chunk_index"), options.sum_scale)
         saved = tuple(getattr(previous, name) for name in STATE.names)
         state = self.spark.createDataFrame([saved], STATE)
@@ -361,10 +382,10 @@ class IncrementalIngest:
 def _ingest_key(files: list[_File], options: IngestOptions) -> str:
     """Names the work, not the attempt, so a replay finds its own partitions.
 
-    Options and file sizes are part of it: partitions of an abandoned attempt that
-    would have come out differently are never taken for those of this one.
+    Options, file sizes and times of change are part of it: partitions of an abandoned
+    attempt that would have come out differently are never taken for those of this one.
     """
-    work = [(f.file_name, f.length) for f in sorted(files, key=lambda f: f.file_name)]
+    work = [(f.file_name, f.length, f.changed) for f in sorted(files, key=lambda f: f.file_name)]
     return hashlib.sha256(repr((work, options)).encode()).hexdigest()[:16]
 
 
@@ -376,14 +397,17 @@ def _in_given_order(files: list[_File], paths: list[str]) -> list[_File]:
     """
     wanted: dict[str, list[tuple[int, str]]] = {}
     for position, path in enumerate(paths):
-        tail = re.sub(r"^\w+:/*", "/", path)
+        tail = "/" + re.sub(r"^\w+:/*", "", path).lstrip("/")
         wanted.setdefault(tail.rsplit("/", 1)[-1], []).append((position, tail))
-    placed = [
-        (position, file)
-        for file in files
-        for position, tail in wanted.get(file.file_name, [])
-        if file.path.endswith(tail)
-    ]
+    # Of several listed paths that end like a given one, the shortest is meant: the others
+    # lie in folders below it.
+    placed = []
+    for name, tails in wanted.items():
+        same = [f for f in files if f.file_name == name]
+        for position, tail in tails:
+            ends = [f for f in same if ("/" + f.path.lstrip("/")).endswith(tail)]
+            if ends:
+                placed.append((position, min(ends, key=lambda f: len(f.path))))
     absent = set(range(len(paths))) - {position for position, _ in placed}
     if absent:
         raise ColumnContractError(f"no columns to read in {paths[min(absent)]}")

@@ -5,11 +5,12 @@ ingest. A row counts only if its key stands in ``commits``; that table is append
 last, so a half-written ingest is invisible and a replay overwrites its own partitions.
 """
 
-import json
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tallyflow import schemas
 
@@ -58,9 +59,19 @@ class Warehouse:
     def _committed(self, table: DataFrame) -> DataFrame:
         return table.join(self.commits().select("ingest_key"), "ingest_key", "left_semi")
 
-    def uncommitted_transactions(self, ingest_key: str) -> DataFrame:
-        stored = self._stored("transactions", schemas.TRANSACTIONS)
-        return stored.where(F.col("ingest_key") == ingest_key)
+    def _of_key(self, table: str, schema, ingest_key: str, *before: str) -> DataFrame:
+        """One ingest's rows, from its own folder: what earlier ones wrote is not even listed."""
+        folder = "/".join([self.path(table), *before, f"ingest_key={ingest_key}"])
+        reader = self.spark.read.schema(schema).option("basePath", self.path(table))
+        try:
+            return reader.parquet(folder)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def uncommitted_raw(self, ingest_key: str) -> DataFrame:
+        return self._of_key("transactions", schemas.TRANSACTIONS, ingest_key, "branch=raw")
 
     def raw_transactions(self) -> DataFrame:
         stored = self._stored("transactions", schemas.TRANSACTIONS).where("branch = 'raw'")
@@ -79,12 +90,10 @@ class Warehouse:
         return self._committed(stored).select(*schemas.STATISTICS_HISTORY.names)
 
     def uncommitted_history(self, ingest_key: str) -> DataFrame:
-        stored = self._stored("history", schemas.STATISTICS_HISTORY)
-        return stored.where(F.col("ingest_key") == ingest_key)
+        return self._of_key("history", schemas.STATISTICS_HISTORY, ingest_key)
 
     def source_blocks(self, ingest_key: str) -> DataFrame:
-        stored = self._stored("source_blocks", schemas.SOURCE_BLOCKS)
-        return stored.where(F.col("ingest_key") == ingest_key).drop("ingest_key")
+        return self._of_key("source_blocks", schemas.SOURCE_BLOCKS, ingest_key).drop("ingest_key")
 
     def quarantined_files(self) -> DataFrame:
         """Files set aside and not taken since."""
@@ -171,17 +180,23 @@ class Warehouse:
         """
         if not self.commits().isEmpty():
             raise ValueError("a state can only be imported into an empty warehouse")
-        text = self.spark.read.text(path, wholetext=True).first()
-        payload = json.loads(text["value"]) if text else {}
-        if not isinstance(payload, dict):
-            raise ValueError("a state document must be a JSON object")
-        names = payload.get("processed_files", [])
-        if not isinstance(names, list):
-            raise ValueError("'processed_files' must be a list")
-        count = int(payload.get("global_count", 0))
-        bounds = {
-            key: float(payload[key]) if count and payload.get(key) is not None else None
-            for key in ("global_min", "global_max")
-        }
-        commit = Commit(1, count, float(payload.get("global_sum", 0.0)), **bounds)
-        self.append_commit(commit, "imported", sorted({str(name) for name in names}))
+        text = self.spark.read.text(path, wholetext=True)
+        # A schema instead of a walk through the document: absent keys are NULL, and names
+        # given as numbers are read as text.
+        fields = [*schemas.STATE, StructField("processed_files", ArrayType(StringType())), StructField("unfit", StringType())]
+        parsed = F.from_json("value", StructType(fields), {"columnNameOfCorruptRecord": "unfit"})
+        document = text.select(parsed.alias("d"))
+        if not document.where("d IS NULL OR d.unfit IS NOT NULL").isEmpty():
+            raise ValueError(f"not a state document: {path}")
+        document = document.select("d.*")
+        filled = F.col("global_count") > 0
+        row = document.select(
+            F.lit(1).cast("long").alias("version"),
+            F.lit("imported").alias("ingest_key"),
+            F.coalesce("global_count", F.lit(0)).alias("global_count"),
+            F.coalesce("global_sum", F.lit(0.0)).alias("global_sum"),
+            F.when(filled, F.col("global_min")).alias("global_min"),
+            F.when(filled, F.col("global_max")).alias("global_max"),
+            F.array_distinct(F.coalesce("processed_files", F.array().cast("array<string>"))).alias("files"),
+        )
+        row.coalesce(1).write.mode("append").parquet(self.path("commits"))

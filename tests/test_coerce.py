@@ -36,7 +36,9 @@ def test_price_finite_only(spark):
 USER_IDS = {
     "7": 7, " 7 ": 7, "7.0": 7, "1e3": 1000, "-3": -3, "9007199254740993": 9007199254740993,
     "9223372036854775807": 9223372036854775807, "7.5": None, "abc": None, "": None,
-    "inf": None, "1e30": None, "7d": None,
+    "inf": None, "1e30": None, "7d": None, "9210000000000000000.0": 9210000000000000000,
+    "9.21e18": 9210000000000000000, "9223372036854775807.0": 9223372036854775807,
+    "-9223372036854775808.0": -9223372036854775808, "9223372036854775808.0": None, "1e-30": None,
 }
 
 
@@ -98,3 +100,9 @@ def test_batch_id_is_repeatable_and_padded(spark):
     (long,) = evaluate(spark, ["a.csv"], batch_id(F.col("t"), F.lit(123456).cast("bigint")))
     assert long.startswith("a-lote-123456-")
     assert ids[0].startswith("a-lote-0007-") and len(ids[0].rsplit("-", 1)[1]) == 8
+
+
+def test_whole_text_of_a_date_counts(spark):
+    texts = ["1/1/2012 " + " " * 70 + "junk", "1/1/2012 10:00:00", "1/1/2012" + " " * 90]
+    found = evaluate(spark, texts, parse_timestamp(F.col("t")))
+    assert found == [None, datetime(2012, 1, 1, 10), datetime(2012, 1, 1)]

@@ -58,7 +58,7 @@ def test_columns_are_found_by_name_in_each_file(spark, tmp_path):
 
 
 def test_short_and_long_rows(spark, tmp_path):
-    (tmp_path / "a.csv").write_text(f"{HEADER}\nd\nd,1\nd,1,2,9\nd,1,2,\nd,\"1,\"\"x\",2\n")
+    (tmp_path / "a.csv").write_text(f"{HEADER}\nd\nd,1\nd,1,2,9\nd,1,2,\nd,\"1,\"\"x\",2\nd,1,2,,junk\nd,1,2,\"\"\n")
     # A wider neighbour must not hide that a row of the narrow file is too long.
     (tmp_path / "wide.csv").write_text(f"a,b,c,{HEADER}\n1,2,3,d,4,5\n1,2,3,d,4,5,6\n")
     assert contents(read(spark, tmp_path)) == {
@@ -66,8 +66,10 @@ def test_short_and_long_rows(spark, tmp_path):
             (0, "d", None, None, False),
             (1, "d", "1", None, False),
             (2, "d", "1", "2", True),
-            (3, "d", "1", "2", False),
+            (3, "d", "1", "2", True),
             (4, "d", '1,"x', "2", False),
+            (5, "d", "1", "2", True),
+            (6, "d", "1", "2", True),
         ],
         "wide.csv": [(0, "d", "4", "5", False), (1, "d", "4", "5", True)],
     }

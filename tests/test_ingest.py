@@ -332,3 +332,66 @@ def test_long_running_query(spark, source, target):
     finally:
         query.stop()
     assert (state(ingest), done(ingest)) == ((2, 3.0, 1.0, 2.0), ["a.csv", "b.csv"])
+
+
+def test_corrected_file_after_a_crash_leaves_no_old_reject(spark, source, target, monkeypatch):
+    path = write(source, "a.csv", ["x", "2"])
+    ingest = IncrementalIngest(spark, str(source), target)
+    with monkeypatch.context() as patched:
+        patched.setattr(IncrementalIngest, "_next_commit", lambda *_: (_ for _ in ()).throw(Crash("now")))
+        with pytest.raises(Crash):
+            ingest.run()
+    write(source, "a.csv", ["1", "2"])
+    os.utime(path, (time.time() + 5, time.time() + 5))
+    ingest.run()
+    assert ingest.warehouse.raw_transactions().count() == 2
+    assert ingest.warehouse.rejected_transactions().count() == 0
+    assert state(ingest) == (2, 3.0, 1.0, 2.0)
+
+
+@pytest.mark.parametrize("files", [10_000, 1])
+def test_missing_columns_commit_nothing_however_work_is_split(spark, source, target, files):
+    write(source, "a.csv", ["1"])
+    (source / "b.csv").write_text("timestamp,user_id\n1/1/2012,3\n")
+    ingest = IncrementalIngest(spark, str(source), target, options=IngestOptions(max_files_per_ingest=files))
+    with pytest.raises(ColumnContractError, match="b.csv: price"):
+        ingest.run()
+    assert done(ingest) == [] and ingest.warehouse.raw_transactions().count() == 0
+
+
+def test_equal_names_in_nested_folders(spark, source, target):
+    below = source / "sub"
+    below.mkdir()
+    paths = [write(below, "a.csv", ["9"]), write(source, "a.csv", ["1"])]
+    ingest = IncrementalIngest(spark, str(source), target)
+    ingest.ingest_files([paths[1], paths[0]])
+    assert state(ingest) == (1, 1.0, 1.0, 1.0)
+
+
+def test_hidden_names_are_refused_and_odd_directories_read(spark, source, target):
+    odd = source / "in[1]"
+    odd.mkdir()
+    write(odd, "a.csv", ["1"])
+    ingest = IncrementalIngest(spark, str(odd), target)
+    ingest.run()
+    assert done(ingest) == ["a.csv"]
+    write(odd, "_b.csv", ["1"])
+    write(odd, ".c.csv", ["1"])
+    with pytest.raises(ValueError, match=r"\.c\.csv, _b\.csv"):
+        ingest.run()
+
+
+def test_chunk_size_beside_options(spark, source, target):
+    ingest = IncrementalIngest(spark, str(source), target, 3, IngestOptions(sum_scale=2))
+    assert (ingest.options.chunk_size, ingest.options.sum_scale) == (3, 2)
+    assert IncrementalIngest(spark, str(source), target).options.chunk_size == 10
+    assert IncrementalIngest(spark, str(source), target, options=IngestOptions(chunk_size=7)).options.chunk_size == 7
+
+
+def test_one_ingest_lists_only_its_own_folder(spark, source, target):
+    for name in "ab":
+        write(source, f"{name}.csv", ["1"])
+        ingest = IncrementalIngest(spark, str(source), target)
+        (report,) = ingest.run()
+    files = ingest.warehouse.uncommitted_raw(report.ingest_key).inputFiles()
+    assert files and all(f"ingest_key={report.ingest_key}" in f for f in files)

@@ -139,3 +139,16 @@ def test_reconciliation(spark):
     empty = ops.full_scan_stats(rows.where("price > 99"))
     assert tuple(empty.first()) == (0, None, None, None)
     assert ops.reconciliation(state(spark, 0, 0.0, None, None), empty).first()["matches"]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_large_prices_are_added_or_refused(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        rows = spark.createDataFrame([(1e17,), (2.0,)], "price double")
+        assert ops.batch_metrics(rows, (), sum_scale=2).first()["price_sum"] == 1e17 + 2
+        with pytest.raises(Exception, match="not exact as a decimal"):
+            ops.batch_metrics(spark.createDataFrame([(1e40,)], "price double"), (), sum_scale=2).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
