@@ -108,8 +108,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, distinct = pd.factorize(mixed(content + mixed(value + count.astype(np.uint64))))
         earliest = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(earliest, codes, order)
+        later = order > earliest[codes]
+        # Those that are settled here need not meet the others: a key of their own spreads them.
+        value = np.where(later, mixed(value + order.astype(np.uint64)), value)
         owned = batch.select(["doc_id", "_k"]).take(pa.array(row))
-        columns = [*owned.columns, pa.array(inside.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(content.view(np.int64)), pa.array(twice), pa.array(order > earliest[codes])]
+        columns = [*owned.columns, pa.array(inside.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(content.view(np.int64)), pa.array(twice), pa.array(later)]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "start", "windows", "value", "content", "twice", "later"])
 
 
@@ -127,9 +130,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = ragged(start + offsets[row], count)
         row = np.repeat(row, count)
         first, second = (RollingHash(hashes, base).of(at, at + WINDOW) for base in BASES)
+        inside = at - offsets[row]
+        order = (document_order(batch)[row] << 32) + inside
+        codes, distinct = pd.factorize(mixed(first + second))
+        earliest = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(earliest, codes, order)
+        later = order > earliest[codes]
+        first = np.where(later, mixed(first + order.astype(np.uint64)), first)
         owned = batch.select(["doc_id", "_k"]).take(pa.array(row))
-        columns = [*owned.columns, pa.array((at - offsets[row]).astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "start", "first", "second"])
+        columns = [*owned.columns, pa.array(inside.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(later)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "start", "first", "second", "later"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -173,16 +183,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     shape = F.struct("content", "windows")
     found = found.select("*", F.count("*").over(of_value).alias("_n"), (F.min(shape).over(of_value) != F.max(shape).over(of_value)).alias("_several"), (F.rank().over(of_content) > 1).alias("_again"))
     gone = F.col("later") | F.col("_again")
-    found = found.where(((F.col("_n") > 1) | F.col("twice")) & (gone | F.col("_several") | F.col("twice")))
+    found = found.where(((F.col("_n") > 1) | F.col("twice") | F.col("later")) & (gone | F.col("_several") | F.col("twice")))
     found = written(found.select("doc_id", "_k", "start", "windows", gone.alias("gone")), "segments")
 
     # Both joins below read one exchange of the texts.
     placed = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_k")
     span = F.collect_list(F.struct("doc_id", "start", "windows")).alias("_spans")
     apart = placed.join(found.where("not gone").groupBy("_k").agg(span), "_k")
-    windows = map_batches(apart, _windows, T.StructType(list(start)).add("first", "long").add("second", "long"))
+    windows = map_batches(apart, _windows, T.StructType(list(start)).add("first", "long").add("second", "long").add("later", "boolean"))
     of_window = Window.partitionBy("first", "second").orderBy(*earlier)
-    single = windows.withColumn("_again", F.rank().over(of_window) > 1).where("_again")
+    single = windows.withColumn("_again", F.col("later") | (F.rank().over(of_window) > 1)).where("_again")
     runs = found.where("gone").select("doc_id", "_k", "start", "windows")
     runs = runs.unionByName(single.select("doc_id", "_k", "start", F.lit(1).alias("windows")))
     cut = placed.join(runs.groupBy("_k").agg(span), "_k", "left")
