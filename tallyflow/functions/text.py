@@ -20,6 +20,7 @@ def file_stem(file_name: Column) -> Column:
 def batch_id_ends(file_name: Column) -> tuple[Column, Column]:
     """What a batch id says before and after its number; the same for all batches of a file."""
     digest = F.substring(F.sha2(file_name, 256), 1, 8)
+    # Fixed value: the infix of a batch id.
     return F.concat(file_stem(file_name), F.lit("-lote-")), F.concat(F.lit("-"), digest)
 
 

@@ -10,6 +10,7 @@ from tallyflow.plans.feeds import SCALE
 from tallyflow.sources.csv_files import missing_columns
 from tallyflow.sources.discovery import pending
 
+# Column names of the history table.
 HISTORY_COLUMNS = (
     "batch_id",
     "file_name",
@@ -212,6 +213,7 @@ QUERIES = {
     "orders_running_history": orders_running_history,
     "shipments_running_history": shipments_running_history,
     "csv_roundtrip_history": roundtrip.ingested_history,
+    "csv_roundtrip_raw": roundtrip.ingested_rows,
     "csv_roundtrip_rejects": roundtrip.ingested_rejects,
     "stream_ingest_state": roundtrip.streamed_state,
     "stream_ingest_reconciliation": roundtrip.streamed_reconciliation,

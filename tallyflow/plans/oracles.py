@@ -249,6 +249,11 @@ metrics AS (
                   max(max_price) OVER w AS global_max_price
            FROM metrics WINDOW w AS (ORDER BY file_no, chunk_index)""",
     ),
+    "csv_roundtrip_raw": _select(
+        _WRITTEN,
+        """SELECT file_no, chunk_index, ordinal, "timestamp", price, user_id
+           FROM coerced WHERE price IS NOT NULL""",
+    ),
     "csv_roundtrip_rejects": _select(
         _WRITTEN,
         f"""SELECT file_no, chunk_index, ordinal, "timestamp", CAST(NULL AS VARCHAR) AS price,

@@ -72,6 +72,13 @@ def ingested_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows as stored, but for the clock and the names that hold the part's file name."""
+    rows = ingest_written_events(spark, sf_dir).warehouse.raw_transactions()
+    part = F.regexp_extract("file_name", r"part-(\d+)-", 1).cast("bigint")
+    return rows.select(part.alias("file_no"), "chunk_index", "ordinal", "timestamp", "price", "user_id")
+
+
 def ingested_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejects = ingest_written_events(spark, sf_dir).warehouse.rejected_transactions()
     part = F.regexp_extract("file_name", r"part-(\d+)-", 1).cast("bigint")

@@ -21,6 +21,7 @@ def shown(df):
     return tuple(ops.accumulated(df).first())
 
 
+# The prices of the next three tests are fixed values of known results.
 def test_first_batch(spark):
     merged = ops.merge_states(state(spark, 0, 0.0, None, None), state(spark, 3, 60.0, 10.0, 30.0))
     assert shown(merged) == (3, 60.0, 20.0, 10.0, 30.0)
@@ -152,3 +153,38 @@ def test_large_prices_are_added_or_refused(spark, ansi):
             ops.batch_metrics(spark.createDataFrame([(1e40,)], "price double"), (), sum_scale=2).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+# A recorded history of six monthly files in batches of ten source rows: file,
+# batch, rows, sum, total rows, total sum, mean with two places, least and greatest so far.
+RECORDED = [
+    ("2012-1", 1, 10, 630, 10, 630, 63.00, 14, 97),
+    ("2012-1", 2, 9, 475, 19, 1105, 58.16, 14, 97),
+    ("2012-1", 3, 1, 88, 20, 1193, 59.65, 14, 97),
+    ("2012-2", 1, 10, 618, 30, 1811, 60.37, 14, 100),
+    ("2012-2", 2, 10, 423, 40, 2234, 55.85, 10, 100),
+    ("2012-2", 3, 9, 549, 49, 2783, 56.80, 10, 100),
+    ("2012-3", 1, 10, 547, 59, 3330, 56.44, 10, 100),
+    ("2012-3", 2, 10, 661, 69, 3991, 57.84, 10, 100),
+    ("2012-3", 3, 10, 577, 79, 4568, 57.82, 10, 100),
+    ("2012-3", 4, 1, 65, 80, 4633, 57.91, 10, 100),
+    ("2012-4", 1, 10, 540, 90, 5173, 57.48, 10, 100),
+    ("2012-4", 2, 9, 561, 99, 5734, 57.92, 10, 100),
+    ("2012-4", 3, 9, 506, 108, 6240, 57.78, 10, 100),
+    ("2012-5", 1, 10, 497, 118, 6737, 57.09, 10, 100),
+    ("2012-5", 2, 10, 573, 128, 7310, 57.11, 10, 100),
+    ("2012-5", 3, 10, 703, 138, 8013, 58.07, 10, 100),
+    ("2012-5", 4, 1, 33, 139, 8046, 57.88, 10, 100),
+    ("validation", 1, 8, 334, 147, 8380, 57.01, 10, 100),
+]
+
+
+@pytest.mark.parametrize("segment_chunks", [1, 2, 100])
+def test_recorded_history(spark, segment_chunks):
+    rows = [(int(f == "validation"), f"{f}.csv", b, n, float(s), float(low), float(high)) for f, b, n, s, _, _, _, low, high in RECORDED]
+    history = ops.running_history(spark.createDataFrame(rows, METRICS), segment_chunks=segment_chunks)
+    found = [
+        (r.file_name.removesuffix(".csv"), r.chunk_index, r.batch_rows, r.batch_sum, r.total_accumulated_rows, r.accumulated_sum, round(r.accumulated_avg, 2), r.global_min_price, r.global_max_price)
+        for r in history.orderBy("phase", "file_name", "chunk_index").collect()
+    ]
+    assert found == RECORDED
