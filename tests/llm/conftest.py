@@ -1,5 +1,9 @@
+import os
 import random
 
+# The networks' matrices are small; more threads only wait for each other.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
