@@ -48,6 +48,8 @@ COUNTERS, CHUNKS = 1 << 21, 16
 HEAVY, SALTS = 2_000, 64
 #: Regions up to this size are compared member by member.
 LEAF = 32
+#: Pairs of texts compared at once.
+PAIRS = 1024
 #: Distance up to which a node belongs to its pivot, and the threshold as a distance.
 NEAR, REACH = 0.5, (OF - SIMILAR) / OF
 #: Sets are similar if TWICE times the size of their difference is at most the sum of their sizes.
@@ -144,20 +146,27 @@ def _regions(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", "node", "size", "rarity", "heavy"])
 
 
-def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some pairs of texts at a time, with the number of the pair, the hash and a key of both for
+    every shingle of either text, and the set sizes of both sides. A text in many pairs is
+    split once."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
+        for at in range(0, whole.num_rows, PAIRS):
+            batch = whole.slice(at, PAIRS)
             both = pa.chunked_array([batch.column("text_a"), batch.column("text_b")]).combine_chunks().dictionary_encode()
             index = both.indices.to_numpy()
             offsets, hashes = shingles(both.dictionary)
-            a, b = index[: batch.num_rows], index[batch.num_rows :]
-            size = np.diff(offsets)
-            pair = np.concatenate((np.repeat(np.arange(len(a)), size[a]), np.repeat(np.arange(len(b)), size[b])))
-            taken = np.concatenate([hashes[np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + np.repeat(offsets[i], s)] for i, s in ((a, size[a]), (b, size[b]))])
-            common = pd.Series(mixed(taken + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).duplicated().to_numpy()
-            shared = np.bincount(pair[common], minlength=len(a))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared), pa.array(size[a] + size[b] - shared)], names=["a", "b", "common", "united"])
+            size = np.diff(offsets)[index]
+            own = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offsets[index], size)
+            pair = np.repeat(np.arange(len(index)) % batch.num_rows, size)
+            key = mixed(hashes[own] + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield batch, pair, hashes[own], key, size[: batch.num_rows], size[batch.num_rows :]
+
+
+def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, pair, _, key, a, b in paired(batches):
+        shared = np.bincount(pair[pd.Series(key).duplicated().to_numpy()], minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared), pa.array(a + b - shared)], names=["a", "b", "common", "united"])
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -205,31 +214,23 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def _differences(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     counts, _ = shared.value
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
-            both = pa.chunked_array([batch.column("text_a"), batch.column("text_b")]).combine_chunks().dictionary_encode()
-            index = both.indices.to_numpy()
-            offsets, hashes = shingles(both.dictionary)
-            a, b = index[: batch.num_rows], index[batch.num_rows :]
-            size = np.diff(offsets)
-            pair = np.concatenate((np.repeat(np.arange(len(a)), size[a]), np.repeat(np.arange(len(b)), size[b])))
-            taken = np.concatenate([hashes[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(offsets[i], k)] for i, k in ((a, size[a]), (b, size[b]))])
-            alone = ~pd.Series(mixed(taken + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).duplicated(keep=False).to_numpy()
-            pair, taken = pair[alone], taken[alone]
-            order = np.lexsort((taken, counts[(taken & np.uint64(COUNTERS - 1)).astype(np.int64)], pair))
-            pair, taken = pair[order], taken[order]
-            delta = np.bincount(pair, minlength=len(a))
-            place = np.arange(len(pair)) - np.repeat(np.cumsum(delta) - delta, delta)
-            excess = TWICE * delta - size[a]
-            linked = excess <= size[b]
-            # Fewest common differences with a partner that isn't linked to the pivot, and with any partner.
-            fewest = np.maximum((excess + size[b]) // (2 * TWICE) + 1, 1)
-            any_ = np.maximum(-((-(excess + TWICE - OF * size[a] // SIMILAR - 1)) // (2 * TWICE)), 1)
-            short = place < (delta - fewest + 1)[pair]
-            chosen = short | (~linked[pair] & (place < (delta - any_ + 1)[pair]))
-            rows = pair[chosen]
-            yield pa.RecordBatch.from_arrays([batch.column("b").take(pa.array(rows)), batch.column("a").take(pa.array(rows)), pa.array(taken[chosen].view(np.int64)), pa.array(linked[rows]), pa.array(short[chosen])], names=["pivot", "node", "element", "linked", "short"])
+    for batch, pair, hashes, key, a, b in paired(batches):
+        alone = ~pd.Series(key).duplicated(keep=False).to_numpy()
+        pair, element = pair[alone], hashes[alone]
+        order = np.lexsort((element, counts[(element & np.uint64(COUNTERS - 1)).astype(np.int64)], pair))
+        pair, element = pair[order], element[order]
+        delta = np.bincount(pair, minlength=batch.num_rows)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(delta) - delta, delta)
+        excess = TWICE * delta - a
+        linked = excess <= b
+        # Fewest common differences with a partner that isn't linked to the pivot, and with any partner.
+        fewest = np.maximum((excess + b) // (2 * TWICE) + 1, 1)
+        with_any = np.maximum(-(-(excess + TWICE - OF * a // SIMILAR - 1) // (2 * TWICE)), 1)
+        short = place < (delta - fewest + 1)[pair]
+        chosen = short | (~linked[pair] & (place < (delta - with_any + 1)[pair]))
+        rows = pair[chosen]
+        owned = [batch.column(c).take(pa.array(rows)) for c in "ba"]
+        yield pa.RecordBatch.from_arrays([*owned, pa.array(element[chosen].view(np.int64)), pa.array(linked[rows]), pa.array(short[chosen])], names=["pivot", "node", "element", "linked", "short"])
 
 
 def around_pivots(near: DataFrame, texts: DataFrame, counts: Broadcast, facts: DataFrame) -> DataFrame:
