@@ -33,14 +33,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.llm.common import map_batches, split_words, steps, word_hashes
+from tallyflow.llm.common import map_batches, split_words, steps, word_hashes, word_ids
 from tallyflow.session import written
 
 #: Bytes of context at most, and the end mark, which also fills the context before a text.
 DEPTH, END = 5, 10
 #: Entries of nodes, and of words, in a block that is sent to all tasks.
-BLOCK_ENTRIES = 12_000_000
-STEP = 8 << 20
+BLOCK_ENTRIES = 8_000_000
+#: Text bytes counted at once, and counts a task holds before it passes them on.
+STEP, HELD = 2 << 20, 2_000_000
+#: Nodes linked to their children at once.
+LINKED_TOGETHER = 1 << 19
 GRAM, WORD = 0, 1
 #: Bits of a node's number below its context, and of the context below its depth.
 NODE_BITS, CONTEXT_BITS = 8, 8 * DEPTH
@@ -57,25 +60,47 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array
     joined = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words.cast(pa.string()))
     lines = pa.compute.binary_join(joined, " ")
     spaced = np.diff(offsets) > 0
-    data = b"".join([(line + b" \n" if full else b"\n") for line, full in zip(lines.cast(pa.binary()).to_pylist(), spaced, strict=True)])
+    # Before each text come end marks only, whatever document lies before it.
+    before, after = bytes([END]) * DEPTH, bytes([END])
+    data = b"".join([before + line + (b" " + after if full else after) for line, full in zip(lines.cast(pa.binary()).to_pylist(), spaced, strict=True)])
     sizes = np.asarray(pa.compute.binary_length(lines)).astype(np.int64) + spaced + 1
+    one = np.frombuffer(data, np.uint8).astype(np.int64)
+    two = (one[:-1] << 8) | one[1:]
+    keys = (two[:-2] << 16) | two[2:]
+    keys = (keys[:-2] << 16) | two[4:]
+    # The end marks before a text have no keys of their own.
     ends = np.cumsum(sizes)
-    codes = np.frombuffer(bytes([END]) * DEPTH + data, np.uint8)
-    # A text begins after end marks only, whatever document lies before it.
-    place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-    keys = np.zeros(len(data), np.uint64)
-    for back in range(DEPTH, -1, -1):
-        byte = codes[DEPTH - back : DEPTH - back + len(data)]
-        keys = (keys << np.uint64(8)) | np.where(place >= back, byte, END).astype(np.uint64)
-    return keys.view(np.int64), np.concatenate(([0], ends)), offsets, words
+    own = np.ones(len(keys), bool)
+    for k in range(DEPTH):
+        own[(ends + np.arange(len(ends)) * DEPTH + k)[:-1]] = False
+    return keys[own], np.concatenate(([0], ends)), offsets, words
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts."""
+    codes, distinct = pd.factorize(np.concatenate(keys))
+    return distinct, np.bincount(codes, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {GRAM: ([], []), WORD: ([], [])}
+
+    def given(kind: int) -> pa.RecordBatch:
+        distinct, sums = added(*held[kind])
+        held[kind] = ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), kind, np.int32)), pa.array(distinct), pa.array(sums)], names=["kind", "key", "n"])
+
     for batch in steps(batches, most=STEP):
         keys, _, _, words = grams(batch.column("text"))
         for kind, values in ((GRAM, keys), (WORD, word_hashes(words).view(np.int64))):
             codes, distinct = pd.factorize(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), kind, np.int32)), pa.array(distinct), pa.array(np.bincount(codes, minlength=len(distinct)))], names=["kind", "key", "n"])
+            held[kind][0].append(distinct)
+            held[kind][1].append(np.bincount(codes, minlength=len(distinct)))
+            if sum(map(len, held[kind][0])) > HELD:
+                yield given(kind)
+    for kind, (parts, _) in held.items():
+        if parts:
+            yield given(kind)
 
 
 def log_gamma(x: Column) -> Column:
@@ -167,36 +192,39 @@ class Hashed:
         return out
 
 
-@dataclass
 class Block:
-    """Nodes and word counts of one block."""
-
-    number: int
-    blocks: int
-    p1: np.ndarray
-    #: Positions of the nodes for a 0 and a 1 below each node, or -1.
-    children: np.ndarray
-    roots: Hashed
-    root_at: np.ndarray
-    words: Hashed
-    word_counts: np.ndarray
-    train_tokens: int
-    distinct_tokens: int
-    end_count: int
-
-    @classmethod
-    def build(cls, number: int, blocks: int, keys: np.ndarray, p1: np.ndarray, words: np.ndarray, word_counts: np.ndarray, totals: tuple[int, int, int]) -> "Block":
-        order = np.argsort(keys)
-        keys, p1 = keys[order], p1[order]
-        node = keys & 255
-        children = np.full((2, len(keys)), -1, np.int32)
-        for bit in (0, 1):
-            child = (keys - node) | (node * 2 + bit)
-            at = np.minimum(np.searchsorted(keys, child), max(len(keys) - 1, 0))
-            found = (node < 128) & (keys[at] == child) if len(keys) else np.zeros(0, bool)
-            children[bit, found] = at[found]
-        root_at = np.flatnonzero(node == 1)
-        return cls(number, blocks, p1, children, Hashed(keys[root_at]), root_at, Hashed(words), word_counts, *totals)
+    """Nodes and word counts of one block; tasks arrange them for look-up when they first use it."""
+
+    def __init__(self, number: int, blocks: int, nodes: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], totals: tuple[int, int, int]):
+        self.number, self.blocks = number, blocks
+        self.raw: tuple | None = (nodes, words)
+        self.train_tokens, self.distinct_tokens, self.end_count = totals
+
+    def ready(self) -> "Block":
+        if self.raw is None:
+            return self
+        (keys, self.p1), (self.words, self.word_counts) = self.raw
+        self.raw = None
+        #: Positions of the nodes for a 0 and a 1 below each node, or -1. Keys come sorted.
+        self.children = np.full((2, len(keys)), -1, np.int32)
+        for start in range(0, len(keys), LINKED_TOGETHER):
+            own = keys[start : start + LINKED_TOGETHER]
+            node = own & 255
+            for bit in (0, 1):
+                child = own + node + bit
+                at = np.minimum(np.searchsorted(keys, child), len(keys) - 1)
+                found = (node < 128) & (keys[at] == child)
+                self.children[bit, start : start + len(own)][found] = at[found]
+        self.root_at = np.flatnonzero(keys & 255 == 1)
+        self.roots = Hashed(keys[self.root_at])
+        return self
+
+    def count_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Training count of words of this block, 0 for others."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.word_counts[at], 0)
 
     def mine(self, values: np.ndarray) -> np.ndarray:
         return values % self.blocks == self.number
@@ -222,7 +250,7 @@ class Block:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    block: Block = shared.value
+    block: Block = shared.value.ready()
     floor = block.train_tokens + block.distinct_tokens + 1
     for batch in steps(batches, most=STEP):
         keys, ends, offsets, words = grams(batch.column("text"))
@@ -232,12 +260,11 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
         value[mine] = block.log10_of(distinct[mine])
         score = np.add.reduceat(value[codes], ends[:-1])
 
-        hashes = word_hashes(words).view(np.int64)
-        mine = block.mine(hashes & 65535)
-        at = block.words.find(hashes)
-        count = np.where(at >= 0, block.word_counts[at], 0) if len(block.word_counts) else np.zeros(len(hashes), np.int64)
-        base = np.concatenate(([0.0], np.cumsum(np.where(mine, np.log10((count + 1) / floor), 0.0))))
-        known = np.concatenate(([0], np.cumsum(mine & (count > 0))))
+        ids, distinct = word_ids(words)
+        hashes = word_hashes(distinct).view(np.int64)
+        mine, count = block.mine(hashes & 65535), block.count_of(hashes)
+        base = np.concatenate(([0.0], np.cumsum(np.where(mine, np.log10((count + 1) / floor), 0.0)[ids])))
+        known = np.concatenate(([0], np.cumsum((mine & (count > 0))[ids])))
         first = block.number == 0
         base = base[offsets[1:]] - base[offsets[:-1]] + first * math.log10((block.end_count + 1) / floor)
         known = known[offsets[1:]] - known[offsets[:-1]] + first * (block.end_count > 0)
@@ -257,10 +284,14 @@ class Model:
     blocks: int
 
     def block(self, number: int) -> Block:
-        nodes = self.nodes.where((F.col("depth") < 2) | (F.col("tail") % self.blocks == number)).select("key", "p1").toArrow()
-        words = self.words.where(F.pmod(F.col("key").bitwiseAND(65535), F.lit(self.blocks)) == number).toArrow()
-        columns = (nodes.column("key"), nodes.column("p1"), words.column("key"), words.column("n"))
-        return Block.build(number, self.blocks, *(c.to_numpy() for c in columns), (self.train_tokens, self.distinct_tokens, self.end_count))
+        nodes = self.nodes.where((F.col("depth") < 2) | (F.col("tail") % self.blocks == number)).select("key", "p1").orderBy("key").toArrow()
+        words = self.words.where(F.pmod(F.col("key").bitwiseAND(65535), F.lit(self.blocks)) == number)
+        words = words.select("key", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).orderBy("key").toArrow()
+        pairs = [tuple(t.column(c).to_numpy().copy() for c in ("key", value)) for t, value in ((nodes, "p1"), (words, "n"))]
+        del nodes, words
+        # The driver holds a block once only, and gives back what Arrow needed for it.
+        pa.default_memory_pool().release_unused()
+        return Block(number, self.blocks, *pairs, (self.train_tokens, self.distinct_tokens, self.end_count))
 
 
 def train(docs: DataFrame) -> Model:
