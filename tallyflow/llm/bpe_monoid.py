@@ -28,9 +28,12 @@ from pyspark.sql import types as T
 from tallyflow.llm.common import map_batches, steps
 
 #: Bytes of a leaf, and tokens by which a border window grows.
-LEAF, GROW = 8, 2
+LEAF, GROW = 16, 2
 #: Distinct pieces whose ids a task remembers at most, and their longest length.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+REMEMBERED, REMEMBERED_CHARS = 1_200_000, 64
+
+
+SINGLE = [bytes((byte,)) for byte in range(256)]
 
 
 class TreeEncoder:
@@ -40,9 +43,14 @@ class TreeEncoder:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self._stable: dict[tuple[int, int], bool] = {}
-        self._leaves: dict[bytes, list[int]] = {}
-        #: Ids of pieces seen before, and the same joined by commas.
-        self.known: dict[str, tuple[list[int], str]] = {}
+        none = len(ranks)
+        #: Rank of each pair of bytes, by first and second, and the decimals of each id.
+        self.pair_ranks = [[ranks.get(bytes((a, b)), none) for b in range(256)] for a in range(256)]
+        self.decimals = {i: str(i) for i in self.bytes_of}
+        #: Of pieces seen before: number of ids; the ids, or their decimals joined by commas; decoded bytes.
+        self.counts: dict[str, int] = {}
+        self.parts: dict[str, tuple[int, ...] | str] = {}
+        self.decoded: dict[str, bytes] = {}
 
     @staticmethod
     def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,10 +59,11 @@ class TreeEncoder:
 
     def leaf(self, data: bytes) -> list[int]:
         """Ids of a short piece: the pair of lowest rank is merged until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+        parts = [SINGLE[byte] for byte in data]
         none = len(self.ranks)
         rank = self.ranks.get
-        pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        pair_ranks = self.pair_ranks
+        pairs = [pair_ranks[a][b] for a, b in zip(data, data[1:], strict=False)]
         while pairs and (best := min(pairs)) < none:
             at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
@@ -91,12 +100,7 @@ class TreeEncoder:
 
     def encode(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
-            ids = self._leaves.get(data)
-            if ids is None:
-                if len(self._leaves) > REMEMBERED:
-                    self._leaves.clear()
-                ids = self._leaves[data] = self.leaf(data)
-            return ids
+            return self.leaf(data)
         half = len(data) // 2
         return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
@@ -107,29 +111,30 @@ class TreeEncoder:
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, kept: list[str], prefix: str, digests: bool) -> Iterator[pa.RecordBatch]:
     encoder, pattern = shared.value
-    known = encoder.known
+    counts, parts, decoded, decimals = encoder.counts, encoder.parts, encoder.decoded, encoder.decimals
     find = regex.compile(pattern).findall
     for batch in steps(batches):
-        n_tokens, first, second = [], [], []
-        for text in batch.column("text").to_pylist():
-            pieces = find(text or "")
-            if len(known) > REMEMBERED:
+        if len(counts) > REMEMBERED:
+            for known in (counts, parts, decoded):
                 known.clear()
-            for piece in set(pieces).difference(known):
-                ids = encoder.encode(piece.encode())
-                known[piece] = (ids, ",".join(map(str, ids)))
-            found = [known[p] for p in pieces]
-            ids = [i for own, _ in found for i in own]
-            n_tokens.append(len(ids))
-            if digests:
-                first.append(hashlib.sha256(",".join([own for _, own in found]).encode()).hexdigest())
-                second.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-            else:
-                first.append(ids)
-                second.append(encoder.decode(ids))
-            for piece in set(pieces):
-                if len(piece) > REMEMBERED_CHARS:
-                    del known[piece]
+        pieces = [find(text or "") for text in batch.column("text").to_pylist()]
+        new = set().union(*pieces).difference(counts)
+        for piece in new:
+            ids = encoder.encode(piece.encode())
+            counts[piece] = len(ids)
+            parts[piece] = ",".join([decimals[i] for i in ids]) if digests else tuple(ids)
+            decoded[piece] = encoder.decode(ids)
+        # Pieces are encoded apart, so the root of the tree joins them as they are.
+        n_tokens = [sum(map(counts.__getitem__, own)) for own in pieces]
+        if digests:
+            first = [hashlib.sha256(",".join(map(parts.__getitem__, own)).encode()).hexdigest() for own in pieces]
+            second = [hashlib.sha256(b"".join(map(decoded.__getitem__, own))).hexdigest() for own in pieces]
+        else:
+            first = [[i for p in own for i in parts[p]] for own in pieces]
+            second = [b"".join(map(decoded.__getitem__, own)) for own in pieces]
+        for piece in (p for p in new if len(p) > REMEMBERED_CHARS):
+            for known in (counts, parts, decoded):
+                del known[piece]
         outs = [pa.array(n_tokens, pa.int64())]
         outs += [pa.array(first, pa.string()), pa.array(second, pa.string())] if digests else [pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.binary())]
         names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
