@@ -52,6 +52,8 @@ LEAF = 32
 PAIRS = 1024
 #: Distance up to which a node belongs to its pivot, and the threshold as a distance.
 NEAR, REACH = 0.5, (OF - SIMILAR) / OF
+#: Within NEAR + REACH of a pivot, the smaller set has OPEN tenths of the larger one's size or more.
+OPEN = 3
 #: Sets are similar if TWICE times the size of their difference is at most the sum of their sizes.
 TWICE = (OF + SIMILAR) // (OF - SIMILAR)
 
@@ -311,7 +313,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         large = written(left.where(F.col("members") > leaf).select("region", "node", "size", "rarity", "pivot", "root"), "large")
         again = not large.isEmpty()
         if again:
-            meets = large.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "size").distinct().join(sizes, "b").where(2 * F.least("size", "b_size") >= F.greatest("size", "b_size"))
+            meets = large.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "size").distinct().join(sizes, "b").where(10 * F.least("size", "b_size") >= OPEN * F.greatest("size", "b_size"))
             found = written(found.unionByName(compared(meets.join(found.select("a", "b"), ["a", "b"], "left_anti"), texts)), "distances")
             distance = 1 - F.col("common") / F.col("united")
             near = meets.join(found, ["a", "b"]).where(distance <= NEAR + REACH + 1e-9)

@@ -76,6 +76,22 @@ def test_chains_of_edits(spark, tmp_path, monkeypatch, leaf, heavy):
     assert 5 < len({c for _, c in expected.values()}) < len(rows) - 20
 
 
+def test_copies_around_half_the_size_of_a_frequent_pivot(spark, tmp_path, monkeypatch):
+    """Articles with and without a common passage: the longer cuts lie within twice the size, the shorter ones don't."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 2)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(194)]
+    texts = [[f"o{k}.{i}" for i in range(250)] + passage for k in range(60)]
+    for k, n in enumerate((200, 208, 214, 222, 300)):
+        article = [f"a{k}.{i}" for i in range(n)]
+        cuts = [article, article[1:], article[:-20], article[1:-20], article[:-n // 3], article[1 : -n // 3]]
+        texts += [article + passage, *cuts, passage * 2 + article]
+    rng.shuffle(texts)
+    rows = [{"doc_id": i, "text": " ".join(t), "source": "s"} for i, t in enumerate(texts)]
+    expected = check(spark, store(rows, tmp_path / "sf"), rows)
+    assert len({c for _, c in expected.values()}) < len(rows) - 20
+
+
 def test_keep_documents(spark, sf_dir, docs, rows):
     kept = jaccard_join.keep_documents(docs)
     assert kept.columns == docs.columns
