@@ -6,8 +6,8 @@ preceding bytes, training counts give a Krichevsky-Trofimov estimate; the weight
 the estimates of all depths, each by how well it and its deeper contexts coded the
 training text. Counts of all grams of the training documents are gathered in Spark,
 summed over shorter contexts, weighted from the deepest level up and mixed from the top
-down, so that each kept node holds the mixed probability of a 1 for texts whose deepest
-known context it is. A context never seen in training ends the mix at its parent. A node
+down, so that each kept node holds the mixed probability of its rarer bit for texts whose
+deepest known context it is. A context never seen in training ends the mix at its parent. A node
 with the same counts as its parent predicts the same and is left out.
 
 Texts are scored against the kept nodes and the training counts of words. Both are sent
@@ -119,7 +119,9 @@ def log_kt(zeros: Column, ones: Column) -> Column:
 
 
 def weighted_nodes(counted: DataFrame) -> DataFrame:
-    """key (depth, context, node) and p1, the mixed probability of a 1, of every kept node."""
+    """key (depth, context, node) and rarer of every kept node: the mixed probability of its
+    less probable bit, negative if that is the 0. Of a probability close to 1 a float would
+    keep only the 1."""
     byte = F.col("key").bitwiseAND(255)
     level = counted.select("n", F.shiftright("key", 8).alias("context"), byte.alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
     one = F.expr("shiftright(byte, 7 - bit) & 1")
@@ -128,33 +130,36 @@ def weighted_nodes(counted: DataFrame) -> DataFrame:
     levels = []
     for depth in range(DEPTH, -1, -1):
         if depth == DEPTH:
-            level = level.groupBy("context", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).withColumn("weighted", estimate).withColumn("share", F.lit(1.0))
+            level = level.groupBy("context", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).withColumn("weighted", estimate).withColumn("gap", F.lit(float("-inf")))
         else:
             parent = F.col("context").bitwiseAND((1 << (8 * depth)) - 1)
             level = level.groupBy(parent.alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
             level = level.withColumn("kt", estimate).withColumn("high", F.greatest("kt", "below"))
-            # log of (kt + below) / 2, and the share of this depth's own estimate in it
+            # log of (kt + below) / 2, and of below / kt
             level = level.withColumn("weighted", F.col("high") + F.log(F.exp(F.col("kt") - F.col("high")) + F.exp(F.col("below") - F.col("high"))) - math.log(2))
-            level = level.withColumn("share", F.exp(F.col("kt") - F.col("weighted")) / 2).drop("kt", "high", "below")
+            level = level.withColumn("gap", F.col("below") - F.col("kt")).drop("kt", "high", "below")
         level = written(level, f"contexts-{depth}")
         levels.append(level)
     above, kept = None, None
     for depth, level in enumerate(reversed(levels)):
-        p = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+        # Both bits are mixed: 1 - p would lose the rare one. So would a share that rounding lifts above 1.
+        p0, p1 = ((F.col(c) + 0.5) / (F.col("zeros") + F.col("ones") + 1.0) for c in ("zeros", "ones"))
+        share, rest = 1 / (1 + F.exp("gap")), 1 / (1 + F.exp(-F.col("gap")))
         if above is None:
-            level = level.withColumn("mixed", F.lit(0.0)).withColumn("left", F.lit(1.0)).withColumn("new", F.lit(True))
+            level = level.withColumn("mixed0", F.lit(0.0)).withColumn("mixed1", F.lit(0.0)).withColumn("left", F.lit(1.0)).withColumn("new", F.lit(True))
         else:
             parent = F.col("context").bitwiseAND((1 << (8 * (depth - 1))) - 1)
             level = level.withColumn("_up", parent).join(above, (F.col("_up") == F.col("up")) & (F.col("node") == F.col("up_node"))).withColumn("new", (F.col("zeros") != F.col("up_zeros")) | (F.col("ones") != F.col("up_ones")))
-        level = level.withColumn("p", p)
+        level = level.withColumn("p0", p0).withColumn("p1", p1)
         if depth < DEPTH:
-            level = written(level.select("context", "node", "zeros", "ones", "share", "mixed", "left", "new", "p"), f"mixed-{depth}")
+            level = written(level.select("context", "node", "zeros", "ones", "gap", "mixed0", "mixed1", "left", "new", "p0", "p1"), f"mixed-{depth}")
         key = F.shiftleft(F.lit(depth).cast("long"), CONTEXT_BITS + NODE_BITS).bitwiseOR(F.shiftleft("context", NODE_BITS)).bitwiseOR(F.col("node").cast("long"))
-        own = level.where("new").select(key.alias("key"), F.col("context").bitwiseAND(65535).alias("tail"), F.lit(depth).alias("depth"), (F.col("mixed") + F.col("left") * F.col("p")).cast("float").alias("p1"))
+        zero, one = (F.col(f"mixed{b}") + F.col("left") * F.col(f"p{b}") for b in (0, 1))
+        own = level.where("new").select(key.alias("key"), F.col("context").bitwiseAND(65535).alias("tail"), F.lit(depth).alias("depth"), F.when(zero < one, -zero).otherwise(one).cast("float").alias("rarer"))
         kept = own if kept is None else kept.unionByName(own)
         above = level.select(
             F.col("context").alias("up"), F.col("node").alias("up_node"), F.col("zeros").alias("up_zeros"), F.col("ones").alias("up_ones"),
-            (F.col("mixed") + F.col("left") * F.col("share") * F.col("p")).alias("mixed"), (F.col("left") * (1 - F.col("share"))).alias("left"),
+            *((F.col(f"mixed{b}") + F.col("left") * share * F.col(f"p{b}")).alias(f"mixed{b}") for b in (0, 1)), (F.col("left") * rest).alias("left"),
         )
     return written(kept, "nodes")
 
@@ -203,7 +208,7 @@ class Block:
     def ready(self) -> "Block":
         if self.raw is None:
             return self
-        (keys, self.p1), (self.words, self.word_counts) = self.raw
+        (keys, self.rarer), (self.words, self.word_counts) = self.raw
         self.raw = None
         #: Positions of the nodes for a 0 and a 1 below each node, or -1. Keys come sorted.
         self.children = np.full((2, len(keys)), -1, np.int32)
@@ -237,16 +242,18 @@ class Block:
             root = (np.int64(depth) << (CONTEXT_BITS + NODE_BITS)) | ((context & ((1 << (8 * depth)) - 1)) << NODE_BITS) | 1
             found = self.roots.find(root)
             at[depth] = np.where(found >= 0, self.root_at[found], -1) if len(self.root_at) else -1
-        total = np.zeros(len(keys))
+        product = np.ones(len(keys))
         for step in range(8):
             bit = (byte >> (7 - step)) & 1
-            p = np.full(len(keys), 0.5, np.float32)
+            rarer = np.full(len(keys), 0.5, np.float32)
             for depth in range(DEPTH + 1):
                 known = np.flatnonzero(at[depth] >= 0)
-                p[known] = self.p1[at[depth, known]]
+                rarer[known] = self.rarer[at[depth, known]]
                 at[depth, known] = self.children[bit[known], at[depth, known]]
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
+            p = np.abs(rarer).astype(np.float64)
+            product *= np.where((rarer > 0) == (bit == 1), p, 1 - p)
+        # Counts of 64 bits leave no factor below 1e-20.
+        return np.log10(product)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -284,10 +291,10 @@ class Model:
     blocks: int
 
     def block(self, number: int) -> Block:
-        nodes = self.nodes.where((F.col("depth") < 2) | (F.col("tail") % self.blocks == number)).select("key", "p1").orderBy("key").toArrow()
+        nodes = self.nodes.where((F.col("depth") < 2) | (F.col("tail") % self.blocks == number)).select("key", "rarer").orderBy("key").toArrow()
         words = self.words.where(F.pmod(F.col("key").bitwiseAND(65535), F.lit(self.blocks)) == number)
         words = words.select("key", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).orderBy("key").toArrow()
-        pairs = [tuple(t.column(c).to_numpy().copy() for c in ("key", value)) for t, value in ((nodes, "p1"), (words, "n"))]
+        pairs = [tuple(t.column(c).to_numpy().copy() for c in ("key", value)) for t, value in ((nodes, "rarer"), (words, "n"))]
         del nodes, words
         # The driver holds a block once only, and gives back what Arrow needed for it.
         pa.default_memory_pool().release_unused()

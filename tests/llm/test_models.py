@@ -113,6 +113,35 @@ def test_scores_without_training_documents(spark):
     assert row.score == pytest.approx(3 * 8 * math.log10(0.5)) and row.bits_per_byte == pytest.approx(8)
 
 
+def many_times(factor):
+    """The counting of training texts as if each stood there so many times."""
+    count = context_tree._counts
+
+    def counts(batches):
+        for batch in count(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("key"), pa.array(batch.column("n").to_numpy() * factor)], names=["kind", "key", "n"])
+
+    return counts
+
+
+@pytest.mark.parametrize("n", [10**8, 10**16])
+def test_node_without_zeros(spark, n):
+    counted = spark.createDataFrame([(0x61626364FFFF, n)], "key long, n long")
+    model = context_tree.Model(context_tree.weighted_nodes(counted), spark.createDataFrame([], "key long, n long"), 0, 0, 0, 1)
+    zero, one = model.block(0).ready().log10_of(np.array([0x6162636465_00, 0x6162636465_FF]))
+    assert zero == pytest.approx(math.log10(0.5 / (n + 1)) + 7 * math.log10(0.5), rel=1e-6)
+    assert one == pytest.approx(8 * math.log1p(-0.5 / (n + 1)) / math.log(10), rel=1e-6, abs=1e-14)
+
+
+def test_rare_bit_after_many(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "_counts", many_times(10**8))
+    own = next(i for i in range(100) if trains(i))
+    other = next(i for i in range(100) if not trains(i))
+    docs = spark.createDataFrame([(own, "g" * 50), (other, "ga gag")], "doc_id long, text string")
+    scores = {r.doc_id: r for r in context_tree.score(spark, docs, context_tree.train(docs)).collect()}
+    assert -200 < scores[other].score < -16 and 0 < scores[own].bits_per_byte < 1
+
+
 def toxic_rows(n):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
