@@ -289,11 +289,13 @@ class Model:
     distinct_tokens: int
     end_count: int
     blocks: int
+    largest_count: int
 
     def block(self, number: int) -> Block:
         nodes = self.nodes.where((F.col("depth") < 2) | (F.col("tail") % self.blocks == number)).select("key", "rarer").orderBy("key").toArrow()
         words = self.words.where(F.pmod(F.col("key").bitwiseAND(65535), F.lit(self.blocks)) == number)
-        words = words.select("key", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).orderBy("key").toArrow()
+        # 32 bits where they hold every count, and one more of it.
+        words = words.select("key", F.col("n").cast("int" if self.largest_count < 2**31 - 1 else "long")).orderBy("key").toArrow()
         pairs = [tuple(t.column(c).to_numpy().copy() for c in ("key", value)) for t, value in ((nodes, "rarer"), (words, "n"))]
         del nodes, words
         # The driver holds a block once only, and gives back what Arrow needed for it.
@@ -307,11 +309,11 @@ def train(docs: DataFrame) -> Model:
     counted = map_batches(training, _counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = written(counted, "gram-counts")
     words = counted.where(F.col("kind") == WORD).select("key", "n")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tokens, distinct, largest = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     documents = training.count()
     nodes = weighted_nodes(counted.where(F.col("kind") == GRAM).select("key", "n"))
     blocks = max(1, -(-max(nodes.count(), distinct) // BLOCK_ENTRIES))
-    return Model(nodes, words, tokens + documents, distinct + (documents > 0), documents, blocks)
+    return Model(nodes, words, tokens + documents, distinct + (documents > 0), documents, blocks, largest)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

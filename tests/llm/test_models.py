@@ -127,7 +127,7 @@ def many_times(factor):
 @pytest.mark.parametrize("n", [10**8, 10**16])
 def test_node_without_zeros(spark, n):
     counted = spark.createDataFrame([(0x61626364FFFF, n)], "key long, n long")
-    model = context_tree.Model(context_tree.weighted_nodes(counted), spark.createDataFrame([], "key long, n long"), 0, 0, 0, 1)
+    model = context_tree.Model(context_tree.weighted_nodes(counted), spark.createDataFrame([], "key long, n long"), 0, 0, 0, 1, 0)
     zero, one = model.block(0).ready().log10_of(np.array([0x6162636465_00, 0x6162636465_FF]))
     assert zero == pytest.approx(math.log10(0.5 / (n + 1)) + 7 * math.log10(0.5), rel=1e-6)
     assert one == pytest.approx(8 * math.log1p(-0.5 / (n + 1)) / math.log(10), rel=1e-6, abs=1e-14)
@@ -142,6 +142,17 @@ def test_rare_bit_after_many(spark, monkeypatch):
     assert -200 < scores[other].score < -16 and 0 < scores[own].bits_per_byte < 1
 
 
+@pytest.mark.parametrize("factor", [10**9, (2**31 - 1) // 3 + 1])
+def test_words_counted_more_often_than_32_bits(spark, monkeypatch, factor):
+    monkeypatch.setattr(context_tree, "_counts", many_times(factor))
+    own = next(i for i in range(100) if trains(i))
+    docs = spark.createDataFrame([(own, "hot hot hot cold")], "doc_id long, text string")
+    (row,) = context_tree.score(spark, docs, context_tree.train(docs)).collect()
+    floor = 4 * factor + 1 + 3 + 1
+    expected = 3 * math.log10((3 * factor + 1) / floor) + math.log10((factor + 1) / floor) + math.log10(2 / floor)
+    assert row.base_score == pytest.approx(expected, rel=1e-12)
+
+
 def toxic_rows(n):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
