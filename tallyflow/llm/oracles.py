@@ -57,6 +57,31 @@ FROM split LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = split.doc_id G
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH split AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+items AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_TERMS} AS w FROM benchmark)),
+grams AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
+    FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM items WHERE n > 0)
+),
+windows AS (
+    SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split, (SELECT DISTINCT n FROM grams) WHERE len(w) >= n)
+),
+hits AS (SELECT doc_id, i, n, item_id FROM windows JOIN grams USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT split.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def _quality_rules() -> str:
     low, high = host_rules.STRENGTH
     rules = host_rules.RULES
@@ -103,4 +128,5 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op7_quality_rules": _quality_rules(),
     "op9_exact_dedup": EXACT_DEDUP,
+    "op11_decontamination": DECONTAMINATION,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import bpe_arrays, bpe_monoid, context_tree, host_rules, jaccard_join, mixing, sharding, stream_dedup, substrings, toxicity
+from tallyflow.llm import alignment, bpe_arrays, bpe_monoid, context_tree, decontamination, host_rules, jaccard_join, mixing, sharding, stream_dedup, substrings, toxicity, whitening
 from tallyflow.llm.common import documents
 from tallyflow.llm.oracles import ORACLES
 
@@ -61,8 +61,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, toxicity.train(docs, labels)).drop("n_windows")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scanned(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["stop"] - span["start"])
+    counted = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), stream_dedup.sha256(F.array_join("items", ",")).alias("items_sha256"))
+    return counted.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.scored(alignment.aligned(documents(spark, sf_dir), a, b, digests=True))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_sharding, op3_context_tree, op4_jaccard_join, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_bpe, op9_exact_dedup, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_sharding, op3_context_tree, op4_jaccard_join, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_bpe, op9_exact_dedup, op10_toxicity, op11_decontamination, op12_token_alignment, op13_whitening)
 }

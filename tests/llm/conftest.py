@@ -38,20 +38,40 @@ def awkward_rows():
     return rows
 
 
-COLUMNS = {"lang": "en", "n_chars": 5, "size": "clash", "start": 1.5, "kept": None, "host": "h", "n_words": [1, 2], "_size": 4, "digest": "d", "shard": 3}
+COLUMNS = {"lang": "en", "n_chars": 5, "size": "clash", "start": 1.5, "spans": "c", "_text": "c", "pair": 7, "_file": "f", "_row": 2, "kept": None, "host": "h", "n_words": [1, 2], "_size": 4, "digest": "d", "shard": 3}
 
 
 def store(rows, folder, parts=3):
     """Write rows as a documents table with further columns whose names clash."""
     path = folder / "documents.parquet"
     path.mkdir(parents=True)
-    kinds = {"doc_id": pa.int64(), "text": pa.string(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.int64(), "size": pa.string(), "start": pa.float64(), "kept": pa.bool_(), "host": pa.string(), "n_words": pa.list_(pa.int32()), "_size": pa.int32(), "digest": pa.string(), "shard": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "text": pa.string(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.int64(), "size": pa.string(), "start": pa.float64(), "spans": pa.string(), "_text": pa.string(), "pair": pa.int64(), "_file": pa.string(), "_row": pa.int64(), "kept": pa.bool_(), "host": pa.string(), "n_words": pa.list_(pa.int32()), "_size": pa.int32(), "digest": pa.string(), "shard": pa.int64()}
     for k in range(parts):
         part = [COLUMNS | {"n_chars": len(r["text"] or "")} | r for r in rows[k::parts]]
         pq.write_table(pa.Table.from_pylist(part, schema=pa.schema(list(kinds.items()))), path / f"part-{k}.parquet")
+    for name, (own, kinds) in others(rows).items():
+        pq.write_table(pa.Table.from_pylist(own, schema=pa.schema(list(kinds.items()))), folder / f"{name}.parquet")
     return str(folder)
 
 
+def others(rows):
+    """The other tables the queries read; empty where there are no documents."""
+    rng = random.Random(3)
+    labels = [{"doc_id": r["doc_id"], "quality": 1, "toxic": int(k % 3 == 0)} for k, r in enumerate(rows)]
+    texts = [r["text"] for r in rows if r["text"]]
+    items = [" ".join(t.split()[k : k + 14]) for k, t in enumerate(texts)] + ["", None, "- !", "One TWO, three", "z1 z1", texts[0][:200] if texts else "", "nowhere to be found " * 6] if rows else []
+    benchmark = [{"item_id": None if k == 4 else k // 2 * 7, "text": t, "doc_id": k, "spans": "clash"} for k, t in enumerate(items)]
+    vectors = [[rng.gauss(0, 0.2) * (1 + d % 5) for d in range(12)] for _ in range(len(rows) * 3)]
+    if vectors:
+        vectors += [None, [], [1.0] * 11, [None] + [0.5] * 11, [float("nan")] * 12, [float("inf")] + [0.0] * 11, [1e30] * 12, vectors[0], vectors[0]]
+    embeddings = [{"vec_id": None if k == 3 else k, "embedding": v, "label": 1, "component": "clash"} for k, v in enumerate(vectors)]
+    return {
+        "labels": (labels, {"doc_id": pa.int64(), "quality": pa.int32(), "toxic": pa.int32()}),
+        "benchmark": (benchmark, {"item_id": pa.int64(), "text": pa.string(), "doc_id": pa.int64(), "spans": pa.string()}),
+        "embeddings": (embeddings, {"vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "label": pa.int32(), "component": pa.string()}),
+    }
+
+
 @pytest.fixture(scope="session")
 def rows():
     return awkward_rows()
