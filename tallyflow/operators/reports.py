@@ -53,6 +53,11 @@ def reconciliation(state: DataFrame, scan: DataFrame, tolerance: float = 1e-9) -
     return side_by_side.withColumn("matches", agree)
 
 
+LOADED = ("loaded_at", "file_name")
+#: Stored rows know their place; a clock is the same for all rows of an ingest, and names say nothing of order.
+STORED = ("ingest_no", "file_no")
+
+
 def recent_history(history: DataFrame, k: int = 10) -> DataFrame:
     """The last ``k`` batches. Batches of one ingest share a clock value, so the running
     row count, which grows with every batch, puts them in order."""
@@ -61,11 +66,10 @@ def recent_history(history: DataFrame, k: int = 10) -> DataFrame:
     ).limit(k)
 
 
-def recent_rows(rows: DataFrame, k: int = 5) -> DataFrame:
+def recent_rows(rows: DataFrame, k: int = 5, load_order: tuple[str, ...] = LOADED) -> DataFrame:
     """``k`` rows of the newest batch or batches, in row order inside a batch."""
-    return rows.orderBy(
-        F.desc("loaded_at"), F.desc("file_name"), F.desc("chunk_index"), F.asc("ordinal")
-    ).limit(k)
+    newest = [F.desc(c) for c in (*load_order, "chunk_index")]
+    return rows.orderBy(*newest, F.asc("ordinal")).limit(k)
 
 
 def repeated_batch_ids(history: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.running_history(feeds.event_metrics(spark, sf_dir), sum_scale=SCALE)
+    return ops.running_history(feeds.event_metrics(spark, sf_dir), sum_scale=SCALE, most_files=feeds.DAYS)
 
 
 def running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def history_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of the later files only, on top of the state the earlier ones left."""
     saved = ops.state_of(feeds.event_metrics(spark, sf_dir, feeds.is_early()), SCALE)
     later = feeds.event_metrics(spark, sf_dir, ~feeds.is_early())
-    return ops.running_history(later, saved, sum_scale=SCALE).select(*HISTORY_COLUMNS)
+    return ops.running_history(later, saved, sum_scale=SCALE, most_files=feeds.DAYS).select(*HISTORY_COLUMNS)
 
 
 def final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,14 +181,20 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that a history has twice after its early files were loaded once more."""
+    history = _history(spark, sf_dir).select("batch_id", "phase", "file_name")
+    return ops.repeated_batch_ids(history.unionByName(history.where(feeds.is_early())))
+
+
 def orders_running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = feeds.order_metrics(spark, sf_dir)
-    return ops.running_history(metrics, sum_scale=SCALE).select(*HISTORY_COLUMNS)
+    return ops.running_history(metrics, sum_scale=SCALE, most_files=feeds.PRIORITIES).select(*HISTORY_COLUMNS)
 
 
 def shipments_running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = feeds.shipment_metrics(spark, sf_dir)
-    return ops.running_history(metrics, sum_scale=SCALE).select(*HISTORY_COLUMNS)
+    return ops.running_history(metrics, sum_scale=SCALE, most_files=feeds.MONTHS).select(*HISTORY_COLUMNS)
 
 
 QUERIES = {
@@ -210,11 +216,17 @@ QUERIES = {
     "recent_history": recent_history,
     "recent_rows": recent_rows,
     "batch_summary": batch_summary,
+    "repeated_batch_ids": repeated_batch_ids,
     "orders_running_history": orders_running_history,
     "shipments_running_history": shipments_running_history,
     "csv_roundtrip_history": roundtrip.ingested_history,
     "csv_roundtrip_raw": roundtrip.ingested_rows,
     "csv_roundtrip_rejects": roundtrip.ingested_rejects,
+    "ingest_counts": roundtrip.ingest_counts,
+    "state_document_roundtrip": roundtrip.state_document_roundtrip,
+    "stream_validation_phase": roundtrip.stream_validation_phase,
+    "stored_recent_rows": roundtrip.stored_recent_rows,
+    "stored_recent_history": roundtrip.stored_recent_history,
     "stream_ingest_state": roundtrip.streamed_state,
     "stream_ingest_reconciliation": roundtrip.streamed_reconciliation,
 }

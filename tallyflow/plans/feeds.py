@@ -16,6 +16,8 @@ EVENT_CHUNK = 10
 ORDER_CHUNK = 100
 # The first fifteen daily files in processing order end with this one.
 LAST_EARLY_FILE = "zday-16.csv"
+# Files at most: days of a month and the reserved name; first characters of a priority; months.
+DAYS, PRIORITIES, MONTHS = 32, 1 << 16, 1 << 16
 # Prices have two decimals, so sums of them can be exact.
 SCALE = 2
 

@@ -113,6 +113,46 @@ placed AS (
 coerced AS (SELECT *, ordinal // 10 + 1 AS chunk_index FROM placed)"""
 
 
+# The reserved file repeats the last one and comes after all others.
+_WITH_RESERVED = """,
+loaded AS (
+    SELECT * FROM coerced
+    UNION ALL
+    SELECT * REPLACE (file_no + 1 AS file_no) FROM coerced
+    WHERE file_no = (SELECT max(file_no) FROM coerced)
+)"""
+
+_WRITTEN_HISTORY = """,
+metrics AS (
+    SELECT file_no, chunk_index, count(*) AS row_count,
+           sum(CAST(price AS DECIMAL(18,2))) AS price_sum,
+           min(price) AS min_price, max(price) AS max_price
+    FROM loaded WHERE price IS NOT NULL GROUP BY file_no, chunk_index
+),
+running AS (
+    SELECT file_no, chunk_index, row_count AS batch_rows,
+           CAST(price_sum AS DOUBLE) AS batch_sum,
+           CAST(sum(row_count) OVER w AS BIGINT) AS total_accumulated_rows,
+           CAST(sum(price_sum) OVER w AS DOUBLE) AS accumulated_sum,
+           CAST(sum(price_sum) OVER w AS DOUBLE) / (sum(row_count) OVER w) AS accumulated_avg,
+           min(min_price) OVER w AS global_min_price,
+           max(max_price) OVER w AS global_max_price
+    FROM metrics WINDOW w AS (ORDER BY file_no, chunk_index)
+)"""
+
+_WRITTEN_TOTALS = """chunk_index, batch_rows, batch_sum, total_accumulated_rows, accumulated_sum,
+    accumulated_avg, global_min_price, global_max_price"""
+
+# Two runs of half the files each: ingest, and place of the file in it.
+_PLACES = """,
+halves AS (SELECT (max(file_no) + 2) // 2 AS half FROM coerced),
+places AS (
+    SELECT DISTINCT file_no, CAST(CASE WHEN file_no < half THEN 1 ELSE 2 END AS BIGINT) AS ingest_no,
+           CASE WHEN file_no < half THEN file_no + 1 ELSE file_no - half + 1 END AS place
+    FROM coerced, halves
+)"""
+
+
 def _select(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body.strip()}"
 
@@ -260,6 +300,34 @@ metrics AS (
                    user_id, {_REASON}, price_raw AS raw_price
             FROM coerced WHERE price IS NULL""",
     ),
+    "repeated_batch_ids": _select(_EVENT_HISTORY, f"SELECT batch_id, CAST(2 AS BIGINT) AS n FROM running WHERE {_EARLY}"),
+    "ingest_counts": _select(
+        _WRITTEN,
+        """SELECT file_no // 3 + 1 AS version, count(DISTINCT file_no) AS n_files,
+                  count(price) AS rows_accepted, count(*) - count(price) AS rows_rejected
+           FROM coerced GROUP BY file_no // 3""",
+    ),
+    "state_document_roundtrip": _select(
+        _WRITTEN,
+        f"""{_STATE},
+       count(DISTINCT file_no) AS n_files
+FROM coerced""",
+    ),
+    "stream_validation_phase": _select(
+        _WRITTEN + _WITH_RESERVED + _WRITTEN_HISTORY,
+        f"SELECT {_WRITTEN_TOTALS} FROM running WHERE file_no = (SELECT max(file_no) FROM running)",
+    ),
+    "stored_recent_rows": _select(
+        _WRITTEN + _PLACES,
+        """SELECT ingest_no, place AS file_no, chunk_index, ordinal, "timestamp", price, user_id
+           FROM coerced JOIN places USING (file_no) WHERE price IS NOT NULL
+           ORDER BY ingest_no DESC, place DESC, chunk_index DESC, ordinal LIMIT 5""",
+    ),
+    "stored_recent_history": _select(
+        _WRITTEN + ", loaded AS (SELECT * FROM coerced)" + _WRITTEN_HISTORY + _PLACES,
+        f"""SELECT ingest_no, place AS file_no, {_WRITTEN_TOTALS} FROM running JOIN places USING (file_no)
+            ORDER BY ingest_no DESC, place DESC, chunk_index DESC LIMIT 10""",
+    ),
     "stream_ingest_state": _select(
         _WRITTEN,
         f"""{_STATE},

@@ -3,6 +3,7 @@
 from pyspark.sql.types import (
     ArrayType,
     DoubleType,
+    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -26,6 +27,9 @@ def _struct(*fields):
     return StructType([StructField(name, kind, True) for name, kind in fields])
 
 
+# Place of an ingest among those of its warehouse, and of a file in its ingest, both from 1.
+LOAD_ORDER = (("ingest_no", LongType()), ("file_no", LongType()))
+
 RAW_TRANSACTIONS = _struct(
     ("timestamp", TimestampNTZType()),
     ("price", DoubleType()),
@@ -36,6 +40,7 @@ RAW_TRANSACTIONS = _struct(
     ("chunk_index", LongType()),
     ("ordinal", LongType()),
     ("ingest_key", StringType()),
+    *LOAD_ORDER,
 )
 
 REJECTED_TRANSACTIONS = _struct(
@@ -64,6 +69,7 @@ TRANSACTIONS = _struct(
     ("raw_price", StringType()),
     ("chunk_index", LongType()),
     ("ordinal", LongType()),
+    *LOAD_ORDER,
     ("branch", StringType()),
     ("ingest_key", StringType()),
 )
@@ -80,6 +86,7 @@ STATISTICS_HISTORY = _struct(
     ("global_max_price", DoubleType()),
     ("batch_sum", DoubleType()),
     ("chunk_index", LongType()),
+    *LOAD_ORDER,
     ("ingest_key", StringType()),
 )
 
@@ -97,6 +104,14 @@ COMMITS = _struct(
     ("files", ArrayType(StringType())),
 )
 
+COMMIT_KEYS = _struct(
+    ("version", LongType()),
+    ("ingest_key", StringType()),
+    *[(f.name, f.dataType) for f in STATE],
+)
+
+DONE_NAMES = _struct(("file_name", StringType()), ("bucket", IntegerType()))
+
 SOURCE_BLOCKS = _struct(
     ("file_path", StringType()),
     ("block_start", LongType()),

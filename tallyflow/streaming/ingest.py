@@ -32,7 +32,6 @@ from tallyflow.sources.discovery import (
     discover,
     list_files,
     literal_path,
-    pending,
     stream_files,
 )
 from tallyflow.streaming.warehouse import Commit, Warehouse
@@ -41,6 +40,10 @@ from tallyflow.streaming.warehouse import Commit, Warehouse
 _NAMED_IN_ERROR = 20
 
 
+class RepeatedBatchError(ValueError):
+    """A batch id of the new history stands in the stored history, or twice in the new one."""
+
+
 @dataclass(frozen=True)
 class IngestOptions:
     chunk_size: int = 10
@@ -123,8 +126,11 @@ class IncrementalIngest:
         start = None
         if initial_state is not None:
             start = initial_state.select(*STATE.names).first().asDict()
-        listed = self._collect(list_files(self.spark, map(literal_path, paths), glob="*"))
-        return self._ingest_pending(_in_given_order(listed, paths), start)
+        # As many as were given, done ones too: each path must be found.
+        listing = list_files(self.spark, map(literal_path, paths), glob="*")
+        ordered = _in_given_order(self._collect(listing), paths)
+        undone = {file.file_name for file in self._collect(self.warehouse.pending(listing))}
+        return self._ingest_pending([f for f in ordered if f.file_name in undone], start)
 
     def discover(self, include_validation: bool = False) -> DataFrame:
         return discover(
@@ -145,7 +151,7 @@ class IncrementalIngest:
 
     def _arrivals(self, phase: str, glob: str, take, trigger: dict) -> StreamingQuery:
         def on_arrival(files: DataFrame, _batch: int) -> None:
-            take(self._collect(files.where(self._in_phase(phase)).orderBy("path")))
+            take(self._unseen(files.where(self._in_phase(phase))))
 
         limit = self.options.max_files_per_trigger
         return (
@@ -177,16 +183,20 @@ class IncrementalIngest:
             query.awaitTermination()
         except StreamingQueryException as wrapped:
             raise (failures[0] if failures else wrapped) from wrapped
-        reports.extend(self._ingest_pending(self._collect(unseen())))
+        reports.extend(self._ingest_pending(self._unseen(unseen())))
         return reports
 
+    def _unseen(self, files: DataFrame) -> list[_File]:
+        """Files not done yet, by path. What is done leaves before anything reaches the driver."""
+        return self._collect(self.warehouse.pending(files).orderBy("path"))
+
     def _in_phase(self, phase: str):
         reserved = F.col("file_name") == self.options.validation_name
         return reserved if phase == "validation" else ~reserved
 
     def _source_files(self) -> DataFrame:
         files = list_files(self.spark, literal_path(self.source_dir))
-        return files.where(self._in_phase("source")).orderBy("path")
+        return files.where(self._in_phase("source"))
 
     def _validation_files(self) -> DataFrame:
         return list_files(self.spark, literal_path(self.source_dir), literal_path(self.options.validation_name))
@@ -200,14 +210,10 @@ class IncrementalIngest:
     def _ingest_pending(
         self, files: list[_File], start: dict | None = None
     ) -> list[IngestReport]:
-        if not files:
-            return []
-        unseen = pending(self._listing(files), self.warehouse.processed_files())
-        undone = {row["file_name"] for row in unseen.select("file_name").collect()}
+        """Files whose names are not done, in this order; of equal names the first counts."""
         chosen: dict[str, _File] = {}
         for file in files:
-            if file.file_name in undone:
-                chosen.setdefault(file.file_name, file)
+            chosen.setdefault(file.file_name, file)
         reports = []
         groups = list(self._groups(list(chosen.values())))
         if len(groups) > 1 and not self.options.quarantine_bad_files:
@@ -245,14 +251,24 @@ class IncrementalIngest:
 
         previous = replace(self.warehouse.latest_commit(), **(start or {}))
         clock = F.lit(datetime.now(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
-        accepted, rejected = self._write_transactions(files, key, blocks, layout, clock)
-        self._write_history(files, key, previous, clock)
+        # At most max_files_per_ingest rows.
+        ranks = F.broadcast(self.spark.createDataFrame([(f.file_name, i) for i, f in enumerate(files, 1)], "file_name string, file_no long"))
+        placed = {"ingest_no": F.lit(previous.version + 1).cast("long"), "ingest_key": F.lit(key)}
+        accepted, rejected = self._write_transactions(files, placed, ranks, blocks, layout, clock)
+        self._write_history(placed, ranks, key, previous, clock)
         del self._surveys[key]
-        commit = self._next_commit(key, previous)
         names = [f.file_name for f in files]
+        self._refuse_repeated_ids(key, names)
+        commit = self._next_commit(key, previous)
         self.warehouse.append_commit(commit, key, names)
         return IngestReport(key, commit.version, tuple(names), accepted, rejected, commit)
 
+    def _refuse_repeated_ids(self, key: str, names: list[str]) -> None:
+        """A batch id is a key of the history: one that is there already must not count again."""
+        repeated = self.warehouse.repeated_batch_ids(key, names).orderBy("batch_id").limit(_NAMED_IN_ERROR).collect()
+        if repeated:
+            raise RepeatedBatchError(f"batch ids stored already: {', '.join(r['batch_id'] for r in repeated)}")
+
     def _surveyed(self, files: list[_File]) -> tuple[str, DataFrame, Layout, list[_File]]:
         """Key and survey of some files, and those that keep the column contract."""
         key = _ingest_key(files, self.options)
@@ -303,7 +319,7 @@ class IncrementalIngest:
         paths = [literal_path(f.path) for f in files]
         return csv_files.with_missing(self.spark, self._listing(files), paths)
 
-    def _write_transactions(self, files, key, blocks, layout, clock):
+    def _write_transactions(self, files, placed, ranks, blocks, layout, clock):
         """Second pass: one job that writes accepted and rejected rows side by side."""
         options = self.options
         raw = csv_files.read_source_rows(
@@ -320,14 +336,14 @@ class IncrementalIngest:
             options.strict_ids,
         )
         is_rejected = F.col("reject_reason").isNotNull()
-        rows = typed.withColumns({
+        rows = typed.join(ranks, "file_name").withColumns({
+            **placed,
             "loaded_at": clock,
             "batch_id": numbered_batch(
                 F.col("batch_prefix"), F.col("chunk_index"), F.col("batch_suffix")
             ),
             "raw_price": F.when(is_rejected, F.col("raw_price")),
             "branch": F.when(is_rejected, "rejected").otherwise("raw"),
-            "ingest_key": F.lit(key),
         }).select(*TRANSACTIONS.names)
         # Only a rejected row has no price.
         counts = Observation()
@@ -338,24 +354,21 @@ class IncrementalIngest:
         accepted = counts.get["accepted"]
         return accepted, counts.get["rows"] - accepted
 
-    def _write_history(self, files, key, previous: Commit, clock) -> None:
+    def _write_history(self, placed, ranks, key, previous: Commit, clock) -> None:
         """Batch metrics from the columns just written, then totals on top of the saved state."""
         options = self.options
-        # At most max_files_per_ingest rows.
-        ranks = self.spark.createDataFrame(
-            [(f.file_name, i) for i, f in enumerate(files)], "file_name string, file_rank long"
-        )
         written = self.warehouse.uncommitted_raw(key)
         metrics = batch_metrics(written, ("file_name", "chunk_index"), options.sum_scale)
         saved = tuple(getattr(previous, name) for name in STATE.names)
         state = self.spark.createDataFrame([saved], STATE)
         history = running_history(
-            metrics.join(F.broadcast(ranks), "file_name"),
+            metrics.join(ranks, "file_name"),
             state,
-            file_order=("file_rank",),
+            file_order=("file_no",),
             segment_chunks=options.segment_chunks,
             sum_scale=options.sum_scale,
-        ).withColumns({"processed_at": clock, "ingest_key": F.lit(key)})
+            most_files=options.max_files_per_ingest,
+        ).withColumns({**placed, "processed_at": clock})
         self.warehouse.replace_partitions(
             history.select(*STATISTICS_HISTORY.names), "history", "ingest_key"
         )

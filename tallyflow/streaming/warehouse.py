@@ -1,8 +1,15 @@
 """Parquet tables of one ingest target.
 
 Data tables are partitioned by ``ingest_key``, which names the set of files of one
-ingest. A row counts only if its key stands in ``commits``; that table is appended
-last, so a half-written ingest is invisible and a replay overwrites its own partitions.
+ingest. A row counts only if its key is committed; a commit is written last, so a
+half-written ingest is invisible and a replay overwrites its own partitions.
+
+Commits are one small file each, in folders of ``snapshot_every`` commits (epochs). When
+an epoch is full, a snapshot takes up all commits so far: the names of the files done, in
+folders by a hash of the name, and the keys with their states. What is read is the newest
+snapshot and the epochs after it, so the files opened don't grow with the commits. A crash
+between a commit and its snapshot costs nothing: a later snapshot takes up the epoch, and
+one that is incomplete is not looked at.
 """
 
 from dataclasses import dataclass
@@ -13,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tallyflow import schemas
+from tallyflow.session import remove
+from tallyflow.sources.discovery import pending
 
 
 @dataclass(frozen=True)
@@ -26,10 +35,19 @@ class Commit:
     global_max: float | None = None
 
 
+#: Commits of an epoch, folders over which the names of a snapshot are spread, snapshots kept.
+SNAPSHOT_EVERY, NAME_BUCKETS, KEPT_SNAPSHOTS = 64, 64, 3
+
+
+def name_bucket(file_name="file_name"):
+    return F.pmod(F.xxhash64(file_name), F.lit(NAME_BUCKETS)).cast("int")
+
+
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, snapshot_every: int = SNAPSHOT_EVERY) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.snapshot_every = snapshot_every
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -37,7 +55,6 @@ class Warehouse:
     def initialize(self) -> "Warehouse":
         """Create the tables that do not exist yet."""
         tables = {
-            "commits": (schemas.COMMITS, []),
             "transactions": (schemas.TRANSACTIONS, ["branch", "ingest_key"]),
             "history": (schemas.STATISTICS_HISTORY, ["ingest_key"]),
             "source_blocks": (schemas.SOURCE_BLOCKS, ["ingest_key"]),
@@ -53,8 +70,40 @@ class Warehouse:
     def _stored(self, table: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(table))
 
+    def _exists(self, path: str) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def _snapshots(self) -> list[int]:
+        """Last epochs of the complete snapshots, the newest first."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path("snapshots"), "upto=*/keys/_SUCCESS")
+        system = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = system.globStatus(where) or []
+        return sorted((int(f.getPath().getParent().getParent().getName().partition("=")[2]) for f in found), reverse=True)
+
+    def _log(self) -> tuple[int | None, DataFrame]:
+        """Newest snapshot, if any, and the commits after it."""
+        newest = next(iter(self._snapshots()), None)
+        epoch = 0 if newest is None else newest + 1
+        folders = []
+        while self._exists(folder := self.path(f"commits/epoch={epoch}")):
+            folders.append(folder)
+            epoch += 1
+        if not folders:
+            return newest, self.spark.createDataFrame([], schemas.COMMITS)
+        return newest, self.spark.read.schema(schemas.COMMITS).parquet(*folders)
+
+    def _snapshot(self, upto: int, part: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(f"snapshots/upto={upto}/{part}"))
+
     def commits(self) -> DataFrame:
-        return self._stored("commits", schemas.COMMITS)
+        """version, ingest_key and state of every commit."""
+        newest, tail = self._log()
+        return self._with_tail(newest, tail)
+
+    def _with_tail(self, newest: int | None, tail: DataFrame) -> DataFrame:
+        tail = tail.select(*schemas.COMMIT_KEYS.names)
+        return tail if newest is None else self._snapshot(newest, "keys", schemas.COMMIT_KEYS).unionByName(tail)
 
     def _committed(self, table: DataFrame) -> DataFrame:
         return table.join(self.commits().select("ingest_key"), "ingest_key", "left_semi")
@@ -89,6 +138,17 @@ class Warehouse:
         stored = self._stored("history", schemas.STATISTICS_HISTORY)
         return self._committed(stored).select(*schemas.STATISTICS_HISTORY.names)
 
+    def repeated_batch_ids(self, ingest_key: str, names: list[str]) -> DataFrame:
+        """Batch ids of an ingest under way that it has twice, or that committed history has already.
+
+        An id names its file, so only history of the same files is looked at.
+        """
+        new = self.uncommitted_history(ingest_key).select("batch_id")
+        twice = new.groupBy("batch_id").agg(F.count("*").alias("n")).where("n > 1").select("batch_id")
+        files = self.spark.createDataFrame([(name,) for name in names], "file_name string")
+        stored = self.history().where(F.col("ingest_key") != ingest_key).join(F.broadcast(files), "file_name", "left_semi")
+        return twice.unionByName(new.join(stored.select("batch_id"), "batch_id", "left_semi")).distinct()
+
     def uncommitted_history(self, ingest_key: str) -> DataFrame:
         return self._of_key("history", schemas.STATISTICS_HISTORY, ingest_key)
 
@@ -100,9 +160,24 @@ class Warehouse:
         stored = self._stored("quarantined_files", schemas.QUARANTINED_FILES)
         return stored.join(self.processed_files(), "file_name", "left_anti")
 
-    def processed_files(self) -> DataFrame:
-        """Names of all files done, one per row."""
-        return self.commits().select(F.explode("files").alias("file_name"))
+    def processed_files(self, buckets: list[int] | None = None) -> DataFrame:
+        """Names of all files done, one per row; of a snapshot those of some buckets only."""
+        newest, tail = self._log()
+        names = tail.select(F.explode("files").alias("file_name"))
+        if newest is None:
+            return names
+        held = self._snapshot(newest, "names", schemas.DONE_NAMES)
+        if buckets is not None:
+            held = held.where(F.col("bucket").isin(buckets))
+        return held.select("file_name").unionByName(names)
+
+    def pending(self, files: DataFrame) -> DataFrame:
+        """Files whose name is not done yet; only the buckets of a snapshot they fall into are read."""
+        buckets = None
+        if self._snapshots():
+            # At most NAME_BUCKETS rows.
+            buckets = [row["bucket"] for row in files.select(name_bucket().alias("bucket")).distinct().collect()]
+        return pending(files, self.processed_files(buckets))
 
     def state(self) -> DataFrame:
         """The newest state as one row; the zero state before the first commit."""
@@ -115,13 +190,11 @@ class Warehouse:
         )
 
     def latest_commit(self) -> Commit:
-        row = (
-            self.commits()
-            .orderBy(F.desc("version"))
-            .select("version", *schemas.STATE.names)
-            .limit(1)
-            .first()
-        )
+        newest, tail = self._log()
+        names = ["version", *schemas.STATE.names]
+        row = tail.orderBy(F.desc("version")).select(*names).limit(1).first()
+        if row is None and newest is not None:
+            row = self._snapshot(newest, "keys", schemas.COMMIT_KEYS).orderBy(F.desc("version")).select(*names).limit(1).first()
         return Commit(**row.asDict()) if row else Commit()
 
     # Writing
@@ -145,12 +218,30 @@ class Warehouse:
             commit.global_max,
             files,
         )
-        (
-            self.spark.createDataFrame([row], schemas.COMMITS)
-            .coalesce(1)
-            .write.mode("append")
-            .parquet(self.path("commits"))
-        )
+        self._append(self.spark.createDataFrame([row], schemas.COMMITS), commit.version)
+        if commit.version % self.snapshot_every == 0:
+            self.take_snapshot()
+
+    def _append(self, row: DataFrame, version: int) -> None:
+        epoch = (version - 1) // self.snapshot_every
+        row.coalesce(1).write.mode("append").parquet(self.path(f"commits/epoch={epoch}"))
+
+    def take_snapshot(self) -> None:
+        """Names and keys of all full epochs as new tables; the keys last, they make it count."""
+        newest, tail = self._log()
+        last = tail.agg(F.max("version")).first()[0]
+        upto = last // self.snapshot_every - 1 if last else -1
+        if upto < 0 or upto == newest:
+            return
+        full = tail.where(F.col("version") <= (upto + 1) * self.snapshot_every)
+        names = full.select(F.explode("files").alias("file_name")).withColumn("bucket", name_bucket())
+        if newest is not None:
+            names = self._snapshot(newest, "names", schemas.DONE_NAMES).unionByName(names)
+        folder = self.path(f"snapshots/upto={upto}")
+        names.repartition(NAME_BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/names")
+        self._with_tail(newest, full).repartition(1).write.mode("overwrite").parquet(f"{folder}/keys")
+        for old in self._snapshots()[KEPT_SNAPSHOTS:]:
+            remove(self.spark, self.path(f"snapshots/upto={old}"))
 
     # State documents
 
@@ -199,4 +290,4 @@ class Warehouse:
             F.when(filled, F.col("global_max")).alias("global_max"),
             F.array_distinct(F.coalesce("processed_files", F.array().cast("array<string>"))).alias("files"),
         )
-        row.coalesce(1).write.mode("append").parquet(self.path("commits"))
+        self._append(row, 1)

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import re
 import shutil
 import time
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from tallyflow import IncrementalIngest, IngestOptions, Warehouse
 from tallyflow.schemas import STATE
 from tallyflow.sources.csv_files import ColumnContractError
+from tallyflow.streaming import Commit
+from tallyflow.streaming.ingest import RepeatedBatchError
 
 HEADER = "timestamp,price,user_id\n"
 
@@ -395,3 +398,79 @@ def test_one_ingest_lists_only_its_own_folder(spark, source, target):
         (report,) = ingest.run()
     files = ingest.warehouse.uncommitted_raw(report.ingest_key).inputFiles()
     assert files and all(f"ingest_key={report.ingest_key}" in f for f in files)
+
+
+def test_snapshots_bound_the_files_opened(spark, source, target):
+    """However many commits there are, a reader opens one snapshot and the epochs after it."""
+    warehouse = Warehouse(spark, target, snapshot_every=3).initialize()
+    opened, empty = [], spark.createDataFrame([], "file_name string")
+    for version in range(1, 11):
+        warehouse.append_commit(Commit(version, version, 1.0 * version, 1.0, 2.0), f"key{version}", [f"f{version}-{i}.csv" for i in range(20)])
+        names = warehouse.processed_files()
+        opened.append(len(names.inputFiles()))
+        assert (names.count(), names.distinct().count()) == (20 * version, 20 * version)
+        assert warehouse.commits().count() == version and warehouse.latest_commit().version == version
+        assert tuple(warehouse.state().first()) == (version, 1.0 * version, 1.0, 2.0)
+    assert max(opened) <= 64 + 2
+    few = spark.createDataFrame([("f1-3.csv",), ("f10-19.csv",), ("new.csv",)], "file_name string")
+    assert [r["file_name"] for r in warehouse.pending(few).collect()] == ["new.csv"]
+    plan = warehouse.processed_files([5])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    assert warehouse.pending(empty).count() == 0
+    assert sum(name.startswith("upto=") for name in os.listdir(f"{target}/snapshots")) == 3
+
+
+def test_incomplete_snapshot_is_not_looked_at(spark, target):
+    warehouse = Warehouse(spark, target, snapshot_every=2).initialize()
+    for version in range(1, 4):
+        warehouse.append_commit(Commit(version), f"key{version}", [f"f{version}.csv"])
+    # A crash before the keys were written.
+    shutil.rmtree(f"{target}/snapshots/upto=0/keys")
+    assert warehouse.processed_files().count() == 3
+    warehouse.append_commit(Commit(4), "key4", ["f4.csv"])
+    assert warehouse.processed_files().count() == 4 and len(warehouse.processed_files().inputFiles()) <= 4
+    assert warehouse.latest_commit().version == 4
+
+
+def test_ingests_across_snapshots(spark, source, target):
+    ingest = IncrementalIngest(spark, str(source), target, chunk_size=2)
+    ingest.warehouse.snapshot_every = 2
+    for k in range(5):
+        write(source, f"batch-{k}.csv", [str(10 * k + 1), "", str(10 * k + 2)])
+        (report,) = ingest.run()
+        assert report.version == k + 1
+    assert ingest.run() == []
+    assert_reconciled(ingest)
+    assert ingest.warehouse.raw_transactions().count() == 10
+    places = ingest.warehouse.raw_transactions().select("file_name", "ingest_no", "file_no").distinct().collect()
+    assert sorted(map(tuple, places)) == [(f"batch-{k}.csv", k + 1, 1) for k in range(5)]
+
+
+def test_only_pending_files_reach_the_driver(spark, source, target, monkeypatch):
+    ingest = IncrementalIngest(spark, str(source), target)
+    done = [f"old-{k:05d}.csv" for k in range(10_000)]
+    for name in done[:300]:
+        (source / name).write_text(HEADER)
+    ingest.warehouse.append_commit(Commit(1), "old", done)
+    write(source, "new-1.csv", ["1"])
+    write(source, "new-2.csv", ["2"])
+    collected = []
+    monkeypatch.setattr(ingest, "_collect", lambda files, own=ingest._collect: collected.append(own(files)) or collected[-1])
+    (report,) = ingest.run()
+    assert report.files == ("new-1.csv", "new-2.csv")
+    assert sorted(f.file_name for files in collected for f in files) == ["new-1.csv", "new-2.csv"]
+
+
+def test_a_repeated_batch_id_aborts_before_the_commit(spark, source, target):
+    path = write(source, "a.csv", ["1", "2", "3"])
+    ingest = IncrementalIngest(spark, str(source), target, chunk_size=2)
+    ingest.ingest_files([path])
+    # Its name is forgotten, its history is not.
+    ingest.warehouse.processed_files = lambda buckets=None: spark.createDataFrame([], "file_name string")
+    write(source, "a.csv", ["1", "2", "3", "4"])
+    other = write(source, "b.csv", ["5"])
+    with pytest.raises(RepeatedBatchError, match="a-lote-0001"):
+        ingest.ingest_files([other, path])
+    assert ingest.warehouse.latest_commit().version == 1 and ingest.warehouse.raw_transactions().count() == 3
+    (report,) = ingest.ingest_files([other])
+    assert report.version == 2

@@ -98,6 +98,25 @@ def test_running_history_equals_a_sequential_loop(spark, segment_chunks, sum_sca
     assert got == brute_history(batches, start)
 
 
+@pytest.mark.parametrize("prefix_rows", [1, 5])
+@pytest.mark.parametrize("sum_scale", [None, 2])
+def test_running_history_over_levels(spark, prefix_rows, sum_scale):
+    """More files than a task may hold: ranges, and ranges of ranges, carry the totals."""
+    rng = random.Random(prefix_rows)
+    batches = []
+    for f in range(40):
+        for chunk in range(1, rng.randint(2, 5)):
+            low = float(rng.randint(-20, 20))
+            batches.append((f % 2, f"f{f:02d}.csv", chunk, 2, 2 * low + 1, low, low + 1))
+    start = (4, 100.0, -3.0, 5.0)
+    history = ops.running_history(spark.createDataFrame(batches, METRICS), state(spark, *start), segment_chunks=2, sum_scale=sum_scale, prefix_rows=prefix_rows)
+    got = [tuple(r) for r in history.orderBy("total_accumulated_rows").select(
+        "file_name", "chunk_index", "batch_rows", "total_accumulated_rows", "accumulated_sum",
+        "accumulated_avg", "global_min_price", "global_max_price",
+    ).collect()]
+    assert got == brute_history(batches, start)
+
+
 def test_running_history_without_state(spark):
     batches = random_batches(3, hot=20)
     history = ops.running_history(spark.createDataFrame(batches, METRICS), segment_chunks=4)
