@@ -9,7 +9,7 @@ and every document is scored against these counts.
 A text falls into segments where a space follows a byte that ends no white space. There
 neither side has a token across: byte-level pre-tokens and pieces have spaces at their
 start only. So both sides end a token at each segment's end, groups lie inside segments,
-and each distinct segment is encoded and aligned once. Where a segment's tokens don't give
+and each distinct segment of a step is encoded and aligned once. Where a segment's tokens don't give
 its bytes back, the whole text is taken as one segment.
 
 Pairs a document has are stored with it. Counts are summed in each task before they are
@@ -23,12 +23,14 @@ for the counts too. An empty table gives an empty result. Other columns are igno
 """
 
 import hashlib
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 from itertools import accumulate, chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
@@ -45,98 +47,135 @@ from tallyflow.session import written
 #: Pairs that are sent to all tasks at most.
 HOT_PAIRS = 2_000_000
 #: Text bytes handled at once, and pairs a task holds before it passes their counts on.
-STEP, HELD = 1 << 20, 1_000_000
-#: Bytes of the segments whose alignment a worker remembers at most, and the longest of them.
-REMEMBERED_BYTES, REMEMBERED_LENGTH = 2_000_000, 64
+STEP, HELD = 4 << 20, 1_000_000
+#: Segments the first tokenizer gets as one text.
+TOGETHER = 2000
 #: Counts are told apart by 1/LEVELS of an octave when the hot pairs are chosen.
 LEVELS = 8
 
 _SPACE = ord(" ")
 #: Last bytes of white space beyond ASCII; other characters end in them too, which only spares a cut.
 _ENDS_SPACE = {0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF}
+#: After these a text's last segment may not be followed by another: all that str counts as white space.
+_WHITE = {chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()} | {""}
 _CUTS_AFTER = np.array([b > _SPACE and b not in _ENDS_SPACE for b in range(256)])
 
 
-@dataclass
-class Segment:
-    """One aligned segment. ``groups`` ends with a semicolon; ``pairs`` has every link."""
-
-    faithful: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    pairs: tuple[int, ...]
+class Segments:
+    """Aligned segments as columns: ``numbers`` has rows n_a, n_b, n_groups and n_links, ``groups`` texts that
+    end with a semicolon, ``pairs`` the links of one segment after another."""
 
+    def __init__(self, faithful: np.ndarray, numbers: np.ndarray, groups: pa.Array, pairs: np.ndarray):
+        self.faithful, self.numbers, self.groups, self.pairs = faithful, numbers, groups, pairs
 
-NOTHING = Segment(False, 0, 0, 0, b"", ())
+    def __add__(self, more: "Segments") -> "Segments":
+        return Segments(*(np.concatenate([a, b], axis=-1) for a, b in ((self.faithful, more.faithful), (self.numbers, more.numbers))), pa.concat_arrays([self.groups, more.groups]), np.concatenate([self.pairs, more.pairs]))
 
 
 class Aligner:
-    """Both tokenizers, read from the contents of their files, and what they have aligned before."""
+    """Both tokenizers, read from the contents of their files where they are first used."""
 
     def __init__(self, vocabulary: str, model: bytes):
         self.files = vocabulary, model
-        self.known: dict[str, Segment] | None = None
+        self.size_b = 0
 
     def ready(self) -> "Aligner":
-        if self.known is not None:
+        if self.size_b:
             return self
         vocabulary, model = self.files
         self.first = tokenizers.Tokenizer.from_str(vocabulary)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_proto=model)
         symbols = byte_symbols()
-        self.bytes_a = {i: bytes(map(symbols.__getitem__, t)) if set(t) <= symbols.keys() else t.encode() for t, i in self.first.get_vocab().items()}
+        entries = {i: bytes(map(symbols.__getitem__, t)) if set(t) <= symbols.keys() else t.encode() for t, i in self.first.get_vocab().items()}
         pieces = self.second.id_to_piece(list(range(self.second.get_piece_size())))
-        self.bytes_b = [bytes.fromhex(p[3:5]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         #: A text of nothing has no piece for the space put before it.
         self.lone_space = [self.second.piece_to_id("▁")]
+        self.bytes_a = pa.array([entries.get(i, b"") for i in range(max(entries) + 1)], pa.large_binary())
+        self.bytes_b = pa.array([bytes.fromhex(p[3:5]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)], pa.large_binary())
+        self.lengths_a, self.lengths_b = (pc.binary_length(t).to_numpy() for t in (self.bytes_a, self.bytes_b))
+        #: Decimals of the ids of both sides, followed by what stands after a token, and after the last of a group.
+        self.decimals = pa.array([f"{i}{mark}" for size, marks in ((len(self.bytes_a), ",|"), (len(pieces), ",;")) for i in range(size) for mark in marks], pa.large_binary())
         self.size_b = len(pieces)
-        self.known, self.held = {}, 0
         return self
 
-    def links(self, a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> Iterator[int]:
-        """Pairs of overlapping tokens of one group, which both sides fill."""
-        i = j = 0
-        while i < len(a):
-            yield a[i] * self.size_b + b[j]
-            end_a, end_b = ends_a[i], ends_b[j]
-            i += end_a <= end_b
-            j += end_b <= end_a
-
-    def align(self, data: bytes, a: list[int], b: list[int]) -> Segment:
-        own_a, own_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(own_a) != data or b"".join(own_b) != data:
-            return NOTHING
-        ends_a, ends_b = list(accumulate(map(len, own_a))), list(accumulate(map(len, own_b)))
-        index_a, index_b = ({end: k for k, end in enumerate(ends, 1)} for ends in (ends_a, ends_b))
-        common = sorted(index_a.keys() & index_b.keys())
-        groups, pairs = [], []
-        i = j = 0
-        for end in common:
-            p, q = index_a[end], index_b[end]
-            groups.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
-            pairs.extend(self.links(a[i:p], ends_a[i:p], b[j:q], ends_b[j:q]))
-            i, j = p, q
-        return Segment(True, len(a), len(b), len(common), ";".join([*groups, ""]).encode(), tuple(pairs))
-
-    def segments(self, texts: list[str]) -> list[Segment]:
+    def ids_first(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments and how many each has. Where a segment begins, a pre-token begins,
+        so segments that another may follow are encoded together, as one text."""
+        followed = np.array([t[-1:] not in _WHITE for t in texts], bool)
+        apart, alone = np.flatnonzero(followed), np.flatnonzero(~followed)
+        order = np.concatenate([apart, alone])
+        together = [apart[k : k + TOGETHER] for k in range(0, len(apart), TOGETHER)]
+        parts, counts = [], np.zeros(len(texts), np.int64)
+        for own in [*together, *alone[:, None]]:
+            ids = np.array(self.encoded("".join([texts[k] for k in own])), np.int64)
+            ends, wanted = np.cumsum(self.lengths_a[ids]), np.cumsum(sizes[own])
+            stops = np.searchsorted(ends, wanted, side="right")
+            if len(own) > 1 and not np.array_equal(ends[stops - 1], wanted):
+                each = [np.array(self.encoded(texts[k]), np.int64) for k in own]
+                ids, stops = np.concatenate(each), np.cumsum(list(map(len, each)))
+            counts[own] = np.diff(stops, prepend=0) if len(own) > 1 else len(ids)
+            parts.append(ids)
+        flat = np.concatenate(parts)
+        # Back from the order of encoding to the order of segments.
+        starts = np.empty(len(texts), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(len(flat))], counts
+
+    def encoded(self, text: str) -> list[int]:
+        return self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def ids_second(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [ids or self.lone_space for ids in self.second.encode([t[1:] for t in texts], num_threads=1)]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+    def align(self, segments: pa.Array) -> Segments:
         """Alignments of distinct texts that each begin with a space."""
-        known = self.known
-        new = [t for t in texts if t not in known]
-        ids_a = [e.ids for e in self.first.encode_batch(new, add_special_tokens=False)]
-        ids_b = self.second.encode([t[1:] for t in new], num_threads=1) if new else []
-        fresh = {t: self.align(t.encode(), a, b or self.lone_space) for t, a, b in zip(new, ids_a, ids_b, strict=True)}
-        found = [fresh.get(t) or known[t] for t in texts]
-        for text, segment in fresh.items():
-            if len(text) <= REMEMBERED_LENGTH:
-                if self.held > REMEMBERED_BYTES:
-                    known.clear()
-                    self.held = 0
-                known[text] = segment
-                self.held += len(text)
-        return found
+        texts, n = segments.to_pylist(), len(segments)
+        sizes = pc.binary_length(segments).to_numpy().astype(np.int64)
+        data = np.frombuffer(b"".join(segments.cast(pa.large_binary()).to_pylist()), np.uint8)
+        sides = [[self.bytes_a, self.lengths_a, *self.ids_first(texts, sizes)], [self.bytes_b, self.lengths_b, *self.ids_second(texts)]]
+        faithful = np.ones(n, bool)
+        for look in ("length", "bytes"):
+            kept = np.ones(n, bool)
+            for table, lengths, ids, counts in sides:
+                of_token = np.repeat(np.arange(n), counts)
+                if look == "length":
+                    kept &= np.bincount(of_token, weights=lengths[ids], minlength=n) == sizes
+                else:
+                    joined = np.frombuffer(table.take(pa.array(ids)).buffers()[2] or b"", np.uint8)
+                    kept[np.repeat(np.arange(n), sizes)[joined != data]] = False
+            if not kept.all():
+                faithful &= kept
+                data = data[np.repeat(kept, sizes)]
+                for side in sides:
+                    side[2], side[3] = side[2][np.repeat(kept, side[3])], np.where(kept, side[3], 0)
+                sizes = np.where(kept, sizes, 0)
+        (_, lengths_a, a, n_a), (_, lengths_b, b, n_b) = sides
+        ends_a, ends_b = np.cumsum(lengths_a[a]), np.cumsum(lengths_b[b])
+        # Dictionary of one side's ends, the other's looked up in it: the common ends, in order.
+        index = pd.Index(ends_b).get_indexer(ends_a)
+        last_a = np.flatnonzero(index >= 0)
+        last_b = index[last_a]
+        n_groups = np.bincount(np.repeat(np.arange(n), n_a)[last_a], minlength=n)
+        # A group's tokens of the one side, then those of the other.
+        group_a, group_b = (np.searchsorted(last, np.arange(len(ids))) for last, ids in ((last_a, a), (last_b, b)))
+        code = np.empty(len(a) + len(b), np.int64)
+        before = np.concatenate(([0], last_b + 1))
+        code[np.arange(len(a)) + before[group_a]] = 2 * a + (index >= 0)
+        is_last = np.zeros(len(b), bool)
+        is_last[last_b] = True
+        code[np.arange(len(b)) + (last_a + 1)[group_b]] = 2 * (len(self.bytes_a) + b) + is_last
+        _, ends, text = self.decimals.take(pa.array(code)).buffers()
+        bounds = np.concatenate(([0], np.cumsum(n_a + n_b)))
+        groups = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.frombuffer(ends, np.int64, len(code) + 1)[bounds]), text])
+        # Links of a slice: each token with the other side's from the one it begins in to the one it ends in.
+        begin, end = np.searchsorted(ends_b, ends_a - lengths_a[a], side="right"), np.searchsorted(ends_b, ends_a, side="left")
+        many = end - begin + 1
+        pairs = np.repeat(a * self.size_b, many) + b[np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        n_links = np.bincount(np.repeat(np.arange(n), n_a), weights=many, minlength=n).astype(np.int64)
+        return Segments(faithful, np.stack([n_a, n_b, n_groups, n_links]), groups, pairs)
 
 
 def cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -154,12 +193,6 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.searchsorted(starts, ends), segments
 
 
-def _gather(offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the chosen runs' members one run after another, and the runs' lengths."""
-    lengths = np.diff(offsets)[chosen]
-    return np.repeat(offsets[chosen] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum()), lengths
-
-
 def _aligned(batches: Iterator[pa.RecordBatch], shared: Broadcast, schema: pa.Schema, digests: bool) -> Iterator[pa.RecordBatch]:
     aligner: Aligner = shared.value.ready()
     held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
@@ -206,32 +239,31 @@ def _spaced(texts: pa.Array) -> pa.Array:
 
 
 def _step(aligner: Aligner, texts: pa.Array, digests: bool):
-    """Sums of each text, its groups, and owner, pair and number of each of its distinct pairs."""
+    """Numbers of each text, its groups, and owner, pair and number of each of its distinct pairs."""
     offsets, parts = cut(texts)
     coded = parts.dictionary_encode()
-    codes, distinct = coded.indices.to_numpy(), aligner.segments(coded.dictionary.to_pylist())
+    codes, distinct = coded.indices.to_numpy(), aligner.align(coded.dictionary)
     # Texts with a segment that doesn't give its bytes back are taken whole.
-    faithful = np.array([s.faithful for s in distinct])
-    unfaithful = np.flatnonzero(np.add.reduceat(~faithful[codes], offsets[:-1]))
+    unfaithful = np.flatnonzero(np.add.reduceat(~distinct.faithful[codes], offsets[:-1], dtype=np.int64))
     if len(unfaithful):
-        whole = aligner.segments(texts.take(pa.array(unfaithful)).to_pylist())
         pieces = np.split(codes, offsets[1:-1])
         for k, row in enumerate(unfaithful):
-            pieces[row] = np.array([len(distinct) + k])
-        distinct = distinct + whole
+            pieces[row] = np.array([len(coded.dictionary) + k])
+        distinct = distinct + aligner.align(texts.take(pa.array(unfaithful)))
         codes, offsets = np.concatenate(pieces), np.concatenate(([0], np.cumsum(list(map(len, pieces)))))
-    table = np.array([(s.n_a, s.n_b, s.n_groups, len(s.pairs)) for s in distinct], np.int64).T
-    sums = np.add.reduceat(table[:, codes], offsets[:-1], axis=1)
-    _, ends, data = pa.array([s.groups for s in distinct], pa.large_binary()).take(pa.array(codes)).buffers()
+    sums = np.add.reduceat(distinct.numbers[:, codes], offsets[:-1], axis=1)
+    _, ends, data = distinct.groups.take(pa.array(codes)).buffers()
     ends = np.frombuffer(ends, np.int64, len(codes) + 1)[offsets]
-    view = memoryview(data) if data is not None else memoryview(b"")
-    groups = [bytes(view[a : max(a, b - 1)]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    groups = [hashlib.sha256(g).hexdigest() if digests and g else g.decode() for g in groups]
-    flat = np.fromiter(chain.from_iterable(s.pairs for s in distinct), np.int64, int(table[3].sum()))
-    at, lengths = _gather(np.concatenate(([0], np.cumsum(table[3]))), codes)
+    view = memoryview(data or b"")
+    groups = [view[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    groups = [hashlib.sha256(g).hexdigest() if digests and len(g) else bytes(g).decode() for g in groups]
+    n_links = distinct.numbers[3]
+    lengths = n_links[codes]
+    starts = np.cumsum(n_links) - n_links
+    at = np.repeat(starts[codes] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
     text = np.repeat(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), lengths)
-    space = int(flat.max(initial=0)) + 1
-    keys, many = np.unique(text * space + flat[at], return_counts=True)
+    space = int(distinct.pairs.max(initial=0)) + 1
+    keys, many = np.unique(text * space + distinct.pairs[at], return_counts=True)
     owner, pairs = np.divmod(keys, space)
     return sums, groups, owner, pairs, many
 
@@ -254,7 +286,7 @@ def aligned(docs: DataFrame, vocabulary: str, model: str, keep: tuple[str, ...]
         aligner = Aligner(first.read(), second.read())
     local = Aligner(*aligner.files).ready()
     size_b = local.size_b
-    kind = T.IntegerType() if (max(local.bytes_a) + 1) * size_b < 2**31 else T.LongType()
+    kind = T.IntegerType() if len(local.bytes_a) * size_b < 2**31 else T.LongType()
     read = docs.select(F.struct(*keep).alias("_kept"), F.col("text").alias("_text"))
     schema = T.StructType(read.drop("_text").schema.fields).add("n_a", "long").add("n_b", "long").add("n_groups", "long").add("n_links", "long")
     schema = schema.add("groups_sha256" if digests else "groups", "string").add("pairs", T.ArrayType(kind)).add("pair_counts", T.ArrayType(T.IntegerType()))
