@@ -18,7 +18,9 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.broadcast import Broadcast
@@ -29,8 +31,13 @@ from tallyflow.llm.common import map_batches, steps
 
 #: Bytes of a leaf, and tokens by which a border window grows.
 LEAF, GROW = 16, 2
-#: Distinct pieces whose ids a task remembers at most, and their longest length.
-REMEMBERED, REMEMBERED_CHARS = 1_200_000, 64
+#: Memory for the ids of pieces that a worker remembers, what one takes besides its contents, and the longest piece.
+REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 96 << 20, 200, 64
+#: Neighbours whose test a worker remembers at most.
+REMEMBERED_PAIRS = 200_000
+#: Text bytes encoded at once.
+STEP = 2 << 20
+ID = np.dtype(np.int32)
 
 
 SINGLE = [bytes((byte,)) for byte in range(256)]
@@ -46,11 +53,12 @@ class TreeEncoder:
         none = len(ranks)
         #: Rank of each pair of bytes, by first and second, and the decimals of each id.
         self.pair_ranks = [[ranks.get(bytes((a, b)), none) for b in range(256)] for a in range(256)]
-        self.decimals = {i: str(i) for i in self.bytes_of}
-        #: Of pieces seen before: number of ids; the ids, or their decimals joined by commas; decoded bytes.
-        self.counts: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...] | str] = {}
-        self.decoded: dict[str, bytes] = {}
+        every = range(max(self.bytes_of, default=-1) + 1)
+        self.token_bytes = pa.array([self.bytes_of.get(i, b"") for i in every], pa.large_binary())
+        self.decimals = pa.array([b"%d," % i for i in every], pa.large_binary())
+        #: Ids of pieces seen before, as bytes, and what they take up in memory.
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +86,7 @@ class TreeEncoder:
         """Whether two neighbours are what their joined bytes encode to."""
         known = self._stable.get((left, right))
         if known is None:
-            if len(self._stable) > REMEMBERED:
+            if len(self._stable) > REMEMBERED_PAIRS:
                 self._stable.clear()
             known = self._stable[left, right] = self.leaf(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
@@ -104,6 +112,22 @@ class TreeEncoder:
         half = len(data) // 2
         return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
+    def remembered(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, as bytes."""
+        if self.held > REMEMBERED_BYTES:
+            self.known.clear()
+            self.held = 0
+        known, out = self.known, []
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                ids = np.array(self.encode(piece.encode()), ID).tobytes()
+                if len(piece) <= REMEMBERED_CHARS:
+                    known[piece] = ids
+                    self.held += ENTRY_BYTES + 2 * len(piece) + len(ids)
+            out.append(ids)
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of a sequence of ids: concatenation, in halves of any shape."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -111,34 +135,36 @@ class TreeEncoder:
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, kept: list[str], prefix: str, digests: bool) -> Iterator[pa.RecordBatch]:
     encoder, pattern = shared.value
-    counts, parts, decoded, decimals = encoder.counts, encoder.parts, encoder.decoded, encoder.decimals
     find = regex.compile(pattern).findall
-    for batch in steps(batches):
-        if len(counts) > REMEMBERED:
-            for known in (counts, parts, decoded):
-                known.clear()
+    for batch in steps(batches, most=STEP):
         pieces = [find(text or "") for text in batch.column("text").to_pylist()]
-        new = set().union(*pieces).difference(counts)
-        for piece in new:
-            ids = encoder.encode(piece.encode())
-            counts[piece] = len(ids)
-            parts[piece] = ",".join([decimals[i] for i in ids]) if digests else tuple(ids)
-            decoded[piece] = encoder.decode(ids)
+        last = np.cumsum(list(map(len, pieces)))
+        coded = pa.array(chain.from_iterable(pieces), pa.string()).dictionary_encode()
+        del pieces
+        codes, encoded = coded.indices.to_numpy(), encoder.remembered(coded.dictionary.to_pylist())
         # Pieces are encoded apart, so the root of the tree joins them as they are.
-        n_tokens = [sum(map(counts.__getitem__, own)) for own in pieces]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // ID.itemsize
+        many = lengths[codes]
+        bounds = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], last))]
+        starts = np.cumsum(lengths) - lengths
+        ids = np.frombuffer(b"".join(encoded), ID)[np.repeat(starts[codes] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        ends, decoded = joined(encoder.token_bytes, ids, bounds)
         if digests:
-            first = [hashlib.sha256(",".join(map(parts.__getitem__, own)).encode()).hexdigest() for own in pieces]
-            second = [hashlib.sha256(b"".join(map(decoded.__getitem__, own))).hexdigest() for own in pieces]
+            second = pa.array([hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            ends, listed = joined(encoder.decimals, ids, bounds)
+            # Without the comma after the last id.
+            first = pa.array([hashlib.sha256(listed[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)], pa.string())
         else:
-            first = [[i for p in own for i in parts[p]] for own in pieces]
-            second = [b"".join(map(decoded.__getitem__, own)) for own in pieces]
-        for piece in (p for p in new if len(p) > REMEMBERED_CHARS):
-            for known in (counts, parts, decoded):
-                del known[piece]
-        outs = [pa.array(n_tokens, pa.int64())]
-        outs += [pa.array(first, pa.string()), pa.array(second, pa.string())] if digests else [pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.binary())]
+            first = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+            second = pa.array([bytes(decoded[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
         names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *outs], names=[*kept, *(prefix + n for n in names)])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.diff(bounds)), first, second], names=[*kept, *(prefix + n for n in names)])
+
+
+def joined(table: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> tuple[list[int], memoryview]:
+    """The entries of a table for all ids, one after another, and where each text's share begins."""
+    _, ends, data = table.take(pa.array(ids)).buffers()
+    return np.frombuffer(ends, np.int64, len(ids) + 1)[bounds].tolist(), memoryview(data or b"")
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), digests: bool = False, prefix: str = "") -> DataFrame:
