@@ -29,13 +29,26 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return df.mapInArrow(function, schema)
 
 
+_PLACE = {"_file": "_metadata.file_path", "_row": "_metadata.row_index"}
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """The documents as read from files; stored first, where they are not."""
+    try:
+        docs.select("_metadata.file_path")
+        return docs
+    except AnalysisException:
+        return written(docs, "documents")
+
+
 def located(docs: DataFrame) -> DataFrame:
     """The documents with ``_file`` and ``_row``, which name one stored row each."""
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    try:
-        return docs.select("*", *place)
-    except AnalysisException:  # not read from files: store it first
-        return written(docs, "documents").select("*", *place)
+    return stored(docs).select("*", *[F.col(c).alias(name) for name, c in _PLACE.items()])
+
+
+def packed(docs: DataFrame, *also: str) -> DataFrame:
+    """``_file``, ``_row``, ``also``, and all columns of stored documents as ``_doc``, where their names clash with none."""
+    return docs.select(F.struct("*").alias("_doc"), *also, *[F.col(c).alias(name) for name, c in _PLACE.items()])
 
 
 def word_count(text: Column) -> Column:

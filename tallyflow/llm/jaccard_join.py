@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.llm.common import located, map_batches, mixed, split_words, steps, window_starts, word_hashes
+from tallyflow.llm.common import located, map_batches, mixed, packed, split_words, steps, stored, window_starts, word_hashes
 from tallyflow.session import written
 
 #: Words in a shingle; least similarity as a fraction.
@@ -343,8 +343,8 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with all its columns."""
-    placed = located(docs)
-    found = written(components(placed.drop("_file", "_row")), "components")
+    docs = stored(docs)
+    found = written(components(docs), "components")
     first = found.where("_group is not null").groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_file", "_row")).alias("first"))
     dropped = found.join(first, "_group").where(~((F.col("first._file") == F.col("_file")) & (F.col("first._row") == F.col("_row")))).select("_file", "_row")
-    return placed.join(dropped, ["_file", "_row"], "left_anti").select(*docs.columns)
+    return packed(docs).join(dropped, ["_file", "_row"], "left_anti").select("_doc.*")

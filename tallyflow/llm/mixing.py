@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import located, map_batches, mixed, running_start, steps, word_count
+from tallyflow.llm.common import located, map_batches, mixed, packed, running_start, steps, stored, word_count
 from tallyflow.session import written
 
 #: Words in a block, and slots in an output shard.
@@ -244,9 +244,9 @@ def _cut(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.Reco
                 rows.append(row)
                 texts.append(text if first == 0 and end == len(spans) else text[spans[first][0] : spans[end - 1][1]])
                 lengths.append(len(texts[-1]))
-        taken = batch.take(pa.array(rows, pa.int64()))
+        taken = batch.column("_doc").take(pa.array(rows, pa.int64()))
         own = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(lengths, pa.int64())}
-        columns = [own[c].cast(taken.schema.field(c).type) if c in own else taken.column(c) for c in kept]
+        columns = [own[c].cast(taken.field(c).type) if c in own else taken.field(c) for c in kept]
         yield pa.RecordBatch.from_arrays(columns, names=kept)
 
 
@@ -256,8 +256,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A whole pass over a document gives its text unchanged; a run is the text from its first
     to its last word. All columns are kept; ``n_chars``, where there is one, is that of the run.
     """
-    placed = located(docs)
-    sized, pieces, _ = mix(placed, keep=("_file", "_row"))
+    docs = stored(docs)
+    sized, pieces, _ = mix(located(docs.select("doc_id", "text", "source")), keep=("_file", "_row"))
     by_document = pieces.groupBy("source_no", "start").agg(F.sort_array(F.collect_list(F.struct("pass", "from_word", "to_word"))).alias("_pieces"))
     taken = sized.where("size > 0").join(by_document, ["source_no", "start"]).select("_file", "_row", "_pieces")
-    return map_batches(placed.join(taken, ["_file", "_row"]), partial(_cut, kept=docs.columns), docs.schema)
+    return map_batches(packed(docs, "text").join(taken, ["_file", "_row"]), partial(_cut, kept=docs.columns), docs.schema)

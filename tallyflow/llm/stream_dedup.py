@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import SPACE, located
+from tallyflow.llm.common import SPACE, located, packed, stored
 from tallyflow.session import shared_dir, written
 
 #: Arrival files that one micro-batch takes.
@@ -98,6 +98,6 @@ def _named(found: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    placed = located(docs)
-    dropped = decisions(placed.drop("_file", "_row")).where("not kept").select("_file", "_row")
-    return placed.join(dropped, ["_file", "_row"], "left_anti").select(*docs.columns)
+    docs = stored(docs)
+    dropped = decisions(docs).where("not kept").select("_file", "_row")
+    return packed(docs).join(dropped, ["_file", "_row"], "left_anti").select("_doc.*")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.llm.common import map_batches, mixed, owners, split_words, steps, window_starts, word_hashes
+from tallyflow.llm.common import located, map_batches, mixed, owners, split_words, steps, window_starts, word_hashes
 from tallyflow.session import written
 
 #: Words in a window, and in the grams whose smallest hash is a window's minimizer.
@@ -111,9 +111,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = order > earliest[codes]
         # Those that are settled here need not meet the others: a key of their own spreads them.
         value = np.where(later, mixed(value + order.astype(np.uint64)), value)
-        owned = batch.select(["doc_id", "_k"]).take(pa.array(row))
+        owned = batch.select(["doc_id", "_k", "_u"]).take(pa.array(row))
         columns = [*owned.columns, pa.array(inside.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(value.view(np.int64)), pa.array(content.view(np.int64)), pa.array(twice), pa.array(later)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "start", "windows", "value", "content", "twice", "later"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "_u", "start", "windows", "value", "content", "twice", "later"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +137,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.minimum.at(earliest, codes, order)
         later = order > earliest[codes]
         first = np.where(later, mixed(first + order.astype(np.uint64)), first)
-        owned = batch.select(["doc_id", "_k"]).take(pa.array(row))
+        owned = batch.select(["doc_id", "_k", "_u"]).take(pa.array(row))
         columns = [*owned.columns, pa.array(inside.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(later)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "start", "first", "second", "later"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "_u", "start", "first", "second", "later"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -172,9 +172,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, the removed intervals of words, and the text of the kept ones."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_k"))
+    # _k orders rows of one doc_id, _u tells stored rows apart, equal ones too.
+    keyed = located(docs.select("doc_id", "text")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64("_file", "_row").alias("_u"))
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    start = T.StructType([id_field]).add("_k", "long").add("start", "integer")
+    start = T.StructType([id_field]).add("_k", "long").add("_u", "long").add("start", "integer")
     found = map_batches(keyed, _segments, T.StructType(list(start)).add("windows", "integer").add("value", "long").add("content", "long").add("twice", "boolean").add("later", "boolean"))
 
     earlier = [F.col("doc_id").asc_nulls_last(), F.col("_k"), F.col("start")]
@@ -184,17 +185,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     found = found.select("*", F.count("*").over(of_value).alias("_n"), (F.min(shape).over(of_value) != F.max(shape).over(of_value)).alias("_several"), (F.rank().over(of_content) > 1).alias("_again"))
     gone = F.col("later") | F.col("_again")
     found = found.where(((F.col("_n") > 1) | F.col("twice") | F.col("later")) & (gone | F.col("_several") | F.col("twice")))
-    found = written(found.select("doc_id", "_k", "start", "windows", gone.alias("gone")), "segments")
+    found = written(found.select("doc_id", "_k", "_u", "start", "windows", gone.alias("gone")), "segments")
 
     # Both joins below read one exchange of the texts.
-    placed = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_k")
+    placed = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_u")
     span = F.collect_list(F.struct("doc_id", "start", "windows")).alias("_spans")
-    apart = placed.join(found.where("not gone").groupBy("_k").agg(span), "_k")
+    apart = placed.join(found.where("not gone").groupBy("_u").agg(span), "_u")
     windows = map_batches(apart, _windows, T.StructType(list(start)).add("first", "long").add("second", "long").add("later", "boolean"))
     of_window = Window.partitionBy("first", "second").orderBy(*earlier)
     single = windows.withColumn("_again", F.col("later") | (F.rank().over(of_window) > 1)).where("_again")
-    runs = found.where("gone").select("doc_id", "_k", "start", "windows")
-    runs = runs.unionByName(single.select("doc_id", "_k", "start", F.lit(1).alias("windows")))
-    cut = placed.join(runs.groupBy("_k").agg(span), "_k", "left")
+    runs = found.where("gone").select("doc_id", "_u", "start", "windows")
+    runs = runs.unionByName(single.select("doc_id", "_u", "start", F.lit(1).alias("windows")))
+    cut = placed.join(runs.groupBy("_u").agg(span), "_u", "left")
     interval = T.ArrayType(T.StructType().add("from_word", "integer").add("to_word", "integer"))
     return map_batches(cut, _cut, T.StructType([id_field]).add("n_words", "long").add("n_removed", "long").add("intervals", interval).add("kept_text", "string"))

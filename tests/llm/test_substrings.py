@@ -55,6 +55,15 @@ def test_repeated_rows_and_null_ids(spark):
     assert found == [(1, 40, 0, 0), (1, 40, 0, 0), (2, 41, 40, 1), (9, 0, 0, 0), (9, 40, 40, 1)]
 
 
+def test_thousands_of_equal_rows(spark, tmp_path):
+    """Every copy has its own spans only, so the work grows with the number of copies."""
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [{"doc_id": 1, "text": text, "source": "s"}] * 5000 + [{"doc_id": 2, "text": "head " + text, "source": "s"}]
+    folder = store(rows, tmp_path / "sf")
+    found = QUERIES["op5_substring_dedup"](spark, folder).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 400, 0, 5000), (2, 401, 400, 1)]
+
+
 def test_intervals_are_maximal(docs):
     for row in substrings.without_repeats(docs).collect():
         spans = [(i.from_word, i.to_word) for i in row.intervals]
