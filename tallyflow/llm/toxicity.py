@@ -286,9 +286,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, Paramet
         return None, float(toxic > 0)
     by_chance = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(by_chance).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(by_chance).limit(MOST_CLEAN))
-    # At most MOST_TOXIC + MOST_CLEAN rows.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = map_batches(sample, _bags, T.StructType().add("bag", T.ArrayType(T.StringType())).add("toxic", "integer")).limit(2 * (MOST_TOXIC + MOST_CLEAN)).collect()
+    # At most MOST_TOXIC + MOST_CLEAN rows; of several texts of one doc_id the least by its hash.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = map_batches(sample.select("text", "toxic"), _bags, T.StructType().add("bag", T.ArrayType(T.StringType())).add("toxic", "integer")).collect()
     rows.sort(key=lambda r: (r.toxic, r.bag))
     label = np.array([r.toxic for r in rows], np.float32)
     if not 0 < label.sum() < len(label):
