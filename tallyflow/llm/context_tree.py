@@ -11,9 +11,10 @@ deepest known context it is. A context never seen in training ends the mix at it
 with the same counts as its parent predicts the same and is left out.
 
 Texts are scored against the kept nodes and the training counts of words. Both are sent
-to all tasks in blocks of a bounded number of entries, split by the last two bytes of the
-context and by the word's hash; where one block does not hold all, texts are scored block
-by block, and the parts are added up.
+to all tasks in blocks of a bounded number of entries, split by a hash of the last SPLIT
+bytes of the context and by the word's hash; nodes of shorter contexts are in every block.
+Where one block does not hold all, texts are scored block by block, each look taking only
+the grams and words of its block, and the parts are added up.
 
 Defined cases: a null text counts as empty and is just its end mark. A null doc_id
 trains. Repeated rows count and are scored one by one. An empty table gives an empty
@@ -39,16 +40,33 @@ from tallyflow.session import written
 #: Bytes of context at most, and the end mark, which also fills the context before a text.
 DEPTH, END = 5, 10
 #: Entries of nodes, and of words, in a block that is sent to all tasks.
-BLOCK_ENTRIES = 8_000_000
+BLOCK_ENTRIES = 2_000_000
 #: Text bytes counted at once, and counts a task holds before it passes them on.
 STEP, HELD = 2 << 20, 2_000_000
 #: Nodes linked to their children at once.
 LINKED_TOGETHER = 1 << 19
 GRAM, WORD = 0, 1
+#: Last bytes of a context whose hash gives its block, and the shares into which they fall.
+SPLIT, SHARES = 3, 1 << 16
 #: Bits of a node's number below its context, and of the context below its depth.
 NODE_BITS, CONTEXT_BITS = 8, 8 * DEPTH
 
 
+#: Odd multiplier small enough that products of SPLIT bytes stay in 64 bits.
+SPREAD = 40_503_001
+
+
+def share(context: np.ndarray) -> np.ndarray:
+    """Share of a context's last SPLIT bytes, the same as in Spark."""
+    bits = 8 * SPLIT
+    return (((context & ((1 << bits) - 1)) * SPREAD) & ((1 << bits) - 1)) >> (bits - 16)
+
+
+def share_column(context: Column) -> Column:
+    bits = 8 * SPLIT
+    return F.shiftright((context.bitwiseAND((1 << bits) - 1) * SPREAD).bitwiseAND((1 << bits) - 1), bits - 16)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -155,7 +173,7 @@ def weighted_nodes(counted: DataFrame) -> DataFrame:
             level = written(level.select("context", "node", "zeros", "ones", "gap", "mixed0", "mixed1", "left", "new", "p0", "p1"), f"mixed-{depth}")
         key = F.shiftleft(F.lit(depth).cast("long"), CONTEXT_BITS + NODE_BITS).bitwiseOR(F.shiftleft("context", NODE_BITS)).bitwiseOR(F.col("node").cast("long"))
         zero, one = (F.col(f"mixed{b}") + F.col("left") * F.col(f"p{b}") for b in (0, 1))
-        own = level.where("new").select(key.alias("key"), F.col("context").bitwiseAND(65535).alias("tail"), F.lit(depth).alias("depth"), F.when(zero < one, -zero).otherwise(one).cast("float").alias("rarer"))
+        own = level.where("new").select(key.alias("key"), share_column(F.col("context")).alias("share"), F.lit(depth).alias("depth"), F.when(zero < one, -zero).otherwise(one).cast("float").alias("rarer"))
         kept = own if kept is None else kept.unionByName(own)
         above = level.select(
             F.col("context").alias("up"), F.col("node").alias("up_node"), F.col("zeros").alias("up_zeros"), F.col("ones").alias("up_ones"),
@@ -261,15 +279,14 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
     floor = block.train_tokens + block.distinct_tokens + 1
     for batch in steps(batches, most=STEP):
         keys, ends, offsets, words = grams(batch.column("text"))
-        codes, distinct = pd.factorize(keys)
-        value = np.zeros(len(distinct))
-        mine = block.mine((distinct >> 8) & 65535)
-        value[mine] = block.log10_of(distinct[mine])
-        score = np.add.reduceat(value[codes], ends[:-1])
+        own = np.flatnonzero(block.mine(share(keys >> 8)))
+        codes, distinct = pd.factorize(keys[own])
+        summed = np.concatenate(([0.0], np.cumsum(block.log10_of(distinct)[codes])))[np.searchsorted(own, ends)]
+        score = np.diff(summed)
 
         ids, distinct = word_ids(words)
         hashes = word_hashes(distinct).view(np.int64)
-        mine, count = block.mine(hashes & 65535), block.count_of(hashes)
+        mine, count = block.mine(hashes & (SHARES - 1)), block.count_of(hashes)
         base = np.concatenate(([0.0], np.cumsum(np.where(mine, np.log10((count + 1) / floor), 0.0)[ids])))
         known = np.concatenate(([0], np.cumsum((mine & (count > 0))[ids])))
         first = block.number == 0
@@ -292,8 +309,8 @@ class Model:
     largest_count: int
 
     def block(self, number: int) -> Block:
-        nodes = self.nodes.where((F.col("depth") < 2) | (F.col("tail") % self.blocks == number)).select("key", "rarer").orderBy("key").toArrow()
-        words = self.words.where(F.pmod(F.col("key").bitwiseAND(65535), F.lit(self.blocks)) == number)
+        nodes = self.nodes.where((F.col("depth") < SPLIT) | (F.col("share") % self.blocks == number)).select("key", "rarer").orderBy("key").toArrow()
+        words = self.words.where(F.pmod(F.col("key").bitwiseAND(SHARES - 1), F.lit(self.blocks)) == number)
         # 32 bits where they hold every count, and one more of it.
         words = words.select("key", F.col("n").cast("int" if self.largest_count < 2**31 - 1 else "long")).orderBy("key").toArrow()
         pairs = [tuple(t.column(c).to_numpy().copy() for c in ("key", value)) for t, value in ((nodes, "rarer"), (words, "n"))]

@@ -106,6 +106,24 @@ def test_scores(spark, tmp_path, rows, entries, monkeypatch):
     check_scores({r.doc_id: r for r in result}, some)
 
 
+def test_long_repeated_and_unnamed_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(context_tree, "BLOCK_ENTRIES", 3000)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    some = [{"doc_id": k, "text": " ".join(rng.choice(words) for _ in range(n)), "source": "s"} for k, n in enumerate([5, 900, 30, 12, 3000, 7, 60])]
+    some += [{"doc_id": None, "text": "abc " * 5, "source": "s"}] * 2 + [some[3]] * 3
+    found = QUERIES["op3_context_tree"](spark, store(some, tmp_path / "sf")).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r["doc_id"] for r in some)
+    check_scores({r.doc_id: r for r in found}, some)
+    assert len({(r.doc_id, round(r.score, 6)) for r in found}) == 8
+
+
+def test_blocks_split_frequent_byte_pairs():
+    """Shares follow three bytes, so contexts with one pair at their end fall into many."""
+    same_pair = (np.arange(256, dtype=np.int64) << 16) | 0x6520
+    assert len(set(context_tree.share(same_pair).tolist())) > 200
+
+
 def test_scores_without_training_documents(spark):
     none = next(i for i in range(100) if not trains(i))
     docs = spark.createDataFrame([(none, "a")], "doc_id long, text string")
