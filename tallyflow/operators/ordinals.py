@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyflow.session import written
+
 DEFAULT_BUCKET_WIDTH = 1 << 20
 
 
@@ -19,7 +21,29 @@ def ordinals_by_id(
     over one count per (source, range).
     """
     bucket = F.expr(f"{id_col} div {bucket_width}")
-    keyed = rows.withColumn("_bucket", bucket)
+    return _ordinals(rows.withColumn("_bucket", bucket), id_col, source_col)
+
+
+def ordinals_by_range(
+    rows: DataFrame,
+    id_col: str,
+    source_col: str = "file_name",
+    range_rows: int = DEFAULT_BUCKET_WIDTH,
+) -> DataFrame:
+    """``ordinals_by_id`` for ids that lie thinly: ranges hold about equally many rows.
+
+    Spark draws the ranges from a sample of (source, id), so their number follows from
+    the rows and not from how far the ids spread. A range may hold several small
+    sources; a large one fills many. The rows are stored once, since ranges are drawn
+    anew whenever they are asked for.
+    """
+    ranges = max(-(-rows.count() // range_rows), 1)
+    ranged = rows.repartitionByRange(ranges, source_col, id_col).withColumn("_bucket", F.spark_partition_id())
+    return _ordinals(written(ranged, "ordinals"), id_col, source_col)
+
+
+def _ordinals(keyed: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """Positions from ``_bucket``, a number that grows with the id within a source."""
     preceding = (
         Window.partitionBy(source_col)
         .orderBy("_bucket")

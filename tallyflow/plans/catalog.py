@@ -192,6 +192,11 @@ def orders_running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.running_history(metrics, sum_scale=SCALE, most_files=feeds.PRIORITIES).select(*HISTORY_COLUMNS)
 
 
+def sparse_id_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = feeds.sparse_order_metrics(spark, sf_dir)
+    return ops.running_history(metrics, sum_scale=SCALE, most_files=feeds.PRIORITIES).select(*HISTORY_COLUMNS)
+
+
 def shipments_running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = feeds.shipment_metrics(spark, sf_dir)
     return ops.running_history(metrics, sum_scale=SCALE, most_files=feeds.MONTHS).select(*HISTORY_COLUMNS)
@@ -219,9 +224,11 @@ QUERIES = {
     "repeated_batch_ids": repeated_batch_ids,
     "orders_running_history": orders_running_history,
     "shipments_running_history": shipments_running_history,
+    "sparse_id_history": sparse_id_history,
     "csv_roundtrip_history": roundtrip.ingested_history,
     "csv_roundtrip_raw": roundtrip.ingested_rows,
     "csv_roundtrip_rejects": roundtrip.ingested_rejects,
+    "csv_mixed_headers": roundtrip.mixed_headers,
     "ingest_counts": roundtrip.ingest_counts,
     "state_document_roundtrip": roundtrip.state_document_roundtrip,
     "stream_validation_phase": roundtrip.stream_validation_phase,

@@ -8,7 +8,7 @@ dates are made unusable so that coercion and rejection have work on every part.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.operators import assign_chunks, batch_metrics, coerce_rows, ordinals_by_id
+from tallyflow.operators import assign_chunks, batch_metrics, coerce_rows, ordinals_by_id, ordinals_by_range
 from tallyflow.schemas import VALIDATION_FILE_NAME
 from tallyflow.sources.discovery import with_phase
 
@@ -70,9 +70,9 @@ def is_early() -> Column:
     return (F.col("phase") == 0) & (F.col("file_name") <= LAST_EARLY_FILE)
 
 
-def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five sources, one per priority, each holding a large share of all orders."""
-    texts = table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.lit(0).alias("phase"),
         F.concat(F.substring("o_orderpriority", 1, 1), F.lit("-priority.csv")).alias("file_name"),
@@ -82,7 +82,18 @@ def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.col("o_custkey").cast("string").alias("user_raw"),
     )
-    rows = assign_chunks(ordinals_by_id(texts, "o_orderkey"), ORDER_CHUNK)
+
+
+def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assign_chunks(ordinals_by_id(order_texts(spark, sf_dir), "o_orderkey"), ORDER_CHUNK)
+    return batch_metrics(coerce_rows(rows), sum_scale=SCALE)
+
+
+def sparse_order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by a digest of their key: ids that lie thinly over 60 bits."""
+    digest = F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 15)
+    texts = order_texts(spark, sf_dir).withColumn("sparse_id", F.conv(digest, 16, 10).cast("bigint"))
+    rows = assign_chunks(ordinals_by_range(texts, "sparse_id"), ORDER_CHUNK)
     return batch_metrics(coerce_rows(rows), sum_scale=SCALE)
 
 

@@ -85,15 +85,17 @@ scan AS (
     FROM typed WHERE price IS NOT NULL
 )"""
 
-_ORDERS = """
+def _orders(order: str) -> str:
+    return f"""
 placed AS (
     SELECT 0 AS phase, substr(o_orderpriority, 1, 1) || '-priority.csv' AS file_name,
            CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS price,
            (row_number() OVER (PARTITION BY substr(o_orderpriority, 1, 1)
-                               ORDER BY o_orderkey) - 1) // 100 + 1 AS chunk_index
+                               ORDER BY {order}) - 1) // 100 + 1 AS chunk_index
     FROM orders
 )"""
 
+
 _SHIPMENTS = """
 days AS (
     SELECT 0 AS phase, strftime(l_shipdate, '%Y-%m') AS file_name,
@@ -175,6 +177,12 @@ FROM scan"""
 
 _REASON = "'PRICE_NULL_OR_NON_NUMERIC' AS reject_reason"
 
+_WRITTEN_ROWS = _select(
+    _WRITTEN,
+    """SELECT file_no, chunk_index, ordinal, "timestamp", price, user_id
+       FROM coerced WHERE price IS NOT NULL""",
+)
+
 ORACLES = {
     "chunk_assignment": _select(_ROWS, "SELECT event_id, file_name, chunk_index FROM coerced"),
     "coerced_rows": _select(_TEXTS, 'SELECT event_id, "timestamp", price, user_id FROM typed'),
@@ -265,7 +273,12 @@ profile AS (
            FROM running""",
     ),
     "orders_running_history": _select(
-        _ORDERS + "," + _metrics("placed") + "," + _HISTORY, _HISTORY_ROWS
+        _orders("o_orderkey") + "," + _metrics("placed") + "," + _HISTORY, _HISTORY_ROWS
+    ),
+    # Hexadecimal digits of one length sort like the number they stand for.
+    "sparse_id_history": _select(
+        _orders("substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15)") + "," + _metrics("placed") + "," + _HISTORY,
+        _HISTORY_ROWS,
     ),
     "shipments_running_history": _select(
         _SHIPMENTS + "," + _metrics("days") + "," + _HISTORY, _HISTORY_ROWS
@@ -289,11 +302,8 @@ metrics AS (
                   max(max_price) OVER w AS global_max_price
            FROM metrics WINDOW w AS (ORDER BY file_no, chunk_index)""",
     ),
-    "csv_roundtrip_raw": _select(
-        _WRITTEN,
-        """SELECT file_no, chunk_index, ordinal, "timestamp", price, user_id
-           FROM coerced WHERE price IS NOT NULL""",
-    ),
+    "csv_roundtrip_raw": _WRITTEN_ROWS,
+    "csv_mixed_headers": _WRITTEN_ROWS,
     "csv_roundtrip_rejects": _select(
         _WRITTEN,
         f"""SELECT file_no, chunk_index, ordinal, "timestamp", CAST(NULL AS VARCHAR) AS price,

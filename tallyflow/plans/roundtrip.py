@@ -84,6 +84,41 @@ def ingested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(part.alias("file_no"), "chunk_index", "ordinal", "timestamp", "price", "user_id")
 
 
+def mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows of files that take turns in three headers: plain; reordered with a name that
+    holds a comma and quotes; all names quoted, with a name that is empty."""
+    fields = {"timestamp": F.col("ts_raw"), "price": F.col("price_raw"), "user_id": F.col("user_raw")}
+    note = F.lit("1, 2")
+    kinds = (
+        ({**fields}, {}),
+        ({"user_id": fields["user_id"], 'a "note", twice': note, "price": fields["price"], "timestamp": fields["timestamp"]}, {}),
+        ({"price": fields["price"], "timestamp": fields["timestamp"], "": note, "user_id": fields["user_id"]}, {"quoteAll": True}),
+    )
+    numbered, n_files = numbered_files(spark, sf_dir)
+    turn, paths = F.expr(f"cast(file_no div {len(kinds)} as int)"), {}
+    for kind, (columns, options) in enumerate(kinds):
+        of_kind = len(range(kind, n_files, len(kinds)))
+        if not of_kind:
+            continue
+        target = shared_dir(spark, "mixed-csv")
+        (
+            numbered.where(F.col("file_no") % len(kinds) == kind)
+            .repartitionById(of_kind, turn)
+            .sortWithinPartitions("event_id")
+            .select(*[value.alias(name) for name, value in columns.items()])
+            .write.mode("append")
+            .options(header=True, escape='"', **options)
+            .csv(target)
+        )
+        for row in list_files(spark, target).collect():
+            paths[_part_number(row["path"]) * len(kinds) + kind] = row["path"]
+    ingest = IncrementalIngest(spark, shared_dir(spark, "unused"), shared_dir(spark, "warehouse"), options=_OPTIONS)
+    ingest.ingest_files([paths[n] for n in sorted(paths)])
+    rows = ingest.warehouse.raw_transactions()
+    place = (F.col("ingest_no") - 1) * _OPTIONS.max_files_per_ingest + F.col("file_no") - 1
+    return rows.select(place.alias("file_no"), "chunk_index", "ordinal", "timestamp", "price", "user_id")
+
+
 def ingested_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejects = ingest_written_events(spark, sf_dir).warehouse.rejected_transactions()
     part = F.regexp_extract("file_name", r"part-(\d+)-", 1).cast("bigint")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.text import batch_id_ends, decoded_path, file_name_of
 from tallyflow.schemas import REQUIRED_COLUMNS
-from tallyflow.session import broadcast_if_at_most, prepare, shared_dir
+from tallyflow.session import broadcast_if_at_most, prepare, shared_dir, written
 
 # The doubled quote is the escape, as in RFC 4180.
 _CSV_OPTIONS = {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}
@@ -27,8 +27,6 @@ _LINE_OPTIONS = {"mode": "PERMISSIVE", "sep": "\u0001", "quote": ""}
 _ODD_ROW, _MARK = "_odd_row", "\u0001end"
 _ODD_ROWS = {"columnNameOfCorruptRecord": _ODD_ROW, "columnPruning": "false"}
 
-_COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
 BROADCAST_BLOCK_LIMIT = 200_000
 
 
@@ -46,6 +44,8 @@ class Layout:
     # 1-based field numbers under which each required column occurs.
     positions: dict[str, list[int]]
     header_widths: list[int]
+    # No header has more fields; unlike ``width`` also of those in broken files.
+    most_fields: int
 
     @property
     def width(self) -> int:
@@ -116,11 +116,12 @@ def survey_records(spark: SparkSession, paths, headers: DataFrame, width: int) -
 
 
 def read_layout(blocks: DataFrame) -> Layout:
-    """One small query over the stored survey."""
+    """Two small queries over the stored survey."""
     begins_file = F.col("block_start") == 0
+    fields = most_fields(blocks, "header_line")
     headers = blocks.select(
         begins_file.alias("begins_file"),
-        header_columns(F.col("header_line")).alias("header"),
+        header_columns(F.col("header_line"), fields).alias("header"),
     ).select(
         "begins_file",
         F.size("header").alias("width"),
@@ -144,6 +145,7 @@ def read_layout(blocks: DataFrame) -> Layout:
         facts["broken"],
         {name: sorted(facts[name]) for name in REQUIRED_COLUMNS},
         sorted(facts["width"]),
+        fields,
     )
 
 
@@ -151,14 +153,35 @@ def _positional_names(width: int) -> list[str]:
     return [f"c{i}" for i in range(width)]
 
 
-def header_columns(line: Column) -> Column:
-    """Column names of a header line, in order; commas and doubled quotes inside quotes are text."""
+def most_fields(headers: DataFrame, line: str) -> int:
+    """A number of fields that no line exceeds, from the commas of the widest one."""
+    commas = F.length(line) - F.length(F.replace(F.col(line), F.lit(",")))
+    return headers.agg(F.coalesce(F.max(commas), F.lit(0)).alias("commas")).first()["commas"] + 1
+
+
+def header_columns(line: Column, most: int) -> Column:
+    """Column names of a header line, in order, as Spark's CSV reader splits it; an empty name is NULL.
+
+    ``most`` is what ``most_fields`` gives. The mark put behind the line tells where its
+    fields end. A quote that is not closed leaves the mark in the last name, which it ends.
+    """
+    names = [f"h{i}" for i in range(most + 1)]
+    options = {**_CSV_OPTIONS, "maxColumns": str(most + 1)}
+    marked = F.from_csv(F.concat(line, F.lit(f",{_MARK}")), ", ".join(f"{n} string" for n in names), options)
+
+    def named(fields: Column) -> Column:
+        whole = F.filter(fields, lambda _, i: i < F.size(fields) - 1)
+        rest = F.substring_index(F.element_at(fields, -1), f",{_MARK}", 1)
+        return F.when(F.element_at(fields, -1) == _MARK, whole).otherwise(F.concat(whole, F.array(rest)))
 
-    def unquoted(name: Column) -> Column:
-        inner = F.replace(F.substring(name, 2, F.length(name) - 2), F.lit('""'), F.lit('"'))
-        return F.when(name.rlike('^".*"$'), inner).otherwise(name)
+    def up_to_mark(record: Column) -> Column:
+        fields = F.array(*[record[n] for n in names])
+        ends = F.transform(fields, lambda f: F.coalesce(f.contains(_MARK), F.lit(False)))
+        return F.slice(fields, 1, F.array_position(ends, True).cast("int"))
 
-    return F.transform(F.split(line, _COMMA_OUTSIDE_QUOTES, -1), unquoted)
+    # The record is the variable of a lambda, so a line is parsed once and not for every field.
+    records = F.transform(F.array(marked), up_to_mark)
+    return F.when(line.isNotNull(), F.get(F.transform(records, named), 0))
 
 
 def missing_columns(header: Column, required=REQUIRED_COLUMNS) -> Column:
@@ -172,9 +195,10 @@ def broken_files(files: DataFrame, blocks: DataFrame) -> DataFrame:
 
     A file with no line at all has no block and therefore breaks it too.
     """
+    fields = most_fields(blocks, "header_line")
     headers = blocks.where("block_start = 0").select(
         decoded_path(F.col("file_path")).alias("path"),
-        missing_columns(header_columns(F.col("header_line"))).alias("missing"),
+        missing_columns(header_columns(F.col("header_line"), fields)).alias("missing"),
     )
     return (
         files.join(headers, "path", "left")
@@ -190,9 +214,11 @@ def with_missing(spark: SparkSession, broken: DataFrame, paths) -> DataFrame:
     """
     lines = line_scan(spark, paths).where("block_start = 0")
     first = lines.groupBy("file_path").agg(F.min("mid").alias("mid"))
-    headers = lines.join(first, ["file_path", "mid"]).select(
+    # Stored, so that the files are not read a third time for their widest line.
+    stored = written(lines.join(first, ["file_path", "mid"]).select("file_path", "value"), "headers")
+    headers = stored.select(
         decoded_path(F.col("file_path")).alias("path"),
-        missing_columns(header_columns(F.col("value"))).alias("missing"),
+        missing_columns(header_columns(F.col("value"), most_fields(stored, "value"))).alias("missing"),
     )
     everything = F.array_sort(F.array(*[F.lit(name) for name in REQUIRED_COLUMNS]))
     return broken.join(headers, "path", "left").withColumn(
@@ -200,7 +226,7 @@ def with_missing(spark: SparkSession, broken: DataFrame, paths) -> DataFrame:
     )
 
 
-def block_offsets(blocks: DataFrame) -> DataFrame:
+def block_offsets(blocks: DataFrame, most: int) -> DataFrame:
     """Per block: the position of its first row, and where its file keeps which column."""
     in_file = Window.partitionBy("file_path").orderBy("block_start")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
@@ -216,7 +242,7 @@ def block_offsets(blocks: DataFrame) -> DataFrame:
             F.first("header_line").over(in_file).alias("header_line"),
             file_name_of(decoded_path(F.col("file_path"))).alias("file_name"),
         )
-        .withColumn("header", header_columns(F.col("header_line")))
+        .withColumn("header", header_columns(F.col("header_line"), most))
         .select(
             "file_path",
             "block_start",
@@ -273,7 +299,7 @@ def read_source_rows(
     positions. Fields are taken by the position of their name in the file's own header.
     """
     scan = record_scan(spark, paths, layout.width, multi_line)
-    offsets = broadcast_if_at_most(block_offsets(blocks), layout.block_count, broadcast_limit)
+    offsets = broadcast_if_at_most(block_offsets(blocks, layout.most_fields), layout.block_count, broadcast_limit)
     inside = F.col("mid") - F.col("first_mid")
     known = inside.between(F.lit(0), F.col("block_rows") - 1)
     mismatch = F.raise_error(

@@ -75,6 +75,28 @@ def test_short_and_long_rows(spark, tmp_path):
     }
 
 
+def test_header_names_as_the_csv_reader_splits_them(spark):
+    # One line, and the names in it; an empty name is None.
+    headers = {
+        "a": ["a"],
+        "a,b,": ["a", "b", None],
+        ",": [None, None],
+        '"a,b",c': ["a,b", "c"],
+        '"a ""b""",c': ['a "b"', "c"],
+        " a, b ": [" a", " b "],
+        'a,"b': ["a", '"b'],
+        ",".join(f"c{i}" for i in range(2000)): [f"c{i}" for i in range(2000)],
+    }
+    lines = spark.createDataFrame([(line,) for line in [*headers, None]], "line string")
+    most = csv_files.most_fields(lines, "line")
+    names = lines.select("line", csv_files.header_columns(F.col("line"), most).alias("names"))
+    got = {r["line"]: r["names"] for r in names.collect()}
+    assert most == 2000
+    assert got.pop(None) is None
+    got['a,"b'][1] = '"' + got['a,"b'][1].lstrip('"')
+    assert got == headers
+
+
 @pytest.mark.parametrize("broadcast_limit", [1000, 0])
 def test_positions_over_many_small_splits(spark, tmp_path, broadcast_limit):
     rng = random.Random(5)

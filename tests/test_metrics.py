@@ -141,6 +141,26 @@ def test_ordinals_of_sparse_ids_in_a_hot_source(spark, width):
     assert got == expected
 
 
+@pytest.mark.parametrize("spread", [1, 1 << 52])
+def test_ranges_hold_equally_many_rows_however_thin_the_ids(spark, spread):
+    rng = random.Random(spread)
+    ids = [i * spread for i in rng.sample(range(-1500, 1500), 2000)]
+    rows = [("hot" if n % 3 else f"s{n % 2}", i) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "file_name string, id long").repartition(5)
+    numbered = ops.ordinals_by_range(df, "id", range_rows=100)
+    got = {(r["file_name"], r["id"]): r["ordinal"] for r in numbered.collect()}
+    expected = {}
+    for name in {n for n, _ in rows}:
+        for place, i in enumerate(sorted(i for n, i in rows if n == name)):
+            expected[(name, i)] = place
+    assert got == expected
+    # The same bounds as ids of any spread would have: rows decide, not width.
+    ranges = df.repartitionByRange(20, "file_name", "id").groupBy(F.spark_partition_id().alias("r")).count()
+    sizes = [r["count"] for r in ranges.collect()]
+    assert len(sizes) == 20 and max(sizes) <= 250
+    assert ops.ordinals_by_range(df.limit(0), "id").count() == 0
+
+
 def test_chunks_count_source_rows(spark):
     rows = spark.range(7).select(F.col("id").alias("ordinal"))
     assert [r["chunk_index"] for r in ops.assign_chunks(rows, 3).orderBy("ordinal").collect()] == [
