@@ -1,9 +1,10 @@
 from tallyflow.sources.csv_files import ColumnContractError, missing_columns, open_source
-from tallyflow.sources.discovery import discover, list_files, pending, stream_files, with_phase
+from tallyflow.sources.discovery import discover, empty_files, list_files, pending, stream_files, with_phase
 
 __all__ = [
     "ColumnContractError",
     "discover",
+    "empty_files",
     "list_files",
     "missing_columns",
     "open_source",

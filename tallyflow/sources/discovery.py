@@ -14,7 +14,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from tallyflow.functions.text import file_name_of
+from tallyflow.functions.text import decoded_path, file_name_of
 from tallyflow.schemas import SOURCE_PHASE, VALIDATION_FILE_NAME, VALIDATION_PHASE
 
 _BINARY_FILE = StructType([
@@ -33,8 +33,27 @@ def literal_path(path: str) -> str:
 def list_files(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
     """``path, file_name, length, changed`` of the files directly in a directory, or of the given
     files. The content column is pruned, so no file is opened."""
+    return _listed(_found(spark, paths, glob))
+
+
+def empty_files(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
+    """``path, file_name`` of files without a byte: those of the listing that its scan passes over.
+
+    All names listed go through the driver.
+    """
+    found = _found(spark, paths, glob)
+    named = [(path,) for path in found.inputFiles()]
+    every = spark.createDataFrame(named, "path string").select(decoded_path(F.col("path")).alias("path"))
+    # The two sides write the slashes behind the scheme differently.
+    same = F.regexp_replace("path", "^([a-zA-Z0-9+.-]+):/+", "$1:/")
+    scanned = found.select(same.alias("_same"))
+    passed_over = every.withColumn("_same", same).join(scanned, "_same", "left_anti")
+    return passed_over.select("path", file_name_of(F.col("path")).alias("file_name"))
+
+
+def _found(spark: SparkSession, paths, glob: str) -> DataFrame:
     try:
-        found = (
+        return (
             spark.read.format("binaryFile")
             .schema(_BINARY_FILE)
             .option("pathGlobFilter", glob)
@@ -44,7 +63,6 @@ def list_files(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         raise FileNotFoundError(error.getMessageParameters().get("path")) from error
-    return _listed(found)
 
 
 def _listed(found: DataFrame) -> DataFrame:

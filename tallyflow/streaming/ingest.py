@@ -30,6 +30,7 @@ from tallyflow.sources import csv_files
 from tallyflow.sources.csv_files import ColumnContractError, Layout
 from tallyflow.sources.discovery import (
     discover,
+    empty_files,
     list_files,
     literal_path,
     stream_files,
@@ -53,6 +54,8 @@ class IngestOptions:
     multi_line: bool = False
     sum_scale: int | None = None
     quarantine_bad_files: bool = False
+    # A file without a byte waits for content, or is an error of ``run``.
+    refuse_empty_files: bool = False
     validation_name: str = VALIDATION_FILE_NAME
     segment_chunks: int = DEFAULT_SEGMENT_CHUNKS
     # One ingest takes at most this much; the rest follows in further ingests.
@@ -107,6 +110,8 @@ class IncrementalIngest:
     def run(self) -> list[IngestReport]:
         """Take everything that has arrived and stop: source files, then the reserved file."""
         discover(self.spark, self.source_dir, validation_name=self.options.validation_name)
+        if self.options.refuse_empty_files:
+            self._refuse_empty()
         reports = self._drain("source", "*.csv", self._source_files)
         reports += self._drain(
             "validation", literal_path(self.options.validation_name), self._validation_files
@@ -147,6 +152,16 @@ class IncrementalIngest:
         trigger = {"processingTime": processing_time}
         return self._arrivals("source", "*.csv", self._ingest_pending, trigger)
 
+    def empty_files(self) -> DataFrame:
+        """``path, file_name`` of files that wait for content: without a byte, and not done."""
+        return self.warehouse.pending(empty_files(self.spark, literal_path(self.source_dir)))
+
+    def _refuse_empty(self) -> None:
+        empty = self.empty_files()
+        shown = [row["file_name"] for row in empty.orderBy("path").limit(_NAMED_IN_ERROR).collect()]
+        if shown:
+            raise ColumnContractError(f"no columns to read in {empty.count()} file(s): {', '.join(shown)}")
+
     # Streaming
 
     def _arrivals(self, phase: str, glob: str, take, trigger: dict) -> StreamingQuery:

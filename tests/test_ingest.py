@@ -56,6 +56,30 @@ def totals(ingest):
     ]
 
 
+def test_files_without_a_byte_are_listed_or_refused(spark, source, target):
+    write(source, "a.csv", [1, 2])
+    for name in ("empty.csv", "sp ace%25.csv", "validation.csv"):
+        (source / name).write_text("")
+    (source / "empty.txt").write_text("")
+    strict = IncrementalIngest(spark, str(source), target, options=IngestOptions(refuse_empty_files=True))
+    names = ["empty.csv", "sp ace%25.csv", "validation.csv"]
+    assert sorted(r["file_name"] for r in strict.empty_files().collect()) == names
+    with pytest.raises(ColumnContractError, match=r"in 3 file\(s\): empty.csv, sp ace%25.csv, validation.csv"):
+        strict.run()
+    assert state(strict)[0] == 0
+    # By default they wait; once they have content, or are done, they are none of these.
+    lenient = IncrementalIngest(spark, str(source), target)
+    lenient.run()
+    assert state(lenient)[0] == 2
+    for name in names:
+        write(source, name, [3])
+    assert lenient.empty_files().isEmpty()
+    strict.run()
+    assert state(strict) == (5, 12.0, 1.0, 3.0)
+    (source / "a.csv").write_text("")
+    assert strict.empty_files().isEmpty()
+
+
 def test_rows_history_and_rejects_of_one_file(spark, source, target):
     path = write(source, "transactions.csv", ["10", "", "30", "50"])
     ingest = IncrementalIngest(spark, str(source), target, chunk_size=2)
