@@ -1,10 +1,12 @@
 """Running totals after every batch, starting from a saved state."""
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions.text import batch_id
-from tallyflow.operators.metrics import addend
+from tallyflow.operators.metrics import carried
 from tallyflow.session import written
 
 DEFAULT_SEGMENT_CHUNKS = 1 << 16
@@ -32,6 +34,8 @@ def running_history(
     One task holds at most about ``prefix_rows`` files. Where ``most_files`` says that
     there are no more, all is lazy; else their totals are stored and counted, and more
     are cut into ranges, whose totals are a level of their own.
+
+    With ``sum_scale`` the rows have ``accumulated_exact`` as well, the total as a decimal.
     """
     keys = [*file_order, "segment"]
     # Stating here what the join below implies keeps both uses of ``batches`` the same
@@ -42,7 +46,7 @@ def running_history(
     batches = metrics.where(present).withColumn(
         "segment", F.expr(f"coalesce((chunk_index - 1) div {segment_chunks}, 0)")
     )
-    price_sum = addend(F.col("price_sum"), sum_scale, 38)
+    price_sum = carried(metrics, "price_sum", sum_scale)
 
     totals = batches.groupBy(*keys).agg(
         F.sum("row_count").alias("rows"),
@@ -57,17 +61,17 @@ def running_history(
         saved = state.select(
             *[F.lit(None).cast(totals.schema[k].dataType).alias(k) for k in file_order],
             F.col("global_count").alias("rows"),
-            addend(F.col("global_sum"), sum_scale, 38).alias("price_sum"),
+            carried(state, "global_sum", sum_scale).alias("price_sum"),
             F.col("global_min").alias("low"),
             F.col("global_max").alias("high"),
             F.lit(0).alias("origin"),
         )
         files = files.unionByName(saved)
     of_files = prefix(files, ("origin", *file_order), most_files, prefix_rows).where("origin = 1")
-    carried = segments.join(of_files.select(*file_order, *[f"{c}_before" for c in _FOLDS]), list(file_order)).select(
+    brought = segments.join(of_files.select(*file_order, *[f"{c}_before" for c in _FOLDS]), list(file_order)).select(
         *keys,
         _plus(F.col("rows_before"), F.col("rows_in_file")).alias("rows_before"),
-        _plus(F.col("price_sum_before"), F.col("price_sum_in_file")).alias("sum_before"),
+        _plus(F.col("price_sum_before"), F.col("price_sum_in_file"), sum_scale).alias("sum_before"),
         F.least("low_before", "low_in_file").alias("low_before"),
         F.greatest("high_before", "high_in_file").alias("high_before"),
     )
@@ -78,9 +82,10 @@ def running_history(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     rows = _plus(F.sum("row_count").over(so_far), F.col("rows_before"))
-    amount = _plus(F.sum(price_sum).over(so_far), F.col("sum_before")).cast("double")
+    amount = _plus(F.sum(price_sum).over(so_far), F.col("sum_before"), sum_scale)
+    exact = [] if sum_scale is None else [amount.alias("accumulated_exact")]
     return (
-        batches.join(carried, keys)
+        batches.join(brought, keys)
         .select(
             *file_order,
             *[c for c in ("file_name",) if c not in file_order],
@@ -89,7 +94,8 @@ def running_history(
             F.col("row_count").alias("batch_rows"),
             F.col("price_sum").alias("batch_sum"),
             rows.alias("total_accumulated_rows"),
-            amount.alias("accumulated_sum"),
+            amount.cast("double").alias("accumulated_sum"),
+            *exact,
             F.least(F.min("min_price").over(so_far), "low_before").alias("global_min_price"),
             F.greatest(F.max("max_price").over(so_far), "high_before").alias("global_max_price"),
         )
@@ -117,10 +123,11 @@ def prefix(totals: DataFrame, order: tuple[str, ...], most: int | None, limit: i
     ranges, name = -(-most // limit), f"_range{level}"
     ranged = written(totals.repartitionByRange(ranges, *order).withColumn(name, F.spark_partition_id()), "prefix")
     of_ranges = ranged.groupBy(name).agg(*[f(c).alias(c) for c, f in _FOLDS.items()])
-    carried = prefix(of_ranges, (name,), ranges, limit, level + 1).select(name, *[F.col(f"{c}_before").alias(f"{c}_ranges") for c in _FOLDS])
+    brought = prefix(of_ranges, (name,), ranges, limit, level + 1).select(name, *[F.col(f"{c}_before").alias(f"{c}_ranges") for c in _FOLDS])
     inside = Window.partitionBy(name).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    both = ranged.select("*", *_before(inside, "_inside")).join(carried, name)
-    joint = {"rows": _plus, "price_sum": _plus, "low": F.least, "high": F.greatest}
+    both = ranged.select("*", *_before(inside, "_inside")).join(brought, name)
+    scale = getattr(totals.schema["price_sum"].dataType, "scale", None)
+    joint = {"rows": _plus, "price_sum": partial(_plus, scale=scale), "low": F.least, "high": F.greatest}
     return both.select(*totals.columns, *[join(F.col(f"{c}_inside"), F.col(f"{c}_ranges")).alias(f"{c}_before") for c, join in joint.items()])
 
 
@@ -131,6 +138,10 @@ def _before(window, suffix: str) -> list[Column]:
     return [f(c).over(window).alias(c + suffix) for c, f in _FOLDS.items()]
 
 
-def _plus(current: Column, before: Column) -> Column:
-    """Sum of two, of which a missing one counts as nothing."""
-    return F.coalesce(current, F.lit(0)) + F.coalesce(before, F.lit(0))
+def _plus(current: Column, before: Column, scale: int | None = None) -> Column:
+    """Sum of two, of which a missing one counts as nothing; ``scale`` says that they are decimals."""
+    current, before = F.coalesce(current, F.lit(0)), F.coalesce(before, F.lit(0))
+    if scale is None:
+        return current + before
+    # With 38 digits on both sides Spark would give up a place of many for the carry.
+    return current.cast(f"decimal(37,{scale})") + before.cast(f"decimal(37,{scale})")

@@ -1,12 +1,16 @@
 """Every query of the library over the given tables: name to ``(spark, sf_dir) -> DataFrame``."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow import operators as ops
 from tallyflow.functions import batch_id, batch_summary_line, file_stem, scan_summary_line
+from tallyflow.operators.metrics import EXACT_OF
 from tallyflow.plans import feeds, roundtrip
 from tallyflow.plans.feeds import SCALE
+from tallyflow.session import written
 from tallyflow.sources.csv_files import missing_columns
 from tallyflow.sources.discovery import pending
 
@@ -63,7 +67,7 @@ def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.event_metrics(spark, sf_dir).drop("phase")
+    return feeds.event_metrics(spark, sf_dir).drop("phase", "price_exact")
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +92,7 @@ def final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = per_file.agg(
         F.concat_ws(",", F.array_sort(F.collect_set("file_name"))).alias("processed_files")
     )
-    stacked = ops.state_of(per_file, SCALE).unionByName(files, allowMissingColumns=True)
+    stacked = ops.state_of(per_file, SCALE).drop("global_exact").unionByName(files, allowMissingColumns=True)
     return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
 
 
@@ -100,6 +104,31 @@ def merged_state_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.accumulated(ops.merge_states(first, second, sum_scale=SCALE))
 
 
+def exact_state_any_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State after one, two and three runs: merged from theirs, and as the history of the last one ends."""
+    metrics = written(feeds.large_order_metrics(spark, sf_dir), "metrics")
+    found = []
+    for runs in (1, 2, 3):
+        run = F.pmod(F.crc32(F.col("file_name")), F.lit(runs))
+        states = [ops.state_of(metrics.where(run == n), SCALE) for n in range(runs)]
+        merged = ops.merge_states(*states, sum_scale=SCALE)
+        before = ops.merge_states(*states[:-1], sum_scale=SCALE) if runs > 1 else None
+        history = ops.running_history(metrics.where(run == runs - 1), before, sum_scale=SCALE, most_files=feeds.MONTHS)
+        last = history.agg(F.max_by(F.struct("*"), "total_accumulated_rows").alias("h")).select("h.*")
+        for way, state, count, total in (
+            ("merged", merged, "global_count", "global_sum"),
+            ("history", last, "total_accumulated_rows", "accumulated_sum"),
+        ):
+            found.append(state.select(
+                F.lit(runs).cast("bigint").alias("runs"),
+                F.lit(way).alias("way"),
+                F.col(count).alias("total_rows"),
+                F.col(EXACT_OF[total]).cast("string").alias("exact_sum"),
+                F.col(total).alias("shown_sum"),
+            ))
+    return reduce(DataFrame.unionByName, found)
+
+
 def pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = feeds.event_texts(spark, sf_dir).select("phase", "file_name").distinct()
     return pending(files, files.where(feeds.is_early())).orderBy("phase", "file_name").select(
@@ -213,6 +242,7 @@ QUERIES = {
     "history_from_state": history_from_state,
     "final_state": final_state,
     "merged_state_two_runs": merged_state_two_runs,
+    "exact_state_any_split": exact_state_any_split,
     "pending_files": pending_files,
     "missing_columns": missing_columns_per_file,
     "full_scan_stats": full_scan_stats,

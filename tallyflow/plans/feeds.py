@@ -20,6 +20,8 @@ LAST_EARLY_FILE = "zday-16.csv"
 DAYS, PRIORITIES, MONTHS = 32, 1 << 16, 1 << 16
 # Prices have two decimals, so sums of them can be exact.
 SCALE = 2
+# Factor that brings prices close to the digits of a double, and their sums beyond.
+LARGE = 1_000_003
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +99,19 @@ def sparse_order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_metrics(coerce_rows(rows), sum_scale=SCALE)
 
 
+def large_order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source per month of ordering and one batch per day, with prices so large that
+    their sum has more digits than a double holds."""
+    ordered = F.col("o_orderdate")
+    days = table(spark, sf_dir, "orders").select(
+        F.lit(0).alias("phase"),
+        F.concat_ws("-", F.year(ordered), F.lpad(F.month(ordered).cast("string"), 2, "0")).alias("file_name"),
+        F.day(ordered).cast("bigint").alias("chunk_index"),
+        (F.col("o_totalprice").cast("decimal(18,2)") * LARGE).cast("double").alias("price"),
+    )
+    return batch_metrics(days, sum_scale=SCALE)
+
+
 def shipment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source per month and one batch per day of shipping."""
     shipped = F.col("l_shipdate")

@@ -1,5 +1,6 @@
 """The same queries as plain SQL for an independent engine."""
 
+from tallyflow.plans.feeds import LARGE
 from tallyflow.plans.roundtrip import ROWS_PER_FILE
 
 _TEXTS = """
@@ -224,6 +225,13 @@ FROM typed""",
                   min_price AS global_min_price, max_price AS global_max_price
            FROM scan""",
     ),
+    "exact_state_any_split": f"""
+        WITH totals AS (
+            SELECT count(*) AS total_rows, sum(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * {LARGE} AS DECIMAL(28,2))) AS exact
+            FROM orders
+        )
+        SELECT runs, way, total_rows, CAST(exact AS VARCHAR) AS exact_sum, CAST(exact AS DOUBLE) AS shown_sum
+        FROM totals, (SELECT unnest([1, 2, 3]::BIGINT[]) AS runs), (SELECT unnest(['merged', 'history']) AS way)""",
     "pending_files": _select(
         _TEXTS, f"SELECT DISTINCT file_name FROM texts WHERE NOT {_EARLY}"
     ),

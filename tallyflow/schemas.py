@@ -27,6 +27,9 @@ def _struct(*fields):
     return StructType([StructField(name, kind, True) for name, kind in fields])
 
 
+# Sums as decimals of any scale are stored as text; NULL where sums are doubles.
+EXACT_TOTAL, EXACT_STATE = ("accumulated_exact", StringType()), ("global_exact", StringType())
+
 # Place of an ingest among those of its warehouse, and of a file in its ingest, both from 1.
 LOAD_ORDER = (("ingest_no", LongType()), ("file_no", LongType()))
 
@@ -87,6 +90,7 @@ STATISTICS_HISTORY = _struct(
     ("batch_sum", DoubleType()),
     ("chunk_index", LongType()),
     *LOAD_ORDER,
+    EXACT_TOTAL,
     ("ingest_key", StringType()),
 )
 
@@ -101,6 +105,7 @@ COMMITS = _struct(
     ("version", LongType()),
     ("ingest_key", StringType()),
     *[(f.name, f.dataType) for f in STATE],
+    EXACT_STATE,
     ("files", ArrayType(StringType())),
 )
 
@@ -108,6 +113,7 @@ COMMIT_KEYS = _struct(
     ("version", LongType()),
     ("ingest_key", StringType()),
     *[(f.name, f.dataType) for f in STATE],
+    EXACT_STATE,
 )
 
 DONE_NAMES = _struct(("file_name", StringType()), ("bucket", IntegerType()))

@@ -9,6 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from tallyflow.functions.coerce import DEFAULT_TIMESTAMP_FORMATS
 from tallyflow.functions.text import numbered_batch
@@ -18,6 +19,7 @@ from tallyflow.operators.ordinals import assign_chunks
 from tallyflow.operators.quality import coerce_rows
 from tallyflow.operators.reports import full_scan_stats, reconciliation
 from tallyflow.schemas import (
+    EXACT_STATE,
     FILE_LISTING,
     QUARANTINED_FILES,
     STATE,
@@ -131,6 +133,8 @@ class IncrementalIngest:
         start = None
         if initial_state is not None:
             start = initial_state.select(*STATE.names).first().asDict()
+            if "global_exact" in initial_state.columns:
+                start["global_exact"] = initial_state.select(F.col("global_exact").cast("string")).first()[0]
         # As many as were given, done ones too: each path must be found.
         listing = list_files(self.spark, map(literal_path, paths), glob="*")
         ordered = _in_given_order(self._collect(listing), paths)
@@ -264,7 +268,9 @@ class IncrementalIngest:
         if len(intact) < len(files):
             return self._ingest(intact, start) if intact else None
 
-        previous = replace(self.warehouse.latest_commit(), **(start or {}))
+        previous = self.warehouse.latest_commit()
+        if start:
+            previous = replace(previous, **{"global_exact": None, **start})
         clock = F.lit(datetime.now(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
         # At most max_files_per_ingest rows.
         ranks = F.broadcast(self.spark.createDataFrame([(f.file_name, i) for i, f in enumerate(files, 1)], "file_name string, file_no long"))
@@ -374,8 +380,8 @@ class IncrementalIngest:
         options = self.options
         written = self.warehouse.uncommitted_raw(key)
         metrics = batch_metrics(written, ("file_name", "chunk_index"), options.sum_scale)
-        saved = tuple(getattr(previous, name) for name in STATE.names)
-        state = self.spark.createDataFrame([saved], STATE)
+        kinds = StructType([*STATE, StructField(*EXACT_STATE)])
+        state = self.spark.createDataFrame([tuple(getattr(previous, name) for name in kinds.names)], kinds)
         history = running_history(
             metrics.join(ranks, "file_name"),
             state,
@@ -384,6 +390,8 @@ class IncrementalIngest:
             sum_scale=options.sum_scale,
             most_files=options.max_files_per_ingest,
         ).withColumns({**placed, "processed_at": clock})
+        exact = F.lit(None) if options.sum_scale is None else F.col("accumulated_exact")
+        history = history.withColumn("accumulated_exact", exact.cast("string"))
         self.warehouse.replace_partitions(
             history.select(*STATISTICS_HISTORY.names), "history", "ingest_key"
         )
@@ -404,6 +412,7 @@ class IncrementalIngest:
             last["accumulated_sum"],
             last["global_min_price"],
             last["global_max_price"],
+            last["accumulated_exact"],
         )
 
 

@@ -33,6 +33,8 @@ class Commit:
     global_sum: float = 0.0
     global_min: float | None = None
     global_max: float | None = None
+    #: The sum as decimal text, if sums are decimals.
+    global_exact: str | None = None
 
 
 #: Commits of an epoch, folders over which the names of a snapshot are spread, snapshots kept.
@@ -179,19 +181,23 @@ class Warehouse:
             buckets = [row["bucket"] for row in files.select(name_bucket().alias("bucket")).distinct().collect()]
         return pending(files, self.processed_files(buckets))
 
-    def state(self) -> DataFrame:
-        """The newest state as one row; the zero state before the first commit."""
+    def state(self, exact: bool = False) -> DataFrame:
+        """The newest state as one row; the zero state before the first commit.
+
+        ``exact`` adds ``global_exact``, the sum as decimal text, NULL if sums are doubles.
+        """
         newest = self.commits().orderBy(F.desc("version")).limit(1)
         return newest.groupBy().agg(
             F.coalesce(F.max("global_count"), F.lit(0)).alias("global_count"),
             F.coalesce(F.max("global_sum"), F.lit(0.0)).alias("global_sum"),
             F.max("global_min").alias("global_min"),
             F.max("global_max").alias("global_max"),
+            *([F.max("global_exact").alias("global_exact")] if exact else []),
         )
 
     def latest_commit(self) -> Commit:
         newest, tail = self._log()
-        names = ["version", *schemas.STATE.names]
+        names = [c for c in schemas.COMMIT_KEYS.names if c != "ingest_key"]
         row = tail.orderBy(F.desc("version")).select(*names).limit(1).first()
         if row is None and newest is not None:
             row = self._snapshot(newest, "keys", schemas.COMMIT_KEYS).orderBy(F.desc("version")).select(*names).limit(1).first()
@@ -216,6 +222,7 @@ class Warehouse:
             commit.global_sum,
             commit.global_min,
             commit.global_max,
+            commit.global_exact,
             files,
         )
         self._append(self.spark.createDataFrame([row], schemas.COMMITS), commit.version)
@@ -246,14 +253,18 @@ class Warehouse:
     # State documents
 
     def state_document(self) -> DataFrame:
-        """State as one JSON text: keys and file names sorted, empty bounds as infinities."""
-        state = self.state()
+        """State as one JSON text: keys and file names sorted, empty bounds as infinities.
+
+        ``global_exact`` is there only if sums are decimals.
+        """
+        state = self.state(exact=True)
         files = self.processed_files().agg(
             F.array_sort(F.collect_set("file_name")).alias("processed_files")
         )
         # Both sides are one row; stacking and folding them needs no join.
         both = state.unionByName(files, allowMissingColumns=True).agg(
             F.max("global_count").alias("global_count"),
+            F.max("global_exact").alias("global_exact"),
             F.coalesce(F.max("global_max"), F.lit(float("-inf"))).alias("global_max"),
             F.coalesce(F.max("global_min"), F.lit(float("inf"))).alias("global_min"),
             F.max("global_sum").alias("global_sum"),
@@ -267,14 +278,15 @@ class Warehouse:
     def import_state(self, path: str) -> None:
         """Starts an empty warehouse from a state document written elsewhere.
 
-        Missing keys take the values of an empty state.
+        Missing keys take the values of an empty state. An exact sum counts only while the
+        double beside it is the same figure, as it is not if another tool went on from there.
         """
         if not self.commits().isEmpty():
             raise ValueError("a state can only be imported into an empty warehouse")
         text = self.spark.read.text(path, wholetext=True)
         # A schema instead of a walk through the document: absent keys are NULL, and names
         # given as numbers are read as text.
-        fields = [*schemas.STATE, StructField("processed_files", ArrayType(StringType())), StructField("unfit", StringType())]
+        fields = [*schemas.STATE, StructField(*schemas.EXACT_STATE), StructField("processed_files", ArrayType(StringType())), StructField("unfit", StringType())]
         parsed = F.from_json("value", StructType(fields), {"columnNameOfCorruptRecord": "unfit"})
         document = text.select(parsed.alias("d"))
         if not document.where("d IS NULL OR d.unfit IS NOT NULL").isEmpty():
@@ -288,6 +300,7 @@ class Warehouse:
             F.coalesce("global_sum", F.lit(0.0)).alias("global_sum"),
             F.when(filled, F.col("global_min")).alias("global_min"),
             F.when(filled, F.col("global_max")).alias("global_max"),
+            F.when(F.col("global_exact").try_cast("double") == F.col("global_sum"), F.col("global_exact")).alias("global_exact"),
             F.array_distinct(F.coalesce("processed_files", F.array().cast("array<string>"))).alias("files"),
         )
         self._append(row, 1)

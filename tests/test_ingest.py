@@ -4,6 +4,7 @@ import random
 import re
 import shutil
 import time
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,6 +289,47 @@ def test_state_documents(spark, source, target, tmp_path):
     assert (state(successor), done(successor)) == ((4, 36.0, 1.0, 20.0), ["a.csv", "b.csv", "c.csv"])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_exact_state_however_files_are_split_into_runs(spark, source, target, tmp_path, seed):
+    """Each price is a double, their sum is not; every digit outlives commits, snapshots and documents."""
+    rng = random.Random(seed)
+    waiting = [(f"f{i}.csv", [f"{rng.randint(10**12, 10**13)}.{rng.randint(10, 99)}" for _ in range(40)]) for i in range(6)]
+    everything = sum(Decimal(p) for _, prices in waiting for p in prices)
+    assert Decimal(float(everything)) != everything
+    rng.shuffle(waiting)
+    options = IngestOptions(chunk_size=7, sum_scale=2)
+    ingest = IncrementalIngest(spark, str(source), target, options=options)
+    ingest.warehouse.snapshot_every = 2
+    while waiting:
+        for _ in range(rng.randint(1, 2)):
+            if waiting:
+                write(source, *waiting.pop())
+        ingest.run()
+        if len(waiting) == 3:
+            # Goes on in another warehouse, from the document of the first.
+            ingest.warehouse.export_state(str(tmp_path / "state"))
+            ingest = IncrementalIngest(spark, str(source), target + "2", options=options)
+            ingest.warehouse.import_state(str(tmp_path / "state"))
+    row = ingest.warehouse.state(exact=True).first()
+    assert (row.global_count, row.global_exact, row.global_sum) == (240, str(everything), float(everything))
+
+
+def test_an_exact_sum_that_belongs_to_another_state_is_left_out(spark, source, target, tmp_path):
+    path = tmp_path / "state.json"
+    path.write_text('{"global_count": 2, "global_sum": 9.5, "global_exact": "9.25"}')
+    warehouse = Warehouse(spark, target).initialize()
+    warehouse.import_state(str(path))
+    assert tuple(warehouse.state(exact=True).first())[-1] is None
+    # The double counts then, and given totals displace the exact sum as well.
+    write(source, "a.csv", ["0.25"])
+    write(source, "b.csv", ["0.5"])
+    ingest = IncrementalIngest(spark, str(source), target, options=IngestOptions(sum_scale=2))
+    ingest.ingest_files([str(source / "a.csv")])
+    assert ingest.warehouse.latest_commit().global_exact == "9.75"
+    ingest.ingest_files([str(source / "b.csv")], spark.createDataFrame([(1, 1.0, 1.0, 1.0)], STATE))
+    assert ingest.warehouse.latest_commit().global_exact == "1.50"
+
+
 @pytest.mark.parametrize(
     "document, expected",
     [

@@ -1,5 +1,7 @@
 import math
+import itertools
 import random
+from decimal import Context, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +196,44 @@ def test_large_prices_are_added_or_refused(spark, ansi):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
+#: More digits than Python's decimals have by default.
+EXACT = Context(prec=60)
+
+
+@pytest.mark.parametrize("scale", [2, 9])
+@pytest.mark.parametrize("prefix_rows", [2, 1 << 16])
+def test_exact_totals_beyond_the_digits_of_a_double(spark, scale, prefix_rows):
+    """Batches, segments, files, ranges of files and the saved state lose no digit."""
+    rng = random.Random(scale)
+    prices = [Decimal(rng.randint(-(10**14), 10**15)).scaleb(-scale) for _ in range(200)]
+    rows = [(0, f"f{i % 11:02d}.csv", i // 11 // 3 + 1, float(p)) for i, p in enumerate(prices)]
+    metrics = ops.batch_metrics(spark.createDataFrame(rows, "phase int, file_name string, chunk_index long, price double"), sum_scale=scale)
+    start = Decimal("123456789012345678901234567.5")
+    saved = spark.createDataFrame([(7, float(start), None, None, str(start))], STATE + ", global_exact string")
+    history = ops.running_history(metrics, saved, segment_chunks=2, sum_scale=scale, prefix_rows=prefix_rows)
+    found = {(r.file_name, r.chunk_index): (r.total_accumulated_rows, r.accumulated_exact, r.accumulated_sum) for r in history.collect()}
+    by_batch = {}
+    for (_, name, chunk, _), price in zip(rows, prices, strict=True):
+        by_batch.setdefault((name, chunk), []).append(price)
+    count, total, expected = 7, start, {}
+    for key in sorted(by_batch):
+        count, total = count + len(by_batch[key]), EXACT.add(total, sum(by_batch[key]))
+        expected[key] = (count, total, float(total))
+    assert found == expected
+
+
+def test_states_merge_exactly_in_any_order(spark):
+    sums = ["90071992547409930.01", "0.02", "-90071992547409930.00"]
+    parts = [spark.createDataFrame([(1, float(s), float(s), float(s), s)], STATE + ", global_exact string") for s in sums]
+    for order in itertools.permutations(parts):
+        row = ops.merge_states(*order, sum_scale=2).first()
+        assert (row.global_count, str(row.global_exact), row.global_sum) == (3, "0.03", 0.03)
+    # A state without an exact figure is taken by its double; without a scale all are.
+    plain = state(spark, 1, 0.5, 0.5, 0.5)
+    assert str(ops.merge_states(parts[1], plain, sum_scale=2).first().global_exact) == "0.52"
+    assert "global_exact" not in ops.merge_states(parts[1], plain).columns
+
+
 # A recorded history of six monthly files in batches of ten source rows: file,
 # batch, rows, sum, total rows, total sum, mean with two places, least and greatest so far.
 RECORDED = [
