@@ -1,11 +1,14 @@
 """Queries whose rows follow from each document, or plain grouping, against plain Python."""
 
 import hashlib
+import os
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -169,6 +172,39 @@ def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     assert stream_dedup.keep_documents(twice).count() == 3
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_arrivals_meet_the_state_of_earlier_calls(spark, rows, tmp_path, monkeypatch, weak):
+    from pyspark.sql import functions as F
+
+    digest = (lambda text: F.crc32(F.encode(text, "UTF-8")) % 5) if weak else stream_dedup.sha256
+    whole = f"{store(rows, tmp_path / 'sf', parts=3)}/documents.parquet"
+    folder, kept = tmp_path / "growing", str(tmp_path / "store")
+    folder.mkdir()
+
+    def arrive():
+        return stream_dedup.arrived(spark.read.parquet(str(folder)), kept, digest)
+
+    pq.write_table(pq.read_table(f"{whole}/part-0.parquet").slice(0, 0), folder / "none.parquet")
+    assert arrive().count() == 0
+    for k in range(3):
+        os.link(f"{whole}/part-{k}.parquet", folder / f"part-{k}.parquet")
+        if k == 1:
+            # Broken off while it wrote, then after it: neither loses nor repeats a row.
+            (tmp_path / "store/arrivals/broken").mkdir()
+            shutil.copy(next((tmp_path / "store/arrivals").glob("*/*.parquet")), tmp_path / "store/arrivals/broken")
+            with monkeypatch.context() as patch:
+                patch.setattr(stream_dedup, "keyed_state", lambda *_: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    arrive()
+        check_dedup(by_id(arrive()), [r for part in range(k + 1) for r in rows[part::3]])
+    batches = sorted(os.listdir(tmp_path / "store/arrivals"))
+    assert len(batches) == 3
+    check_dedup(by_id(arrive()), rows)
+    assert sorted(os.listdir(tmp_path / "store/arrivals")) == batches
+    with pytest.raises(ValueError, match="read from files"):
+        stream_dedup.arrived(spark.createDataFrame([(1, "a")], "doc_id long, text string"), kept)
+
+
 def test_sharding(spark, sf_dir, rows):
     found = by_id(QUERIES["op2_sharding"](spark, sf_dir))
     places, totals = defaultdict(list), Counter({s: 0 for s in range(24)})
