@@ -1,6 +1,9 @@
 """What several operators share: reading documents, words of Arrow text batches, numbering."""
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,10 @@ from tallyflow.session import ship_package, written
 SPACE = r"[\x20\x09-\x0D]+"
 #: Text bytes that one step of a Python task handles at once; bounds its memory.
 STEP_BYTES = 4 << 20
+#: Bytes up to which texts are hashed as arrays.
+SHORT_TEXT = 64
+#: An odd number with as many ones as zeros.
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +33,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(partial(_given_back, function=function), schema)
+
+
+def _given_back(batches: Iterator[pa.RecordBatch], function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What a task freed goes back to the system when it ends; the worker lives on for other tasks."""
+    try:
+        yield from function(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+        if trim is not None:
+            trim(0)
 
 
 _PLACE = {"_file": "_metadata.file_path", "_row": "_metadata.row_index"}
@@ -93,6 +111,32 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return hashes[ids]
 
 
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    """64-bit hash of each text, not that of ``word_hashes``: its length, and its bytes by eights, mixed in one after another.
+
+    Of texts of up to eight bytes no two of the same length have the same hash.
+    """
+    texts = texts.cast(pa.large_binary())
+    _, ends, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.concatenate((np.frombuffer(data or b"", np.uint8), np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # those that begin at each byte
+    at, left = ends[:-1].copy(), np.diff(ends)
+    hashes = mixed(left.astype(np.uint64) + GOLDEN)
+    short = np.flatnonzero((left > 0) & (left <= SHORT_TEXT))
+    while len(short):
+        unused = np.maximum(8 - left[short], 0).astype(np.uint64) * np.uint64(8)
+        hashes[short] = mixed((hashes[short] ^ ((eights[at[short]] << unused) >> unused)) + GOLDEN)
+        at[short] += 8
+        left[short] -= 8
+        short = short[left[short] > 0]
+    for k in np.flatnonzero(left > SHORT_TEXT):
+        hashes[k] = xxhash.xxh64_intdigest(data[at[k] : at[k] + left[k]])
+    return hashes
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers over the whole range."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.llm.common import map_batches, split_words, steps, word_hashes, word_ids
+from tallyflow.llm.common import map_batches, split_words, steps, text_hashes, word_ids
 from tallyflow.session import written
 
 #: Bytes of context at most, and the end mark, which also fills the context before a text.
@@ -48,6 +48,8 @@ LINKED_TOGETHER = 1 << 19
 GRAM, WORD = 0, 1
 #: Last bytes of a context whose hash gives its block, and the shares into which they fall.
 SPLIT, SHARES = 3, 1 << 16
+#: Grams whose probability a task remembers at most, for as long as it uses a block.
+REMEMBERED = 1 << 19
 #: Bits of a node's number below its context, and of the context below its depth.
 NODE_BITS, CONTEXT_BITS = 8, 8 * DEPTH
 
@@ -110,8 +112,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in steps(batches, most=STEP):
         keys, _, _, words = grams(batch.column("text"))
-        for kind, values in ((GRAM, keys), (WORD, word_hashes(words).view(np.int64))):
-            codes, distinct = pd.factorize(values)
+        ids, distinct = word_ids(words)
+        for kind, (codes, distinct) in ((GRAM, pd.factorize(keys)), (WORD, (ids, text_hashes(distinct).view(np.int64)))):
             held[kind][0].append(distinct)
             held[kind][1].append(np.bincount(codes, minlength=len(distinct)))
             if sum(map(len, held[kind][0])) > HELD:
@@ -240,6 +242,8 @@ class Block:
                 self.children[bit, start : start + len(own)][found] = at[found]
         self.root_at = np.flatnonzero(keys & 255 == 1)
         self.roots = Hashed(keys[self.root_at])
+        #: Grams looked up before and what was found; each has one place, the latest stays.
+        self.seen, self.found = np.full(REMEMBERED, -1, np.int64), np.zeros(REMEMBERED)
         return self
 
     def count_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -254,6 +258,16 @@ class Block:
 
     def log10_of(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the bytes before it."""
+        at = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - REMEMBERED.bit_length())).astype(np.int64)
+        out = self.found[at]
+        new = np.flatnonzero(self.seen[at] != keys)
+        out[new] = self.walked(keys[new])
+        places, one = np.unique(at[new], return_index=True)
+        self.seen[places], self.found[places] = keys[new[one]], out[new[one]]
+        return out
+
+    def walked(self, keys: np.ndarray) -> np.ndarray:
+        """What ``log10_of`` gives, from the nodes along each gram."""
         context, byte = keys >> 8, keys & 255
         at = np.full((DEPTH + 1, len(keys)), -1, np.int64)
         for depth in range(DEPTH + 1):
@@ -285,7 +299,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
         score = np.diff(summed)
 
         ids, distinct = word_ids(words)
-        hashes = word_hashes(distinct).view(np.int64)
+        hashes = text_hashes(distinct).view(np.int64)
         mine, count = block.mine(hashes & (SHARES - 1)), block.count_of(hashes)
         base = np.concatenate(([0.0], np.cumsum(np.where(mine, np.log10((count + 1) / floor), 0.0)[ids])))
         known = np.concatenate(([0], np.cumsum((mine & (count > 0))[ids])))

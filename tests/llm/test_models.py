@@ -238,3 +238,29 @@ def test_gradients():
         slope = (above - loss()) / 2e-2
         values[at] = old
         assert found[name][at] == pytest.approx(slope, abs=3e-4)
+
+
+def test_grams_looked_up_before_are_not_walked_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words {i} and other words") for i in range(30)], "doc_id long, text string")
+    monkeypatch.setattr(context_tree, "REMEMBERED", 64)  # fewer places than grams, so some are taken from each other
+    block = context_tree.train(docs).block(0).ready()
+    keys = np.unique(context_tree.grams(pa.array([f"some words {i} and other words, new ones" for i in range(40)]))[0])
+    plain, walked = block.walked(keys), []
+    monkeypatch.setattr(block, "walked", lambda k, own=block.walked: walked.append(len(k)) or own(k))
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        some = rng.choice(len(keys), 50, replace=False)
+        assert (block.log10_of(keys[some]) == plain[some]).all()
+    for _ in range(3):
+        assert (block.log10_of(keys[:5]) == plain[:5]).all()
+    assert len(keys) > 64 and walked[0] == 50 and walked[-1] < 5
+
+
+def test_hashes_of_texts_as_arrays():
+    from tallyflow.llm.common import text_hashes
+
+    texts = ["", "a", "b", "ab", "ba", "\0", "\0\0", "x" * 8, "x" * 9, "é" * 4, "y" * 64, "y" * 65, "y" * 65 + "z", "y" * 200]
+    hashes = text_hashes(pa.array(texts))
+    assert len(set(hashes.tolist())) == len(texts)
+    assert text_hashes(pa.array(["other", *texts]).slice(1)).tolist() == hashes.tolist() == text_hashes(pa.array(texts, pa.large_string())).tolist()
+    assert len(text_hashes(pa.array([], pa.string()))) == 0
