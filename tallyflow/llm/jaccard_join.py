@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyflow.llm.common import located, map_batches, mixed, packed, split_words, steps, stored, window_starts, word_hashes
-from tallyflow.session import written
+from tallyflow.session import released, written
 
 #: Words in a shingle; least similarity as a fraction.
 SHINGLE, SIMILAR, OF = 5, 4, 5
@@ -207,7 +207,9 @@ def connected(edges: DataFrame) -> DataFrame:
         large = smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = smallest(large.where("u <> v"))
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        before = table
         table, after = checked(hung.where("u <> v"))
+        released(before)
         if after == state:
             break
         state = after
@@ -235,8 +237,8 @@ def _differences(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterat
         yield pa.RecordBatch.from_arrays([*owned, pa.array(element[chosen].view(np.int64)), pa.array(linked[rows]), pa.array(short[chosen])], names=["pivot", "node", "element", "linked", "short"])
 
 
-def around_pivots(near: DataFrame, texts: DataFrame, counts: Broadcast, facts: DataFrame) -> DataFrame:
-    """Pairs that may be similar although links don't hold them together yet, of nodes near one pivot.
+def around_pivots(near: DataFrame, texts: DataFrame, counts: Broadcast, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored differences, and the pairs that may be similar although links don't hold them together yet, of nodes near one pivot.
 
     Two sets differ by the difference of their differences from the pivot. If both were
     closer to it than the threshold they would be linked through it; so the differences of
@@ -249,7 +251,7 @@ def around_pivots(near: DataFrame, texts: DataFrame, counts: Broadcast, facts: D
     rows = written(rows.join(facts, "node"), "differences")
     other = rows.where("not linked").select("pivot", "element", F.col("node").alias("b"), F.col("short").alias("b_short"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
     met = rows.where("short").withColumnRenamed("node", "a").join(other, ["pivot", "element"]).where("root <> b_root and (linked or (b_short and a < b))")
-    return met.where(similar("size", "b_size")).select("a", "b").distinct()
+    return rows, met.where(similar("size", "b_size")).select("a", "b").distinct()
 
 
 def first_regions(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -277,8 +279,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     head = [placed.schema[c] for c in ("doc_id", "_file", "_row")]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in head]).add("n_shingles", "long").add("node", "long").add("second", "long").add("chunk", "integer").add("counts", "binary")
     sets = written(map_batches(placed, partial(_sets, names=schema.names), schema), "sets")
-    facts = sets.where("chunk is null").drop("chunk", "counts")
+    facts = written(sets.where("chunk is null").drop("chunk", "counts"), "facts")
     counts = frequencies(sets.where("chunk is not null").select("chunk", "counts"))
+    released(sets)
     rows = first_regions(placed, counts)
     if rows.isEmpty():
         return facts, None
@@ -290,7 +293,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     shared = placed.sparkSession.sparkContext.broadcast((counts, 0))
     edges, roots, turn = None, None, 0
     while True:
-        turn += 1
+        turn, of_turn = turn + 1, [rows]
         sizes = rows.select(F.col("node").alias("b"), F.col("size").alias("b_size")).distinct()
         meets = rows.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "size").distinct().join(sizes, "b")
         # Beyond twice the size the distance is over NEAR, which is all that is asked of it.
@@ -303,7 +306,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         shares = labelled.groupBy("region", "root").agg(F.count("*").alias("n"))
         state = shares.groupBy("region").agg(F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
         left = written(labelled.join(state, "region"), "left")
+        of_turn += [found, left]
         if left.isEmpty():
+            released(texts, *of_turn)
             return facts, roots
         # Small regions, and larger ones in every further turn, are compared member by member.
         leaf = LEAF * 4 ** (turn - 1)
@@ -317,15 +322,20 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             found = written(found.unionByName(compared(meets.join(found.select("a", "b"), ["a", "b"], "left_anti"), texts)), "distances")
             distance = 1 - F.col("common") / F.col("united")
             near = meets.join(found, ["a", "b"]).where(distance <= NEAR + REACH + 1e-9)
-            pairs = pairs.unionByName(around_pivots(near, texts, shared, large.select("node", "root", "size").distinct()))
+            differing, around = around_pivots(near, texts, shared, large.select("node", "root", "size").distinct())
+            pairs = pairs.unionByName(around)
+            of_turn += [found, differing]
             known = found.select(F.col("a").alias("node"), F.col("b").alias("pivot"), distance.alias("distance"))
             far = large.join(known, ["node", "pivot"], "left").where(F.coalesce("distance", F.lit(1.0)) > NEAR)
         edges = written(edges.unionByName(compared(pairs, texts).where(LINKED)), "links")
         if not again:
+            released(texts, large, *of_turn)
             return facts, connected(edges)
         pivots = far.groupBy("region").agg(F.min(F.struct("rarity", "node")).alias("p"), F.count("*").alias("n")).where("n > 1").select("region", F.col("p.node").alias("pivot"))
         rows = written(far.select("region", "node", "size", "rarity").join(pivots, "region"), "far")
+        released(large, *of_turn)
         if rows.isEmpty():
+            released(texts, rows)
             return facts, connected(edges)
 
 

@@ -2,6 +2,7 @@
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -48,14 +49,43 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return path
 
 
+#: With it Spark deletes the shuffle files of a query when it ends, and not when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder.
 
-    Cuts the lineage: a lost executor costs a re-read, not a re-run.
+    Cuts the lineage: a lost executor costs a re-read, not a re-run. What the query
+    shuffled is deleted at once.
     """
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` stored and nothing will read again."""
+    for table in tables:
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            made = [(spark, path) for spark, path in _MADE if _bare(path) == _bare(folder)]
+            for spark, path in made:
+                remove(spark, path)
+                _MADE.remove((spark, path))
+
+
+def _bare(path: str) -> str:
+    """Without the slashes behind the scheme, which listings write differently; plain paths are files."""
+    return re.sub("^file:/*", "/", path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,8 +1,11 @@
 import os
+import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyflow import session
 from tallyflow.session import prepare, remove, shared_dir, written
 
 
@@ -47,3 +50,24 @@ def test_prepare_keeps_what_the_user_set(spark):
     finally:
         if before:
             spark.conf.set(key, before)
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {name for folder in folders for _, _, names in os.walk(folder.toString()) for name in names if name.startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffle_and_are_deleted_once_released(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda s, purpose: session._MADE.append((s, str(tmp_path / purpose))) or str(tmp_path / purpose))
+    before, own = shuffle_files(spark), spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    table = session.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    other = session.written(table, "other")
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and spark.conf.get(session.SHUFFLE_CLEANUP, None) == own
+    assert table.count() == other.count() == 7
+    session.released(table)
+    assert not (tmp_path / "counted").exists() and other.count() == 7
+    session.released(other)
+    assert not any(path.startswith(str(tmp_path)) for _, path in session._MADE)
