@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
@@ -42,6 +42,9 @@ from tallyflow.streaming.warehouse import Commit, Warehouse
 # How many broken files an error message spells out.
 _NAMED_IN_ERROR = 20
 
+# Files and bytes up to which several ingests share one pass over their files.
+_PASS_FILES, _PASS_BYTES = 10_000, 8 << 40
+
 
 class RepeatedBatchError(ValueError):
     """A batch id of the new history stands in the stored history, or twice in the new one."""
@@ -235,14 +238,15 @@ class IncrementalIngest:
             chosen.setdefault(file.file_name, file)
         reports = []
         groups = list(self._groups(list(chosen.values())))
+        passes = list(_passes(groups))
         if len(groups) > 1 and not self.options.quarantine_bad_files:
             # What aborts must do so before anything is committed, however the work is split.
-            for group in groups:
-                self._surveyed(group)
-        for group in groups:
-            report = self._ingest(group, start)
-            if report is not None:
-                reports.append(report)
+            for together in passes:
+                self._surveyed(together)
+        for together in passes:
+            made = self._ingest(together, start)
+            if made:
+                reports += made
                 start = None
         return reports
 
@@ -263,36 +267,60 @@ class IncrementalIngest:
         if group:
             yield group
 
-    def _ingest(self, files: list[_File], start: dict | None) -> IngestReport | None:
-        key, blocks, layout, intact = self._surveyed(files)
-        if len(intact) < len(files):
-            return self._ingest(intact, start) if intact else None
+    def _ingest(self, groups: list[list[_File]], start: dict | None) -> list[IngestReport]:
+        """One ingest for each group of files, each with its key and commit, in one pass over all of them."""
+        survey, blocks, layout, intact = self._surveyed(groups)
+        if intact != groups:
+            return self._ingest(intact, start) if intact else []
 
         previous = self.warehouse.latest_commit()
         if start:
             previous = replace(previous, **{"global_exact": None, **start})
         clock = F.lit(datetime.now(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
-        # At most max_files_per_ingest rows.
-        ranks = F.broadcast(self.spark.createDataFrame([(f.file_name, i) for i, f in enumerate(files, 1)], "file_name string, file_no long"))
-        placed = {"ingest_no": F.lit(previous.version + 1).cast("long"), "ingest_key": F.lit(key)}
-        accepted, rejected = self._write_transactions(files, placed, ranks, blocks, layout, clock)
-        self._write_history(placed, ranks, key, previous, clock)
-        del self._surveys[key]
-        names = [f.file_name for f in files]
-        self._refuse_repeated_ids(key, names)
-        commit = self._next_commit(key, previous)
-        self.warehouse.append_commit(commit, key, names)
-        return IngestReport(key, commit.version, tuple(names), accepted, rejected, commit)
-
-    def _refuse_repeated_ids(self, key: str, names: list[str]) -> None:
-        """A batch id is a key of the history: one that is there already must not count again."""
-        repeated = self.warehouse.repeated_batch_ids(key, names).orderBy("batch_id").limit(_NAMED_IN_ERROR).collect()
-        if repeated:
-            raise RepeatedBatchError(f"batch ids stored already: {', '.join(r['batch_id'] for r in repeated)}")
-
-    def _surveyed(self, files: list[_File]) -> tuple[str, DataFrame, Layout, list[_File]]:
-        """Key and survey of some files, and those that keep the column contract."""
-        key = _ingest_key(files, self.options)
+        keys = {previous.version + k: _ingest_key(group, self.options) for k, group in enumerate(groups, 1)}
+        # At most max_files_per_ingest rows, or _PASS_FILES.
+        placed = [(f.file_name, n, no, key) for (no, key), group in zip(keys.items(), groups, strict=True) for n, f in enumerate(group, 1)]
+        places = F.broadcast(self.spark.createDataFrame(placed, "file_name string, file_no long, ingest_no long, ingest_key string"))
+        files = [f for group in groups for f in group]
+        counts = self._write_transactions(files, list(keys.values()), places, blocks, layout, clock)
+        self._write_history(places, len(files), list(keys.values()), previous, clock)
+        del self._surveys[survey]
+        refused = self._repeated_ids(list(keys.values()), [f.file_name for f in files])
+        made, reports = [], []
+        last = self._last_rows(list(keys.values()))
+        for (no, key), group in zip(keys.items(), groups, strict=True):
+            if refused and no >= refused[0]:
+                break
+            previous = self._next_commit(last.get(no), previous)
+            names = [f.file_name for f in group]
+            made.append((previous, key, names))
+            reports.append(IngestReport(key, previous.version, tuple(names), *counts[key], previous))
+        if len(made) == 1:
+            self.warehouse.append_commit(*made[0])
+        elif made:
+            self.warehouse.append_commits(made)
+        if refused:
+            raise RepeatedBatchError(f"batch ids stored already: {', '.join(refused[1])}")
+        return reports
+
+    def _repeated_ids(self, keys: list[str], names: list[str]) -> tuple[int, list[str]] | None:
+        """A batch id is a key of the history: one that is there already must not count again.
+
+        The first ingest that has such ids, and some of them.
+        """
+        repeated = self.warehouse.repeated_batch_ids(keys, names)
+        if repeated.isEmpty():
+            return None
+        having = self.warehouse.uncommitted_history(*keys).join(repeated, "batch_id").groupBy("batch_id").agg(F.max("ingest_no").alias("ingest_no"))
+        first = having.agg(F.min("ingest_no")).first()[0]
+        shown = having.where(F.col("ingest_no") == first).orderBy("batch_id").limit(_NAMED_IN_ERROR).collect()
+        return first, [row["batch_id"] for row in shown]
+
+    def _surveyed(self, groups: list[list[_File]]) -> tuple[str, DataFrame, Layout, list[list[_File]]]:
+        """Key and survey of some groups of files, and what of them keeps the column contract."""
+        files = [f for group in groups for f in group]
+        keys = [_ingest_key(group, self.options) for group in groups]
+        key = keys[0] if len(keys) == 1 else hashlib.sha256(repr(keys).encode()).hexdigest()[:16]
         if key not in self._surveys:
             self._surveys = {k: self._surveys[k] for k in list(self._surveys)[-1000:]}
             self._surveys[key] = self._survey(files, key)
@@ -300,8 +328,8 @@ class IncrementalIngest:
         if layout.broken_count or layout.file_count < len(files):
             broken = csv_files.broken_files(self._listing(files), blocks)
             del self._surveys[key]
-            return key, blocks, layout, self._set_aside(files, broken, key)
-        return key, blocks, layout, files
+            return key, blocks, layout, self._set_aside(groups, keys, broken)
+        return key, blocks, layout, groups
 
     def _survey(self, files: list[_File], key: str) -> tuple[DataFrame, Layout]:
         """First pass, stored: later steps must all see the same split table."""
@@ -320,28 +348,33 @@ class IncrementalIngest:
             blocks.withColumn("ingest_key", F.lit(key)), "source_blocks", "ingest_key"
         )
 
-    def _set_aside(self, files: list[_File], broken: DataFrame, key: str) -> list[_File]:
+    def _set_aside(self, groups: list[list[_File]], keys: list[str], broken: DataFrame) -> list[list[_File]]:
         """Abort on broken files, or record them and go on with the others."""
         names = {row["file_name"] for row in broken.select("file_name").collect()}
-        bad = [f for f in files if f.file_name in names]
+        bad = [f for group in groups for f in group if f.file_name in names]
         if not self.options.quarantine_bad_files:
             shown = self._with_missing(bad[:_NAMED_IN_ERROR]).orderBy("path").collect()
             described = "; ".join(f"{r['file_name']}: {', '.join(r['missing'])}" for r in shown)
             raise ColumnContractError(
                 f"missing required columns in {len(bad)} file(s): {described}"
             )
-        aside = self._with_missing(bad).withColumn("ingest_key", F.lit(key))
+        of = [(f.file_name, key) for group, key in zip(groups, keys, strict=True) for f in group if f.file_name in names]
+        aside = self._with_missing(bad).join(F.broadcast(self.spark.createDataFrame(of, "file_name string, ingest_key string")), "file_name")
         self.warehouse.replace_partitions(
             aside.select(*QUARANTINED_FILES.names), "quarantined_files", "file_name"
         )
-        return [f for f in files if f.file_name not in names]
+        intact = [[f for f in group if f.file_name not in names] for group in groups]
+        return [group for group in intact if group]
 
     def _with_missing(self, files: list[_File]) -> DataFrame:
         paths = [literal_path(f.path) for f in files]
         return csv_files.with_missing(self.spark, self._listing(files), paths)
 
-    def _write_transactions(self, files, placed, ranks, blocks, layout, clock):
-        """Second pass: one job that writes accepted and rejected rows side by side."""
+    def _write_transactions(self, files, keys, places, blocks, layout, clock) -> dict[str, tuple[int, int]]:
+        """Second pass: one job that writes accepted and rejected rows side by side.
+
+        Gives the accepted and rejected rows of each ingest.
+        """
         options = self.options
         raw = csv_files.read_source_rows(
             self.spark,
@@ -357,8 +390,7 @@ class IncrementalIngest:
             options.strict_ids,
         )
         is_rejected = F.col("reject_reason").isNotNull()
-        rows = typed.join(ranks, "file_name").withColumns({
-            **placed,
+        rows = typed.join(places, "file_name").withColumns({
             "loaded_at": clock,
             "batch_id": numbered_batch(
                 F.col("batch_prefix"), F.col("chunk_index"), F.col("batch_suffix")
@@ -372,48 +404,64 @@ class IncrementalIngest:
             counts, F.count(F.lit(1)).alias("rows"), F.count("price").alias("accepted")
         )
         self.warehouse.replace_partitions(observed, "transactions", "branch", "ingest_key")
-        accepted = counts.get["accepted"]
-        return accepted, counts.get["rows"] - accepted
-
-    def _write_history(self, placed, ranks, key, previous: Commit, clock) -> None:
+        accepted, rejected = counts.get["accepted"], counts.get["rows"] - counts.get["accepted"]
+        if len(keys) == 1:
+            return {keys[0]: (accepted, rejected)}
+        # Of several ingests only the total is observed; their shares are counted in their folders.
+        shares = self.warehouse.uncommitted_counts(keys)
+        if (sum(a for a, _ in shares.values()), sum(r for _, r in shares.values())) != (accepted, rejected):
+            raise RuntimeError("stored rows are not those that were written")
+        return {key: shares.get(key, (0, 0)) for key in keys}
+
+    def _write_history(self, places, n_files: int, keys: list[str], previous: Commit, clock) -> None:
         """Batch metrics from the columns just written, then totals on top of the saved state."""
         options = self.options
-        written = self.warehouse.uncommitted_raw(key)
+        written = self.warehouse.uncommitted_raw(*keys)
         metrics = batch_metrics(written, ("file_name", "chunk_index"), options.sum_scale)
         kinds = StructType([*STATE, StructField(*EXACT_STATE)])
         state = self.spark.createDataFrame([tuple(getattr(previous, name) for name in kinds.names)], kinds)
         history = running_history(
-            metrics.join(ranks, "file_name"),
+            metrics.join(places.drop("ingest_key"), "file_name"),
             state,
-            file_order=("file_no",),
+            file_order=("ingest_no", "file_no"),
             segment_chunks=options.segment_chunks,
             sum_scale=options.sum_scale,
-            most_files=options.max_files_per_ingest,
-        ).withColumns({**placed, "processed_at": clock})
+            most_files=n_files,
+        ).withColumn("processed_at", clock)
+        history = history.join(places.select("file_name", "ingest_key"), "file_name")
         exact = F.lit(None) if options.sum_scale is None else F.col("accumulated_exact")
         history = history.withColumn("accumulated_exact", exact.cast("string"))
         self.warehouse.replace_partitions(
             history.select(*STATISTICS_HISTORY.names), "history", "ingest_key"
         )
 
-    def _next_commit(self, key: str, previous: Commit) -> Commit:
+    def _last_rows(self, keys: list[str]) -> dict[int, Row]:
+        """The last history row of each ingest that has one, by its number."""
+        shown = F.struct("total_accumulated_rows", "accumulated_sum", "global_min_price", "global_max_price", "accumulated_exact")
+        rows = self.warehouse.uncommitted_history(*keys)
+        last = rows.groupBy("ingest_no").agg(F.max_by(shown, "total_accumulated_rows").alias("last")).collect()
+        return {row["ingest_no"]: row["last"] for row in last}
+
+    def _next_commit(self, last: Row | None, previous: Commit) -> Commit:
         """The last history row is the new state; without one nothing was accepted."""
-        last = (
-            self.warehouse.uncommitted_history(key)
-            .orderBy(F.desc("total_accumulated_rows"))
-            .limit(1)
-            .first()
-        )
         if last is None:
             return replace(previous, version=previous.version + 1)
-        return Commit(
-            previous.version + 1,
-            last["total_accumulated_rows"],
-            last["accumulated_sum"],
-            last["global_min_price"],
-            last["global_max_price"],
-            last["accumulated_exact"],
-        )
+        return Commit(previous.version + 1, *last)
+
+
+def _passes(groups: list[list[_File]]):
+    """Runs of groups that are taken in one pass: as many as its limits hold, or one larger group."""
+    together: list[list[_File]] = []
+    files, size = 0, 0
+    for group in groups:
+        more = sum(f.length for f in group)
+        if together and (files + len(group) > _PASS_FILES or size + more > _PASS_BYTES):
+            yield together
+            together, files, size = [], 0, 0
+        together.append(group)
+        files, size = files + len(group), size + more
+    if together:
+        yield together
 
 
 def _ingest_key(files: list[_File], options: IngestOptions) -> str:
@@ -439,8 +487,11 @@ def _in_given_order(files: list[_File], paths: list[str]) -> list[_File]:
     # Of several listed paths that end like a given one, the shortest is meant: the others
     # lie in folders below it.
     placed = []
+    named: dict[str, list[_File]] = {}
+    for file in files:
+        named.setdefault(file.file_name, []).append(file)
     for name, tails in wanted.items():
-        same = [f for f in files if f.file_name == name]
+        same = named.get(name, [])
         for position, tail in tails:
             ends = [f for f in same if ("/" + f.path.lstrip("/")).endswith(tail)]
             if ends:

@@ -12,9 +12,9 @@ between a commit and its snapshot costs nothing: a later snapshot takes up the e
 one that is incomplete is not looked at.
 """
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -110,19 +110,22 @@ class Warehouse:
     def _committed(self, table: DataFrame) -> DataFrame:
         return table.join(self.commits().select("ingest_key"), "ingest_key", "left_semi")
 
-    def _of_key(self, table: str, schema, ingest_key: str, *before: str) -> DataFrame:
-        """One ingest's rows, from its own folder: what earlier ones wrote is not even listed."""
-        folder = "/".join([self.path(table), *before, f"ingest_key={ingest_key}"])
-        reader = self.spark.read.schema(schema).option("basePath", self.path(table))
-        try:
-            return reader.parquet(folder)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+    def _of_keys(self, table: str, schema, ingest_keys: Iterable[str], *before: str) -> DataFrame:
+        """Rows of some ingests, from their own folders: what earlier ones wrote is not even listed."""
+        folders = ["/".join([self.path(table), *before, f"ingest_key={key}"]) for key in ingest_keys]
+        folders = [folder for folder in folders if self._exists(folder)]
+        if not folders:
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(*folders)
+
+    def uncommitted_raw(self, *ingest_keys: str) -> DataFrame:
+        return self._of_keys("transactions", schemas.TRANSACTIONS, ingest_keys, "branch=raw")
 
-    def uncommitted_raw(self, ingest_key: str) -> DataFrame:
-        return self._of_key("transactions", schemas.TRANSACTIONS, ingest_key, "branch=raw")
+    def uncommitted_counts(self, ingest_keys: list[str]) -> dict[str, tuple[int, int]]:
+        """Accepted and rejected rows that some ingests have stored; one row per ingest."""
+        branches = [self._of_keys("transactions", schemas.TRANSACTIONS, ingest_keys, f"branch={b}").groupBy("ingest_key").agg(F.count("*").alias(b)) for b in ("raw", "rejected")]
+        both = branches[0].join(branches[1], "ingest_key", "full").na.fill(0, ["raw", "rejected"])
+        return {row["ingest_key"]: (row["raw"], row["rejected"]) for row in both.collect()}
 
     def raw_transactions(self) -> DataFrame:
         stored = self._stored("transactions", schemas.TRANSACTIONS).where("branch = 'raw'")
@@ -140,22 +143,22 @@ class Warehouse:
         stored = self._stored("history", schemas.STATISTICS_HISTORY)
         return self._committed(stored).select(*schemas.STATISTICS_HISTORY.names)
 
-    def repeated_batch_ids(self, ingest_key: str, names: list[str]) -> DataFrame:
-        """Batch ids of an ingest under way that it has twice, or that committed history has already.
+    def repeated_batch_ids(self, ingest_keys: list[str], names: list[str]) -> DataFrame:
+        """Batch ids of ingests under way that they have twice, or that committed history has already.
 
         An id names its file, so only history of the same files is looked at.
         """
-        new = self.uncommitted_history(ingest_key).select("batch_id")
+        new = self.uncommitted_history(*ingest_keys).select("batch_id")
         twice = new.groupBy("batch_id").agg(F.count("*").alias("n")).where("n > 1").select("batch_id")
         files = self.spark.createDataFrame([(name,) for name in names], "file_name string")
-        stored = self.history().where(F.col("ingest_key") != ingest_key).join(F.broadcast(files), "file_name", "left_semi")
+        stored = self.history().where(~F.col("ingest_key").isin(ingest_keys)).join(F.broadcast(files), "file_name", "left_semi")
         return twice.unionByName(new.join(stored.select("batch_id"), "batch_id", "left_semi")).distinct()
 
-    def uncommitted_history(self, ingest_key: str) -> DataFrame:
-        return self._of_key("history", schemas.STATISTICS_HISTORY, ingest_key)
+    def uncommitted_history(self, *ingest_keys: str) -> DataFrame:
+        return self._of_keys("history", schemas.STATISTICS_HISTORY, ingest_keys)
 
     def source_blocks(self, ingest_key: str) -> DataFrame:
-        return self._of_key("source_blocks", schemas.SOURCE_BLOCKS, ingest_key).drop("ingest_key")
+        return self._of_keys("source_blocks", schemas.SOURCE_BLOCKS, [ingest_key]).drop("ingest_key")
 
     def quarantined_files(self) -> DataFrame:
         """Files set aside and not taken since."""
@@ -215,23 +218,31 @@ class Warehouse:
 
     def append_commit(self, commit: Commit, ingest_key: str, files: list[str]) -> None:
         """Makes one ingest count. One row in one file, so it appears whole or not at all."""
-        row = (
-            commit.version,
-            ingest_key,
-            commit.global_count,
-            commit.global_sum,
-            commit.global_min,
-            commit.global_max,
-            commit.global_exact,
-            files,
-        )
-        self._append(self.spark.createDataFrame([row], schemas.COMMITS), commit.version)
-        if commit.version % self.snapshot_every == 0:
+        self.append_commits([(commit, ingest_key, files)])
+
+    def append_commits(self, made: list[tuple[Commit, str, list[str]]]) -> None:
+        """Makes ingests count, in their order: those of an epoch are one file, and epochs follow each other."""
+        epochs: dict[int, list[tuple]] = {}
+        for commit, ingest_key, files in made:
+            row = (
+                commit.version,
+                ingest_key,
+                commit.global_count,
+                commit.global_sum,
+                commit.global_min,
+                commit.global_max,
+                commit.global_exact,
+                files,
+            )
+            epochs.setdefault((commit.version - 1) // self.snapshot_every, []).append(row)
+        for rows in epochs.values():
+            self._append(self.spark.createDataFrame(rows, schemas.COMMITS), rows[0][0])
+        if any(commit.version % self.snapshot_every == 0 for commit, _, _ in made):
             self.take_snapshot()
 
-    def _append(self, row: DataFrame, version: int) -> None:
+    def _append(self, rows: DataFrame, version: int) -> None:
         epoch = (version - 1) // self.snapshot_every
-        row.coalesce(1).write.mode("append").parquet(self.path(f"commits/epoch={epoch}"))
+        rows.coalesce(1).write.mode("append").parquet(self.path(f"commits/epoch={epoch}"))
 
     def take_snapshot(self) -> None:
         """Names and keys of all full epochs as new tables; the keys last, they make it count."""

@@ -540,3 +540,48 @@ def test_a_repeated_batch_id_aborts_before_the_commit(spark, source, target):
     assert ingest.warehouse.latest_commit().version == 1 and ingest.warehouse.raw_transactions().count() == 3
     (report,) = ingest.ingest_files([other])
     assert report.version == 2
+
+
+def test_several_ingests_share_one_pass(spark, source, target, monkeypatch):
+    """Files are read and rows written once for all of them; keys, counts, states and commits stay apart."""
+    prices = {"a": ["1", "x"], "b": ["2", "3", ""], "c": ["x"], "d": ["4", "5", "6"], "e": ["7"], "f": ["8", ""], "g": ["9"]}
+    for name, given in prices.items():
+        write(source, f"{name}.csv", given)
+    options = IngestOptions(chunk_size=2, max_files_per_ingest=1, sum_scale=2)
+    ingest = IncrementalIngest(spark, str(source), target, options=options)
+    ingest.warehouse.snapshot_every = 3
+    passes = []
+    monkeypatch.setattr(ingest, "_write_transactions", lambda files, *a, own=ingest._write_transactions: passes.append(len(files)) or own(files, *a))
+    reports = ingest.run()
+    assert passes == [7]
+    assert [(r.version, r.files, r.rows_accepted, r.rows_rejected) for r in reports] == [
+        (1, ("a.csv",), 1, 1), (2, ("b.csv",), 2, 1), (3, ("c.csv",), 0, 1), (4, ("d.csv",), 3, 0), (5, ("e.csv",), 1, 0), (6, ("f.csv",), 1, 1), (7, ("g.csv",), 1, 0),
+    ]
+    assert [(r.state.global_count, r.state.global_sum, r.state.global_exact) for r in reports] == [
+        (n, float(s), f"{s}.00") for n, s in ((1, 1), (3, 6), (3, 6), (6, 21), (7, 28), (8, 36), (9, 45))
+    ]
+    assert len({r.ingest_key for r in reports}) == 7 == ingest.warehouse.commits().count()
+    assert len(os.listdir(f"{target}/commits")) == 3 and os.listdir(f"{target}/snapshots") == ["upto=1"]
+    rows = ingest.warehouse.raw_transactions().select("file_name", "ingest_no", "file_no", "ingest_key").distinct().collect()
+    assert {tuple(r) for r in rows} == {(f, r.version, 1, r.ingest_key) for r in reports for f in r.files if r.rows_accepted}
+    assert totals(ingest)[-1] == ("g.csv", 1, 1, 9, 45.0)
+    assert_reconciled(ingest)
+    assert ingest.run() == []
+
+
+def test_in_one_pass_bad_files_are_set_aside_and_ingests_before_a_repeated_id_count(spark, source, target):
+    paths = [write(source, f"{name}.csv", ["1", "2", "3"]) for name in "abc"]
+    (source / "bad.csv").write_text("timestamp,cost,uid\nd,1,2\n")
+    (source / "b.csv").write_text("timestamp,cost\nd,1\n")
+    options = IngestOptions(chunk_size=2, max_files_per_ingest=2, quarantine_bad_files=True)
+    ingest = IncrementalIngest(spark, str(source), target, options=options)
+    assert [r.files for r in ingest.run()] == [("a.csv",), ("c.csv",)]
+    assert sorted(r["file_name"] for r in ingest.warehouse.quarantined_files().collect()) == ["b.csv", "bad.csv"]
+    # The name of c is forgotten, its history is not.
+    ingest.warehouse.processed_files = lambda buckets=None: spark.createDataFrame([], "file_name string")
+    new = [write(source, f"{name}.csv", ["5"]) for name in "xyz"]
+    write(source, "c.csv", ["1", "2", "3", "4"])
+    with pytest.raises(RepeatedBatchError, match="c-lote-0001"):
+        ingest.ingest_files([*new[:2], paths[2], new[2]])
+    assert ingest.warehouse.latest_commit().version == 3 and state(ingest)[:2] == (8, 22.0)
+    assert ingest.warehouse.raw_transactions().where("file_name IN ('x.csv', 'y.csv', 'z.csv')").count() == 2
