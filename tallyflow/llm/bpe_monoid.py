@@ -32,11 +32,11 @@ from tallyflow.llm.common import map_batches, steps
 #: Bytes of a leaf, and tokens by which a border window grows.
 LEAF, GROW = 16, 2
 #: Memory for the ids of pieces that a worker remembers, what one takes besides its contents, and the longest piece.
-REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 96 << 20, 200, 64
+REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_CHARS = 32 << 20, 200, 64
 #: Neighbours whose test a worker remembers at most.
 REMEMBERED_PAIRS = 200_000
 #: Text bytes encoded at once.
-STEP = 2 << 20
+STEP = 1 << 20
 ID = np.dtype(np.int32)
 
 
@@ -114,17 +114,18 @@ class TreeEncoder:
 
     def remembered(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, as bytes."""
-        if self.held > REMEMBERED_BYTES:
-            self.known.clear()
-            self.held = 0
         known, out = self.known, []
         for piece in pieces:
             ids = known.get(piece)
             if ids is None:
                 ids = np.array(self.encode(piece.encode()), ID).tobytes()
                 if len(piece) <= REMEMBERED_CHARS:
+                    size = ENTRY_BYTES + 2 * len(piece) + len(ids)
+                    if self.held + size > REMEMBERED_BYTES:
+                        known.clear()
+                        self.held = 0
                     known[piece] = ids
-                    self.held += ENTRY_BYTES + 2 * len(piece) + len(ids)
+                    self.held += size
             out.append(ids)
         return out
 

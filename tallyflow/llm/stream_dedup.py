@@ -30,7 +30,7 @@ FILES_PER_BATCH = 4096
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     # Without it every state partition reserves disk space in advance.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

@@ -7,6 +7,7 @@ import shutil
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -313,3 +314,11 @@ def test_permutations():
         for key in (0, 9):
             out = mixing.permuted(index, np.full(size, size, np.uint64), np.full(size, key, np.uint64))
             assert sorted(out.tolist()) == index.tolist()
+
+
+def test_remembered_pieces_never_take_more_than_their_memory(monkeypatch):
+    monkeypatch.setattr(bpe_monoid, "REMEMBERED_BYTES", 20_000)
+    encoder = bpe_monoid.TreeEncoder({bytes((b,)): b for b in range(256)})
+    pieces = [f"piece {k}" for k in range(1_000)]  # distinct pieces of one step
+    assert encoder.remembered(pieces) == [np.frombuffer(p.encode(), np.uint8).astype(bpe_monoid.ID).tobytes() for p in pieces]
+    assert 0 < encoder.held <= 20_000 and len(encoder.known) * bpe_monoid.ENTRY_BYTES <= encoder.held
