@@ -14,11 +14,12 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("given", ["awkward", SMALL])
 def test_same_rows(spark, sf_dir, name, given):
     folder = sf_dir if given == "awkward" else given
-    path = f"{folder}/documents.parquet"
-    if os.path.isdir(path):
-        path += "/*.parquet"
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    for table in ("documents", "benchmark"):
+        path = f"{folder}/{table}.parquet"
+        if os.path.isdir(path):
+            path += "/*.parquet"
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
     expected = connection.execute(ORACLES[name])
     columns = [c[0] for c in expected.description]
     expected = sorted(expected.fetchall())
