@@ -14,7 +14,8 @@ Texts are scored against the kept nodes and the training counts of words. Both a
 to all tasks in blocks of a bounded number of entries, split by a hash of the last SPLIT
 bytes of the context and by the word's hash; nodes of shorter contexts are in every block.
 Where one block does not hold all, texts are scored block by block, each look taking only
-the grams and words of its block, and the parts are added up.
+the grams and words of its block, and the parts are added up. Words are looked up in as many
+blocks as they fill, not in those that only the nodes need.
 
 Defined cases: a null text counts as empty and is just its end mark. A null doc_id
 trains. Repeated rows count and are scored one by one. An empty table gives an empty
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.llm.common import map_batches, split_words, steps, text_hashes, word_ids
+from tallyflow.llm.common import map_batches, steps, text_hashes, word_ids
 from tallyflow.session import written
 
 #: Bytes of context at most, and the end mark, which also fills the context before a text.
@@ -74,26 +75,88 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+#: Upper case and white space of any kind, and what stands for them.
+UPPER, WHITE = bytes(range(65, 91)), b"\t\n\v\f\r"
+SPELLED = bytes.maketrans(UPPER + WHITE, UPPER.lower() + b" " * len(WHITE))
+
+
+@dataclass
+class Spelled:
+    """Documents as they are coded, one after another, DEPTH end marks before each."""
+
+    data: np.ndarray
+    #: Where each document ends, behind its end mark, and the offsets of its words.
+    ends: np.ndarray
+    offsets: np.ndarray
+    #: Behind each word.
+    spaces: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate(([0], self.ends))[:-1] + DEPTH
+
+    @property
+    def words(self) -> pa.Array:
+        """All words, one after another."""
+        letters = self.data[(self.data != 32) & (self.data != END)]
+        own = np.repeat(np.arange(len(self.ends)), np.diff(self.offsets))
+        # Before a word's end lie a space for each word before it, and the end marks.
+        ends = self.spaces - np.arange(len(own)) - own * (DEPTH + 1) - DEPTH
+        ends = np.concatenate(([0], ends)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(own), pa.py_buffer(ends), pa.py_buffer(letters))
+
+    def keys(self, at: np.ndarray | slice) -> np.ndarray:
+        """DEPTH + 1 bytes from each position on."""
+        eights = np.ndarray(len(self.data) - 7, ">u8", self.data, strides=(1,))
+        return (eights[at].astype(np.uint64) >> np.uint64(8 * (7 - DEPTH))).view(np.int64)
+
+    def shares(self) -> np.ndarray:
+        """``share`` of the context at each position where DEPTH + 1 bytes begin."""
+        fours = np.ndarray(len(self.data) - 7, ">u4", self.data, offset=DEPTH - 4, strides=(1,))
+        return ((fours.astype(np.uint32) * np.uint32(SPREAD)) >> np.uint32(8 * SPLIT - 16)) & np.uint32(SHARES - 1)
+
+    def own(self) -> np.ndarray:
+        """Whether the bytes from a position on end in a document, not in the end marks before it."""
+        own = np.ones(len(self.data) - 7, bool)
+        for k in range(DEPTH):
+            own[self.ends - DEPTH + k] = False
+        own[self.ends[-1] if len(self.ends) else 0 :] = False
+        return own
+
+
+def spelled(texts: pa.Array) -> Spelled:
+    texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, last = int(offsets[0]), int(offsets[-1])
+    data = data[first:last].to_pybytes().translate(SPELLED) if last > first else b""
+    # Before each text come end marks only, whatever document lies before it.
+    bounds = (offsets - first).tolist()
+    before, after = bytes([END]) * DEPTH, b" " + bytes([END])
+    data = before + (after + before).join([data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]) + after + bytes([END]) * 8
+    data = np.frombuffer(data, np.uint8)
+    # Of white space stays the first byte after a word.
+    space = data == 32
+    bare = space | (data == END)
+    dropped = space[1:] & bare[:-1]
+    if dropped.any():
+        data = data[np.concatenate(([True], ~dropped))]
+    ends = np.flatnonzero(data == END)[DEPTH :: DEPTH + 1][: len(texts)] + 1
+    spaces = np.flatnonzero(data == 32)
+    return Spelled(data, ends, np.concatenate(([0], np.searchsorted(spaces, ends))), spaces)
+
+
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """DEPTH + 1 bytes ending at each byte of each document, byte offsets, word offsets, words."""
-    offsets, words = split_words(texts, lower=True)
-    joined = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words.cast(pa.string()))
-    lines = pa.compute.binary_join(joined, " ")
-    spaced = np.diff(offsets) > 0
-    # Before each text come end marks only, whatever document lies before it.
-    before, after = bytes([END]) * DEPTH, bytes([END])
-    data = b"".join([before + line + (b" " + after if full else after) for line, full in zip(lines.cast(pa.binary()).to_pylist(), spaced, strict=True)])
-    sizes = np.asarray(pa.compute.binary_length(lines)).astype(np.int64) + spaced + 1
-    one = np.frombuffer(data, np.uint8).astype(np.int64)
-    two = (one[:-1] << 8) | one[1:]
-    keys = (two[:-2] << 16) | two[2:]
-    keys = (keys[:-2] << 16) | two[4:]
-    # The end marks before a text have no keys of their own.
-    ends = np.cumsum(sizes)
-    own = np.ones(len(keys), bool)
-    for k in range(DEPTH):
-        own[(ends + np.arange(len(ends)) * DEPTH + k)[:-1]] = False
-    return keys[own], np.concatenate(([0], ends)), offsets, words
+    docs = spelled(texts)
+    return docs.keys(docs.own()), np.concatenate(([0], np.cumsum(docs.ends - docs.starts))), docs.offsets, docs.words
+
+
+def counted_once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,20 +169,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {GRAM: ([], []), WORD: ([], [])}
 
     def given(kind: int) -> pa.RecordBatch:
-        distinct, sums = added(*held[kind])
+        (distinct,), (sums,) = held[kind]
         held[kind] = ([], [])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), kind, np.int32)), pa.array(distinct), pa.array(sums)], names=["kind", "key", "n"])
 
     for batch in steps(batches, most=STEP):
-        keys, _, _, words = grams(batch.column("text"))
-        ids, distinct = word_ids(words)
-        for kind, (codes, distinct) in ((GRAM, pd.factorize(keys)), (WORD, (ids, text_hashes(distinct).view(np.int64)))):
+        docs = spelled(batch.column("text"))
+        ids, words = word_ids(docs.words)
+        for kind, (distinct, sums) in ((GRAM, counted_once(docs.keys(docs.own()))), (WORD, (text_hashes(words).view(np.int64), np.bincount(ids, minlength=len(words))))):
             held[kind][0].append(distinct)
-            held[kind][1].append(np.bincount(codes, minlength=len(distinct)))
+            held[kind][1].append(sums)
             if sum(map(len, held[kind][0])) > HELD:
-                yield given(kind)
-    for kind, (parts, _) in held.items():
+                held[kind] = tuple([part] for part in added(*held[kind]))
+                # Few keys that came again and again are held on, so that each is passed on once.
+                if 2 * len(held[kind][0][0]) > HELD:
+                    yield given(kind)
+    for kind, (parts, sums) in held.items():
         if parts:
+            held[kind] = tuple([part] for part in added(parts, sums))
             yield given(kind)
 
 
@@ -220,8 +287,8 @@ class Hashed:
 class Block:
     """Nodes and word counts of one block; tasks arrange them for look-up when they first use it."""
 
-    def __init__(self, number: int, blocks: int, nodes: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], totals: tuple[int, int, int]):
-        self.number, self.blocks = number, blocks
+    def __init__(self, number: int, blocks: int, word_blocks: int, nodes: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], totals: tuple[int, int, int]):
+        self.number, self.blocks, self.word_blocks = number, blocks, word_blocks
         self.raw: tuple | None = (nodes, words)
         self.train_tokens, self.distinct_tokens, self.end_count = totals
 
@@ -250,22 +317,28 @@ class Block:
         """Training count of words of this block, 0 for others."""
         if not len(self.words):
             return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        # In order, neighbours are looked for in the same part of the table.
+        order = np.argsort(hashes)
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.words, hashes[order]), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.word_counts[at], 0)
 
-    def mine(self, values: np.ndarray) -> np.ndarray:
-        return values % self.blocks == self.number
-
     def log10_of(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the bytes before it."""
-        at = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - REMEMBERED.bit_length())).astype(np.int64)
+        at = self.place(keys)
         out = self.found[at]
         new = np.flatnonzero(self.seen[at] != keys)
-        out[new] = self.walked(keys[new])
-        places, one = np.unique(at[new], return_index=True)
-        self.seen[places], self.found[places] = keys[new[one]], out[new[one]]
+        codes, distinct = pd.factorize(keys[new])
+        walked, at = self.walked(distinct), self.place(distinct)
+        out[new] = walked[codes]
+        self.seen[at] = distinct
+        stays = self.seen[at] == distinct
+        self.found[at[stays]] = walked[stays]
         return out
 
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - REMEMBERED.bit_length())).astype(np.int64)
+
     def walked(self, keys: np.ndarray) -> np.ndarray:
         """What ``log10_of`` gives, from the nodes along each gram."""
         context, byte = keys >> 8, keys & 255
@@ -292,21 +365,26 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
     block: Block = shared.value.ready()
     floor = block.train_tokens + block.distinct_tokens + 1
     for batch in steps(batches, most=STEP):
-        keys, ends, offsets, words = grams(batch.column("text"))
-        own = np.flatnonzero(block.mine(share(keys >> 8)))
-        codes, distinct = pd.factorize(keys[own])
-        summed = np.concatenate(([0.0], np.cumsum(block.log10_of(distinct)[codes])))[np.searchsorted(own, ends)]
-        score = np.diff(summed)
-
-        ids, distinct = word_ids(words)
-        hashes = text_hashes(distinct).view(np.int64)
-        mine, count = block.mine(hashes & (SHARES - 1)), block.count_of(hashes)
-        base = np.concatenate(([0.0], np.cumsum(np.where(mine, np.log10((count + 1) / floor), 0.0)[ids])))
-        known = np.concatenate(([0], np.cumsum((mine & (count > 0))[ids])))
-        first = block.number == 0
-        base = base[offsets[1:]] - base[offsets[:-1]] + first * math.log10((block.end_count + 1) / floor)
-        known = known[offsets[1:]] - known[offsets[:-1]] + first * (block.end_count > 0)
-        columns = [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(np.diff(offsets) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(ends))]
+        docs = spelled(batch.column("text"))
+        own = docs.own()
+        if block.blocks > 1:
+            own &= docs.shares() % block.blocks == block.number
+        own = np.flatnonzero(own)
+        summed = np.concatenate(([0.0], np.cumsum(block.log10_of(docs.keys(own)))))
+        score = np.diff(summed[np.searchsorted(own, np.concatenate(([0], docs.ends)))])
+
+        offsets, base, known = docs.offsets, np.zeros(len(docs.ends)), np.zeros(len(docs.ends), np.int64)
+        if block.number < block.word_blocks:
+            ids, distinct = word_ids(docs.words)
+            hashes = text_hashes(distinct).view(np.int64)
+            mine, count = (hashes & (SHARES - 1)) % block.word_blocks == block.number, np.zeros(len(hashes), np.int64)
+            count[mine] = block.count_of(hashes[mine])
+            base = np.concatenate(([0.0], np.cumsum(np.where(mine, np.log10((count + 1) / floor), 0.0)[ids])))
+            known = np.concatenate(([0], np.cumsum((mine & (count > 0))[ids])))
+            first = block.number == 0
+            base = base[offsets[1:]] - base[offsets[:-1]] + first * math.log10((block.end_count + 1) / floor)
+            known = known[offsets[1:]] - known[offsets[:-1]] + first * (block.end_count > 0)
+        columns = [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(np.diff(offsets) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(docs.ends - docs.starts)]
         yield pa.RecordBatch.from_arrays(columns, names=[c for c in batch.schema.names if c != "text"] + ["n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
 
@@ -321,17 +399,19 @@ class Model:
     end_count: int
     blocks: int
     largest_count: int
+    #: Blocks, the first ones, that hold the words.
+    word_blocks: int = 1
 
     def block(self, number: int) -> Block:
         nodes = self.nodes.where((F.col("depth") < SPLIT) | (F.col("share") % self.blocks == number)).select("key", "rarer").orderBy("key").toArrow()
-        words = self.words.where(F.pmod(F.col("key").bitwiseAND(SHARES - 1), F.lit(self.blocks)) == number)
+        words = self.words.where(F.pmod(F.col("key").bitwiseAND(SHARES - 1), F.lit(self.word_blocks)) == number if number < self.word_blocks else F.lit(False))
         # 32 bits where they hold every count, and one more of it.
         words = words.select("key", F.col("n").cast("int" if self.largest_count < 2**31 - 1 else "long")).orderBy("key").toArrow()
         pairs = [tuple(t.column(c).to_numpy().copy() for c in ("key", value)) for t, value in ((nodes, "rarer"), (words, "n"))]
         del nodes, words
         # The driver holds a block once only, and gives back what Arrow needed for it.
         pa.default_memory_pool().release_unused()
-        return Block(number, self.blocks, *pairs, (self.train_tokens, self.distinct_tokens, self.end_count))
+        return Block(number, self.blocks, self.word_blocks, *pairs, (self.train_tokens, self.distinct_tokens, self.end_count))
 
 
 def train(docs: DataFrame) -> Model:
@@ -343,8 +423,8 @@ def train(docs: DataFrame) -> Model:
     tokens, distinct, largest = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     documents = training.count()
     nodes = weighted_nodes(counted.where(F.col("kind") == GRAM).select("key", "n"))
-    blocks = max(1, -(-max(nodes.count(), distinct) // BLOCK_ENTRIES))
-    return Model(nodes, words, tokens + documents, distinct + (documents > 0), documents, blocks, largest)
+    blocks, word_blocks = (max(1, -(-entries // BLOCK_ENTRIES)) for entries in (nodes.count(), distinct))
+    return Model(nodes, words, tokens + documents, distinct + (documents > 0), documents, max(blocks, word_blocks), largest, word_blocks)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

@@ -256,6 +256,54 @@ def test_grams_looked_up_before_are_not_walked_again(spark, monkeypatch):
     assert len(keys) > 64 and walked[0] == 50 and walked[-1] < 5
 
 
+def test_documents_as_they_are_coded():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aBéZ[@\0 \t\n\v\f\r\x1c") for _ in range(rng.choice([0, 1, 2, 6, 40]))) for _ in range(300)] + [None, "", " ", "x"]
+    for given in (pa.array(texts), pa.array(["other ", *texts, "one"], pa.large_string()).slice(1, len(texts)), pa.array(texts[:1]), pa.array([None], pa.string()), pa.array([], pa.string())):
+        plain, docs = given.to_pylist(), context_tree.spelled(given)
+        coded = [bytes_of(t) for t in plain]
+        assert [bytes(docs.data[a:b]) for a, b in zip(docs.starts, docs.ends, strict=True)] == coded
+        keys, ends, offsets, words = context_tree.grams(given)
+        padded = [bytes([context_tree.END]) * context_tree.DEPTH + c for c in coded]
+        assert keys.tolist() == [int.from_bytes(p[i : i + context_tree.DEPTH + 1]) for p in padded for i in range(len(p) - context_tree.DEPTH)]
+        assert np.diff(ends).tolist() == [len(c) for c in coded] and np.diff(offsets).tolist() == [c.count(b" ") for c in coded]
+        assert words.to_pylist() == [w.decode() for c in coded for w in c[:-1].split(b" ")[:-1]]
+        assert docs.shares().tolist() == context_tree.share(docs.keys(slice(None)) >> 8).tolist()
+
+
+def test_words_are_looked_up_in_their_blocks_only(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "BLOCK_ENTRIES", 300)
+    own = next(i for i in range(100) if trains(i))
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(own, " ".join(words * 2)), (own, "w1 w2")], "doc_id long, text string")
+    model, looked = context_tree.train(docs), []
+    assert (model.word_blocks, model.distinct_tokens) == (2, 401) and model.blocks > 3
+    monkeypatch.setattr(context_tree, "word_ids", lambda w, f=context_tree.word_ids: looked.append(len(w)) or f(w))
+    batch = pa.RecordBatch.from_pydict({"text": ["W7 w8 unknown", None]})
+    found = np.zeros((2, 2))
+    for number in range(model.blocks):
+        (part,) = context_tree._scored(iter([batch]), Shared(model.block(number)))
+        found += [part.column(c).to_pylist() for c in ("n_known", "base_score")]
+        assert part.column("n_tokens").to_pylist() == [4, 1]
+    assert looked == [3, 3] and found[0].tolist() == [3, 1]
+    floor = 804 + 401 + 1
+    assert found[1].tolist() == pytest.approx([math.log10(3 * 3 * 1 * 3 / floor**4), math.log10(3 / floor)])
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_keys_that_come_again_are_passed_on_once(monkeypatch):
+    monkeypatch.setattr(context_tree, "STEP", 200)
+    monkeypatch.setattr(context_tree, "HELD", 300)
+    batch = pa.RecordBatch.from_pydict({"text": ["one sentence, word for word the same in every text of this table"] * 60})
+    passed = pa.Table.from_batches(context_tree._counts(iter([batch]))).to_pydict()
+    keys = list(zip(passed["kind"], passed["key"], strict=True))
+    assert len(keys) == len(set(keys)) and sum(passed["n"]) == 60 * (len(bytes_of(batch["text"][0].as_py())) + 13)
+
+
 def test_hashes_of_texts_as_arrays():
     from tallyflow.llm.common import text_hashes
 
